@@ -17,16 +17,17 @@ from lapsekit.operators.columns import numeric_columns
 from lapsekit.operators.encode import count_exprs
 
 
-def mean(col: str, fixed_scale: int | None = None) -> Column:
-    """Average of the non-null values.
+def rounded_mean(col: str, scale: int, fixed_scale: int | None = None) -> Column:
+    """Average of the non-null values, rounded half up.
 
-    With ``fixed_scale`` the sum runs over decimals of that scale: the order in
-    which partitions arrive can then not change the last digits.
+    With ``fixed_scale`` sum and quotient are decimals: neither the order in which
+    partitions arrive nor binary fractions can then move the last digit.
     """
     if fixed_scale is None:
-        return F.avg(col)
-    total = F.sum(F.col(col).cast(f"decimal(18,{fixed_scale})")).cast("double")
-    return F.when(F.count(col) > 0, total / F.count(col))
+        return F.round(F.avg(col), scale)
+    n = F.count(col)
+    total = F.sum(F.col(col).cast(f"decimal(18,{fixed_scale})"))
+    return F.when(n > 0, F.round(total / n, scale)).cast("double")
 
 
 def profile_exprs(
@@ -43,7 +44,7 @@ def profile_exprs(
         top, low = F.max(c), F.min(c)
         if c not in unrounded:
             top, low = F.round(top, scale), F.round(low, scale)
-        exprs.append(F.round(mean(c, fixed.get(c)), scale).alias(f"avg_{c}"))
+        exprs.append(rounded_mean(c, scale, fixed.get(c)).alias(f"avg_{c}"))
         exprs.append(top.alias(f"max_{c}"))
         exprs.append(low.alias(f"min_{c}"))
         if c in counted:
@@ -119,9 +120,9 @@ __all__ = [
     "count_exprs",
     "days_since_last",
     "last_date",
-    "mean",
     "measure_profile",
     "profile_exprs",
+    "rounded_mean",
     "row_counts",
     "sum_numeric",
     "tenure_exprs",
