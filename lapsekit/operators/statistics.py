@@ -172,11 +172,22 @@ def fit_rows(fit: Fit, spark) -> DataFrame:
 
 
 def t_two_sided(t: float, df: int) -> float:
-    """P(|T| >= |t|) for Student's t with ``df`` degrees of freedom."""
+    """P(|T| >= |t|) for Student's t with ``df`` degrees of freedom.
+
+    Log-gamma differences lose their digits when ``df`` counts rows by the
+    million; from 1,000 on Hill's normalising transform (CACM 1970) is exact
+    to about 1e-12.
+    """
     if math.isnan(t) or df <= 0:
         return math.nan
     if math.isinf(t):
         return 0.0
+    if df >= 1000:
+        a = df - 0.5
+        square, scale = a * math.log1p(t * t / df), 48.0 * a * a
+        inner = ((-0.4 * square - 3.3) * square - 24.0) * square - 85.5
+        factor = (inner / (0.8 * square * square + 100.0 + scale) + square + 3.0) / scale + 1.0
+        return math.erfc(factor * math.sqrt(square) / math.sqrt(2.0))
     return _beta_ratio(df / 2.0, 0.5, df / (df + t * t))
 
 

@@ -185,7 +185,8 @@ def with_found_categories(spec: ChurnSpec, complaints: DataFrame, delivery: Data
 
 
 def formula_names(spec: ChurnSpec) -> dict[str, str]:
-    return {t: t for t in spec.formula_types}
+    """Formula types as column names; ML reads a dot as nesting, so it becomes ``_``."""
+    return {t: t.replace(".", "_") for t in spec.formula_types}
 
 
 def complaint_names(spec: ChurnSpec) -> list[str]:

@@ -40,7 +40,7 @@ def feature_names(spec: ChurnSpec) -> list[str]:
         "NbDayLastDelivery",
         *spec.year_names,
         "TotalSubscriptions",
-        *spec.formula_types,
+        *blocks.formula_names(spec).values(),
     ]
     repeated = sorted({n for n in names if names.count(n) > 1})
     if repeated:
