@@ -20,7 +20,7 @@ from lapsekit.functions import (
 from lapsekit.models.classifiers import report
 from lapsekit.models.evaluate import confusion, evaluate
 from lapsekit.models.prepare import scale_to_unit_std, string_index
-from lapsekit.models.split import in_train, train_test
+from lapsekit.models.split import in_train, train_test, with_folds
 from lapsekit.models.tuning import best_num_trees, grid_report
 from lapsekit.operators import aggregates as agg
 from lapsekit.operators import encode
@@ -53,7 +53,7 @@ SEED = 12
 RULE_DAYS = 200
 DENSITY_FEATURES = ("avg_Price_Total", "NbDayLastPayment", "count_Price_Total", "Sub_2001")
 GRAM_FEATURES = ("TotalUrgent", "count_Price_Total", "NbDayLastRenewal", "Sub_2001", "STANDARD")
-OLS_FEATURES = ("count_Price_Total", "NbDayLastRenewal", "Sub_2001")
+OLS_FEATURES = ("count_Price_Total", "NbDayLastRenewal", "STANDARD")
 SCALED_FEATURES = ("avg_Price_Total", "NbDayLastRenewal", "Sub_2001")
 PRODUCT_LEVELS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
@@ -405,6 +405,11 @@ def split_members(spark, folder):
     return customers.select(KEY, F.when(in_train(KEY, SEED), "train").otherwise("test").alias("side"))
 
 
+@query
+def fold_members(spark, folder):
+    return with_folds(standin.customers(spark, folder).select(KEY), KEY, SEED, 3)
+
+
 @query
 def split_counts(spark, folder):
     train, test = train_test(churn_label(spark, folder), KEY, SEED)
@@ -438,6 +443,7 @@ def ols_coefficients(spark, folder):
         F.round("coefficient", 10).alias("coefficient"),
         F.round("std_error", 10).alias("std_error"),
         F.round("t_value", 6).alias("t_value"),
+        F.round("p_value", 6).alias("p_value"),
     )
 
 

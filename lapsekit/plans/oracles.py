@@ -275,7 +275,10 @@ def _quoted(names) -> str:
 
 
 def _ols_sql() -> str:
-    """Three-variable least squares by cofactors of the 3 x 3 Gram matrix."""
+    """Three-variable least squares by cofactors of the 3 x 3 Gram matrix.
+
+    The p-value integrates the t density from 0 to |t| by Simpson's rule.
+    """
     a, b, c = (f"CAST({n} AS DOUBLE)" for n in OLS_FEATURES)
     y = "CAST(label AS DOUBLE)"
     sums = ", ".join(
@@ -286,7 +289,12 @@ def _ols_sql() -> str:
         ]
     )
     body = f"""SELECT feature, round(beta, 10) AS coefficient, round(sqrt(s2 * v), 10) AS std_error,
-  round(beta / sqrt(s2 * v), 6) AS t_value FROM (
+  round(beta / sqrt(s2 * v), 6) AS t_value,
+  (SELECT round(greatest(1 - 2 * (top / 3000) * sum(
+      CASE WHEN k IN (0, 1000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END
+      * exp(lgamma((n - 2) / 2) - lgamma((n - 3) / 2) - 0.5 * ln((n - 3) * pi())
+            - (n - 2) / 2 * ln(1 + pow(k * top / 1000, 2) / (n - 3)))), 0), 6)
+   FROM (SELECT least(abs(beta / sqrt(s2 * v)), 12) AS top), range(1001) AS g(k) GROUP BY top) AS p_value FROM (
   SELECT *, (yy - ba * ay - bb_ * "by" - bc_ * cy) / (n - 3) AS s2 FROM (
     SELECT *, iaa * ay + iab * "by" + iac * cy AS ba, iab * ay + ibb * "by" + ibc * cy AS bb_,
       iac * ay + ibc * "by" + icc * cy AS bc_ FROM (
@@ -486,6 +494,11 @@ FROM complaint_block JOIN customers USING (CustomerID)""",
     sql["auc_hard"] = _with("SELECT round((tp::DOUBLE / (tp + fn) + tn::DOUBLE / (tn + fp)) / 2, 9) AS auc_hard FROM cells", "cells")
     side = f"CASE WHEN CAST('0x' || substr(md5(CAST(CustomerID AS VARCHAR) || '#{SEED}'), 1, 8) AS BIGINT) % 10000 < 7000 THEN 'train' ELSE 'test' END AS side"
     sql["split_members"] = _with(f"SELECT CustomerID, {side} FROM customers", "customers")
+    slot = f"CAST('0x' || substr(md5(CAST(CustomerID AS VARCHAR) || '#{SEED}'), 1, 8) AS BIGINT) % 10000"
+    sql["fold_members"] = _with(f"SELECT CustomerID, CAST({slot} % 3 AS INTEGER) AS fold FROM customers", "customers")
+    sql["skipped_customers"] = _with(
+        "SELECT count(*) FILTER (WHERE Region_Cust IS NULL) AS n_skipped, count(*) AS n_customers FROM features", "features"
+    )
     sql["split_counts"] = _with(f'SELECT {side}, label, count(*) AS "count" FROM labels GROUP BY 1, 2', "labels")
     sql["corr_matrix"] = _with("SELECT i, j, col_i, col_j, round(r, 6) AS r FROM pairs", "pairs")
     sql["corr_prune"] = _with(
