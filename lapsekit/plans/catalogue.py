@@ -468,12 +468,12 @@ def feature_selection(spark, folder):
 
 @query
 def class_density_query(spark, folder):
-    return class_density(_features(spark, folder), "label", DENSITY_FEATURES)
+    return class_density(study(spark, folder).features, "label", DENSITY_FEATURES)
 
 
 @query
 def class_density_curves(spark, folder):
-    return class_curves(_features(spark, folder), "label", DENSITY_FEATURES)
+    return class_curves(study(spark, folder).features, "label", DENSITY_FEATURES)
 
 
 # ------------------------------------------------------------------------ models
@@ -487,7 +487,7 @@ def string_index_query(spark, folder):
 
 @query
 def scale_unit_std(spark, folder):
-    features = _features(spark, folder).select(KEY, *SCALED_FEATURES)
+    features = study(spark, folder).features.select(KEY, *SCALED_FEATURES)
     scaled = scale_to_unit_std(features, SCALED_FEATURES, "scaled").select(
         KEY, vector_to_array("scaled").alias("a")
     )

@@ -24,9 +24,11 @@ from lapsekit.session import cut_lineage
 class ChurnStudy:
     """One analysis of one feature table; every step runs once, when first asked for.
 
-    The features are written to the shared checkpoint folder up front: all later
-    passes start from those files and not from the star join. Use it as a context
-    manager, or call ``release``, to drop what it cached.
+    The features are written to the shared checkpoint folder up front, hashed and
+    sorted by key into ``partitions`` parts. All later passes start from those files
+    and not from the star join, and bagging and float sums see the rows in the same
+    places however the input was laid out. Use it as a context manager, or call
+    ``release``, to drop what it cached.
     """
 
     def __init__(
@@ -40,10 +42,13 @@ class ChurnStudy:
         significance: float = 0.05,
         folds: int = 3,
         parallelism: int = 4,
+        partitions: int | None = None,
     ):
         self.key, self.label, self.seed = key, label, seed
         self.train_share, self.folds, self.parallelism = train_share, folds, parallelism
         self.correlation_limit, self.significance = correlation_limit, significance
+        spark = features.sparkSession
+        self.partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self._source = features
         self._cached: list[DataFrame] = []
         self._fits: dict[str, Fitted] = {}
@@ -66,7 +71,8 @@ class ChurnStudy:
 
     @cached_property
     def features(self) -> DataFrame:
-        return self._keep(cut_lineage(self._source))
+        placed = self._source.repartition(self.partitions, self.key).sortWithinPartitions(self.key)
+        return self._keep(cut_lineage(placed))
 
     @cached_property
     def _sides(self) -> tuple[DataFrame, DataFrame]:

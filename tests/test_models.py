@@ -157,6 +157,15 @@ def test_logistic_regression_is_at_its_optimum(study):
     assert wrong.count() == 0
 
 
+def test_models_do_not_depend_on_the_input_layout(customers):
+    def outcome(n):
+        with ChurnStudy(customers.repartition(n)) as s:
+            scores = churn_scores(s.fit("random_forest").model, s._vectors[1], "CustomerID")
+            return s.selected, {r[0]: round(r[1], 6) for r in scores.collect()}
+
+    assert outcome(3) == outcome(7)
+
+
 def test_tuning_and_scores(study, customers, spark):
     folded = with_folds(study.train, "CustomerID", 12, 3)
     tuned = tune_forest(folded, study.plan, num_trees=(3, 5), parallelism=2)
