@@ -20,14 +20,16 @@ from lapsekit.operators.encode import count_exprs
 def rounded_mean(col: str, scale: int, fixed_scale: int | None = None) -> Column:
     """Average of the non-null values, rounded half up.
 
-    With ``fixed_scale`` sum and quotient are decimals: neither the order in which
-    partitions arrive nor binary fractions can then move the last digit.
+    With ``fixed_scale`` the values are summed as whole units of that many decimals
+    and divided as decimals: neither the order in which partitions arrive nor
+    binary fractions can then move the last digit.
     """
     if fixed_scale is None:
         return F.round(F.avg(col), scale)
+    unit = 10**fixed_scale
     n = F.count(col)
-    total = F.sum(F.col(col).cast(f"decimal(18,{fixed_scale})"))
-    return F.when(n > 0, F.round(total / n, scale)).cast("double")
+    total = F.sum(F.rint(F.col(col) * unit).try_cast("bigint")).cast("decimal(20,0)")
+    return F.when(n > 0, F.round(total / (n * unit), scale)).cast("double")
 
 
 def profile_exprs(

@@ -36,18 +36,20 @@ def salted_join(
     fact: DataFrame,
     dim: DataFrame,
     key: str,
-    spread_by: Sequence[str],
     hot: Iterable,
     how: str = "left",
+    spread_by: Sequence[str] | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """Equi-join that spreads the ``hot`` keys of ``fact`` over ``salts`` tasks each.
 
-    Only the few ``dim`` rows of hot keys are repeated. NULL keys match nothing
+    The salt is a hash of the ``spread_by`` columns (all by default), so a task that
+    is run again salts its rows the same way; the columns should hold something
+    close to a row identifier. Only the few ``dim`` rows of hot keys are repeated. NULL keys match nothing
     and are spread as well, so they cannot pile up in one task of a left join.
     """
     hot = list(hot)
-    spread = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    spread = F.pmod(F.xxhash64(*(spread_by or fact.columns)), F.lit(salts)).cast("int")
     is_hot = F.col(key).isin(hot) if hot else F.lit(False)
     left = fact.withColumn("_salt", F.when(F.col(key).isNull() | is_hot, spread).otherwise(0))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
@@ -59,8 +61,8 @@ def attach(
     fact: DataFrame,
     dim: DataFrame,
     key: str,
-    spread_by: Sequence[str],
     how: str = "left",
+    spread_by: Sequence[str] | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Left (or inner) join of ``dim`` onto ``fact``.
@@ -70,7 +72,7 @@ def attach(
     """
     if has_at_most(dim, broadcast_rows):
         return fact.join(F.broadcast(dim), [key], how)
-    return salted_join(fact, dim, key, spread_by, hot_keys(fact, key), how)
+    return salted_join(fact, dim, key, hot_keys(fact, key), how, spread_by)
 
 
 def one_row_per_key(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:

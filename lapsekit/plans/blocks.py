@@ -29,7 +29,9 @@ def typed_subscriptions(subs: DataFrame, spec: ChurnSpec) -> DataFrame:
     The renewal text stays under ``RenewalText``: the label tests its sentinel.
     """
     kept = subs.withColumn("RenewalText", F.col("RenewalDate"))
-    typed = as_measures(convert(kept, {**MEASURES, **EVENT_DATES}), spec.measure_names, spec.missing)
+    typed = as_measures(
+        convert(kept, {**MEASURES, **EVENT_DATES}, spec.sentinel), spec.measure_names, spec.missing
+    )
     if spec.end_fallback:
         dates = [name for name, _ in EVENT_DATES.values()]
         typed = typed.withColumns({d: date_or(d, "EndDate") for d in dates})
@@ -142,9 +144,13 @@ def delivery_block(delivery: DataFrame, owners: DataFrame, spec: ChurnSpec) -> D
 def formula_block(
     subs: DataFrame, formula: DataFrame, spec: ChurnSpec, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """Subscriptions per customer and formula type."""
-    rows = subs.select(spec.key, "FormulaID").where(F.col(spec.key).isNotNull())
-    typed = attach(rows, unique_formula(formula), "FormulaID", [spec.key], broadcast_rows=broadcast_rows)
+    """Subscriptions per customer and formula type.
+
+    The subscription number comes along to spread a hot formula evenly: by customer
+    alone, a customer that is hot as well would stay in one task.
+    """
+    rows = subs.select(spec.key, "SubscriptionID", "FormulaID").where(F.col(spec.key).isNotNull())
+    typed = attach(rows, unique_formula(formula), "FormulaID", broadcast_rows=broadcast_rows)
     return typed.groupBy(spec.key).agg(*count_exprs("FormulaType", formula_names(spec)))
 
 

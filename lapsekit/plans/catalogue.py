@@ -242,24 +242,19 @@ def feature_inner(spark, folder):
 
 @query
 def fact_to_owner(spark, folder):
-    return attach(
-        standin.delivery(spark, folder),
-        standin.owners(spark, folder),
-        "SubscriptionID",
-        spread_by=["DeliveryDate", "DeliveryClass", "DeliveryTypeName"],
-    )
+    return attach(standin.delivery(spark, folder), standin.owners(spark, folder), "SubscriptionID")
 
 
 @query
 def dim_lookup(spark, folder):
     subs = standin.subscriptions(spark, folder).select(KEY, "SubscriptionID", "FormulaID")
-    return attach(subs, standin.formula(spark, folder), "FormulaID", [KEY])
+    return attach(subs, standin.formula(spark, folder), "FormulaID")
 
 
 @query
 def dim_lookup_shuffled(spark, folder):
     subs = standin.subscriptions(spark, folder).select(KEY, "SubscriptionID", "FormulaID")
-    return attach(subs, standin.formula(spark, folder), "FormulaID", [KEY], broadcast_rows=0)
+    return attach(subs, standin.formula(spark, folder), "FormulaID", broadcast_rows=0)
 
 
 # ------------------------------------------------------------------ aggregations

@@ -71,18 +71,18 @@ def test_hot_keys_finds_the_heavy_key(skewed):
 def test_salted_join_equals_plain_join(spark, skewed, how):
     dim = spark.createDataFrame([(k, f"n{k}") for k in range(0, 40)] + [(7, "again")], "k bigint, n string")
     plain = skewed.join(dim, ["k"], how).select("k", "id", "n")
-    salted = salted_join(skewed, dim, "k", ["id"], [7], how).select("k", "id", "n")
+    salted = salted_join(skewed, dim, "k", [7], how, ["id"]).select("k", "id", "n")
     assert rows(salted) == rows(plain)
-    by_size = attach(skewed, dim, "k", ["id"], how, broadcast_rows=10).select("k", "id", "n")
+    by_size = attach(skewed, dim, "k", how, broadcast_rows=10).select("k", "id", "n")
     assert rows(by_size) == rows(plain)
 
 
 def test_attach_broadcasts_only_a_proven_small_side(spark, skewed):
     dim = spark.createDataFrame([(k, k) for k in range(40)], "k bigint, n int")
     assert has_at_most(dim, 40) and not has_at_most(dim, 39)
-    salted = attach(skewed, dim, "k", ["id"], broadcast_rows=39)
+    salted = attach(skewed, dim, "k", broadcast_rows=39)
     assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
-    small = attach(skewed, dim, "k", ["id"], broadcast_rows=40)
+    small = attach(skewed, dim, "k", broadcast_rows=40)
     assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
 
 
