@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import cached_property
 
 import numpy as np
@@ -21,14 +22,23 @@ from lapsekit.operators.statistics import correlation, eliminate_backward, momen
 from lapsekit.session import cut_lineage
 
 
+ROWS_PER_PART = 100_000
+FEWEST_ROWS = 1_000
+
+
+def partitions_for(rows: int, cores: int) -> int:
+    """Parts of about 100,000 rows; small tables use the cores but no crumbs below 1,000 rows."""
+    return max(1, math.ceil(rows / ROWS_PER_PART), min(cores, rows // FEWEST_ROWS))
+
+
 class ChurnStudy:
     """One analysis of one feature table; every step runs once, when first asked for.
 
-    The features are written to the shared checkpoint folder up front, hashed and
-    sorted by key into ``partitions`` parts. All later passes start from those files
-    and not from the star join, and bagging and float sums see the rows in the same
-    places however the input was laid out. Use it as a context manager, or call
-    ``release``, to drop what it cached.
+    The features are written to the shared checkpoint folder up front: all later
+    passes start from those files and not from the star join. They are then placed
+    by key into ``partitions`` parts (chosen by size if not given), so that bagging
+    and float sums see the rows in the same places however the input was laid out.
+    Use it as a context manager, or call ``release``, to drop what it cached.
     """
 
     def __init__(
@@ -47,8 +57,7 @@ class ChurnStudy:
         self.key, self.label, self.seed = key, label, seed
         self.train_share, self.folds, self.parallelism = train_share, folds, parallelism
         self.correlation_limit, self.significance = correlation_limit, significance
-        spark = features.sparkSession
-        self.partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.partitions = partitions
         self._source = features
         self._cached: list[DataFrame] = []
         self._fits: dict[str, Fitted] = {}
@@ -71,8 +80,9 @@ class ChurnStudy:
 
     @cached_property
     def features(self) -> DataFrame:
-        placed = self._source.repartition(self.partitions, self.key).sortWithinPartitions(self.key)
-        return self._keep(cut_lineage(placed))
+        written = cut_lineage(self._source)
+        parts = self.partitions or partitions_for(written.count(), written.sparkSession.sparkContext.defaultParallelism)
+        return self._keep(written.repartition(parts, self.key).sortWithinPartitions(self.key))
 
     @cached_property
     def _sides(self) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from lapsekit.models.prepare import FeaturePlan, scale_to_unit_std, string_index
 from lapsekit.models.scoring import churn_scores, score, with_scores
 from lapsekit.models.split import in_train, random_train_test, train_test, with_folds
 from lapsekit.models.tuning import best_num_trees, grid_report, tune_forest
-from lapsekit.plans.study import ChurnStudy
+from lapsekit.plans.study import ChurnStudy, partitions_for
 from lapsekit.session import ensure_checkpoint_dir
 
 
@@ -194,6 +194,11 @@ def test_report_of_a_fit_on_plain_vectors(study):
     assert got[1]["auc_score"] == pytest.approx(auc_of_scores(fitted.test))
 
 
+@pytest.mark.parametrize("rows, cores, parts", [(0, 8, 1), (1500, 8, 1), (15_000, 8, 8), (10**9, 4000, 10_000)])
+def test_parts_follow_the_size(rows, cores, parts):
+    assert partitions_for(rows, cores) == parts
+
+
 def test_checkpoints_follow_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     folder = ensure_checkpoint_dir(spark)
