@@ -56,7 +56,7 @@ def main() -> None:
     timed("corr_matrix", lambda: study.correlations)
     timed("gram_matrix", lambda: moments(study.train, study.candidates, study.label))
     timed("backward_elimination", lambda: study.selected)
-    timed("prepared_vectors", lambda: [side.count() for side in study._vectors])
+    timed("prepared_vectors", lambda: [side.count() for side in study.vectors])
     for name in CLASSIFIERS:
         timed(f"{name}_fit_score", lambda name=name: report(name, study.fit(name)).collect())
     timed("cv_3_folds_4_grid_points", lambda: study.tuned)

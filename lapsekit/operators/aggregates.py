@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from lapsekit.functions import days_between, row_sum
 from lapsekit.operators.columns import numeric_columns
-from lapsekit.operators.encode import count_exprs
 
 
 def rounded_mean(col: str, scale: int, fixed_scale: int | None = None) -> Column:
@@ -116,18 +115,3 @@ def row_counts(frames: Mapping[str, DataFrame]) -> DataFrame:
         result = result.unionByName(part)
     return result
 
-
-__all__ = [
-    "count_by",
-    "count_exprs",
-    "days_since_last",
-    "last_date",
-    "measure_profile",
-    "profile_exprs",
-    "rounded_mean",
-    "row_counts",
-    "sum_numeric",
-    "tenure_exprs",
-    "year_exprs",
-    "yearly_frequency",
-]

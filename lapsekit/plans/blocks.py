@@ -50,13 +50,13 @@ def churn_labels(subs: DataFrame, spec: ChurnSpec) -> DataFrame:
     return best.select(spec.key, latest_label("_last", spec))
 
 
-def _profile(spec: ChurnSpec) -> list[Column]:
+def profile_of(spec: ChurnSpec) -> list[Column]:
     return profile_exprs(
         spec.measure_names, counted=COUNTED, unrounded=UNROUNDED, fixed_scale=spec.fixed_scale
     )
 
 
-def _tenure(spec: ChurnSpec) -> list[Column]:
+def tenure_of(spec: ChurnSpec) -> list[Column]:
     return tenure_exprs(
         "StartDate",
         "EndDate",
@@ -75,8 +75,8 @@ def subscription_block(subs: DataFrame, spec: ChurnSpec, formula: DataFrame | No
     rows = typed_subscriptions(subs, spec).where(F.col(spec.key).isNotNull())
     aggs = [
         *count_exprs("ProductName", spec.products),
-        *_profile(spec),
-        *_tenure(spec),
+        *profile_of(spec),
+        *tenure_of(spec),
         latest_struct(LATEST_ORDER, ("RenewalText",)).alias("_last"),
         *year_exprs("StartDate", spec.years, "Sub_"),
     ]

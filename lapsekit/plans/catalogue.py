@@ -278,7 +278,7 @@ def count_two_keys(spark, folder):
 
 @query
 def measure_profile(spark, folder):
-    return _typed(spark, folder).groupBy(KEY).agg(*blocks._profile(STANDIN))
+    return _typed(spark, folder).groupBy(KEY).agg(*blocks.profile_of(STANDIN))
 
 
 @query
@@ -491,7 +491,7 @@ def scale_unit_std(spark, folder):
 
 @query
 def feature_vectors(spark, folder):
-    train, test = study(spark, folder)._vectors
+    train, test = study(spark, folder).vectors
     both = union_all(train, test)
     return both.select(KEY, "label", F.size(vector_to_array("features")).alias("n_values"))
 
@@ -516,6 +516,29 @@ def model_comparison(spark, folder):
     return study(spark, folder).comparison()
 
 
+@query
+def model_row_totals(spark, folder):
+    """Rows and churners behind each model's confusion counts: none may get lost."""
+    counted = model_comparison(spark, folder)
+    return counted.select(
+        "model",
+        "split",
+        (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n_rows"),
+        (F.col("tp") + F.col("fn")).alias("n_churned"),
+    )
+
+
+@query
+def score_totals(spark, folder):
+    """Customers with a score, without one, and with one that is no probability."""
+    p = F.col("Proba_churn")
+    return study(spark, folder).scored_features().agg(
+        F.count(p).alias("n_scored"),
+        F.count_if(p.isNull()).alias("n_unscored"),
+        F.count_if((p < 0) | (p > 1)).alias("n_invalid"),
+    )
+
+
 @query
 def model_confusion(spark, folder):
     return confusion(study(spark, folder).fit("decision_tree").test)

@@ -499,6 +499,16 @@ FROM complaint_block JOIN customers USING (CustomerID)""",
     sql["skipped_customers"] = _with(
         "SELECT count(*) FILTER (WHERE Region_Cust IS NULL) AS n_skipped, count(*) AS n_customers FROM features", "features"
     )
+    sql["model_row_totals"] = _with(
+        f"""SELECT model, split, count(*) AS n_rows, CAST(sum(label) AS BIGINT) AS n_churned
+FROM (SELECT {side.replace('AS side', 'AS split')}, label FROM features WHERE Region_Cust IS NOT NULL),
+  (VALUES ('logistic_regression'), ('decision_tree'), ('random_forest')) AS m(model) GROUP BY model, split""",
+        "features",
+    )
+    sql["score_totals"] = _with(
+        "SELECT count(Region_Cust) AS n_scored, count(*) - count(Region_Cust) AS n_unscored, CAST(0 AS BIGINT) AS n_invalid FROM features",
+        "features",
+    )
     sql["split_counts"] = _with(f'SELECT {side}, label, count(*) AS "count" FROM labels GROUP BY 1, 2', "labels")
     sql["corr_matrix"] = _with("SELECT i, j, col_i, col_j, round(r, 6) AS r FROM pairs", "pairs")
     sql["corr_prune"] = _with(

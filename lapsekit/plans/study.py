@@ -118,7 +118,8 @@ class ChurnStudy:
         return FeaturePlan(tuple(text_columns(self.features)), tuple(self.selected))
 
     @cached_property
-    def _vectors(self) -> tuple[DataFrame, DataFrame]:
+    def vectors(self) -> tuple[DataFrame, DataFrame]:
+        """Prepared train and test vectors; preparation is fitted on train alone."""
         fitted = Pipeline(stages=self.plan.stages()).fit(self.train)
         train, test = (vectors_only(fitted, side, self.key, self.label) for side in self._sides)
         return self._keep(train), self._keep(test)
@@ -126,7 +127,7 @@ class ChurnStudy:
     def fit(self, name: str) -> Fitted:
         """Fit one of ``CLASSIFIERS``; preparation is shared between them."""
         if name not in self._fits:
-            self._fits[name] = fit_predict(CLASSIFIERS[name](self.label), *self._vectors)
+            self._fits[name] = fit_predict(CLASSIFIERS[name](self.label), *self.vectors)
         return self._fits[name]
 
     def comparison(self, beta: float = 1.0) -> DataFrame:

@@ -160,7 +160,7 @@ def test_logistic_regression_is_at_its_optimum(study):
 def test_models_do_not_depend_on_the_input_layout(customers):
     def outcome(n):
         with ChurnStudy(customers.repartition(n)) as s:
-            scores = churn_scores(s.fit("random_forest").model, s._vectors[1], "CustomerID")
+            scores = churn_scores(s.fit("random_forest").model, s.vectors[1], "CustomerID")
             return s.selected, {r[0]: round(r[1], 6) for r in scores.collect()}
 
     assert outcome(3) == outcome(7)
@@ -187,7 +187,7 @@ def test_tuning_and_scores(study, customers, spark):
 
 
 def test_report_of_a_fit_on_plain_vectors(study):
-    train, test = study._vectors
+    train, test = study.vectors
     fitted = fit_predict(logistic_regression(), train, test)
     got = report("again", fitted).collect()
     assert [r["split"] for r in got] == ["train", "test"]
