@@ -23,11 +23,11 @@ from lapsekit.session import cut_lineage
 
 
 ROWS_PER_PART = 100_000
-FEWEST_ROWS = 1_000
+FEWEST_ROWS = 5_000
 
 
 def partitions_for(rows: int, cores: int) -> int:
-    """Parts of about 100,000 rows; small tables use the cores but no crumbs below 1,000 rows."""
+    """Parts of about 100,000 rows; small tables use the cores but no crumbs below 5,000 rows."""
     return max(1, math.ceil(rows / ROWS_PER_PART), min(cores, rows // FEWEST_ROWS))
 
 

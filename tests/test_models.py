@@ -194,7 +194,7 @@ def test_report_of_a_fit_on_plain_vectors(study):
     assert got[1]["auc_score"] == pytest.approx(auc_of_scores(fitted.test))
 
 
-@pytest.mark.parametrize("rows, cores, parts", [(0, 8, 1), (1500, 8, 1), (15_000, 8, 8), (10**9, 4000, 10_000)])
+@pytest.mark.parametrize("rows, cores, parts", [(0, 8, 1), (1500, 8, 1), (15_000, 8, 3), (10**9, 4000, 10_000)])
 def test_parts_follow_the_size(rows, cores, parts):
     assert partitions_for(rows, cores) == parts
 
