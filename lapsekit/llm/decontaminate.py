@@ -22,6 +22,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Between words: every ASCII character but digits and lower-case letters.
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 SPAN, K = 10, 5
+#: Enough for the place of any word in a text.
+PLACE_BITS = 30
 #: Fingerprints of a benchmark that are sent to every task at most (each about 200 bytes); more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -37,10 +39,14 @@ def kept_grams(df: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     """Explodes ``w`` into the kept k-grams: ``gram``, ``at`` (from 1), ``around`` and ``first``, the place of its
     first word. ``around`` holds the words that any window over the k-gram can hold."""
     n, width = F.size("w"), span - k + 1
-    grams = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.xxhash64(F.slice("w", i, k)))
+    # a k-gram's hash above its place: the least of them is the least hash, the first of equal ones
+    grams = F.transform(
+        F.sequence(F.lit(1), n - k + 1), lambda i: F.shiftleft(F.xxhash64(F.slice("w", i, k)), PLACE_BITS).bitwiseOR(i)
+    )
     df = df.filter(n >= span).withColumn("grams", grams)
-    least = F.transform(F.sequence(F.lit(1), F.size("grams") - width + 1), lambda i: _least(i, width))
-    df = df.withColumn("places", F.array_distinct(least)).drop("grams")
+    least = F.transform(F.sequence(F.lit(1), F.size("grams") - width + 1), lambda i: F.array_min(F.slice("grams", i, width)))
+    places = F.transform(F.array_distinct(least), lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int"))
+    df = df.withColumn("places", places).drop("grams")
     picks = F.transform(
         "places",
         lambda i: F.struct(
@@ -54,12 +60,6 @@ def kept_grams(df: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     return df.select(*others, F.inline(picks))
 
 
-def _least(i: Column, width: int) -> Column:
-    """The place of the least of ``width`` k-grams from place ``i``, the first of equal ones."""
-    part = F.slice("grams", i, width)
-    return (i + F.array_position(part, F.array_min(part)) - 1).cast("int")
-
-
 def hits(docs: DataFrame, items: DataFrame, work: Work, span: int = SPAN, k: int = K) -> DataFrame:
     """Windows found: uid, item_id, ``start`` (the place of its first word) and ``words``. Both inputs have ``w``."""
     theirs = kept_grams(items.select("item_id", "w"), span, k)

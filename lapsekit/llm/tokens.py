@@ -1,32 +1,27 @@
 """Token ids of whole texts by a given tokenizer file, with the ids of frequent words kept.
 
-Both supported tokenizers split a text by a pattern whose matches never run from other characters into a space or
-line feed. So the ids of a text are those of its chunks, each a run of spaces and line feeds with the word that
-follows. A text that holds any other white space goes to the tokenizer whole: there the pattern looks ahead over
-white space of both kinds.
+The supported tokenizers split a text by a pattern whose matches never run from other characters into a space or
+line feed. So the ids of a text are those of its words, each with the one space or line feed before it, or without,
+where the tokenizer drops white space. Texts with other or repeated white space go to the tokenizer whole: there the
+pattern looks over several characters of white space.
 """
 
 from __future__ import annotations
 
-import re
+import os
 from collections.abc import Iterator
 
-import numpy as np
-from tokenizers import Tokenizer
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share out the cores
 
-#: Chunks whose ids a worker keeps at most; others are encoded again. It changes speed alone.
-KEPT = 250_000
-_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
+import numpy as np  # noqa: E402
+from tokenizers import Tokenizer  # noqa: E402
 
-
-class _Kept(dict):
-    """Ids by chunk; ``others`` are those of the texts at hand that found no room."""
-
-    others: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        return self.others[word]
+#: Words whose ids a worker keeps at most; others are encoded again. It changes speed alone.
+KEPT = 600_000
+#: White space to Python that tokenizers do not take for it.
+_ODD = "\x1c\x1d\x1e\x1f"
+#: Stands alone between words that are encoded together, where white space leaves no trace in the ids.
+_BREAK = "\x02"
 
 
 class Encoder:
@@ -37,7 +32,14 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kept = _Kept()
+        self.kept: dict[str, bytes] = {}
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.drops_space = ids("a a") == 2 * ids("a")
+        if self.drops_space:
+            self.breaks = np.array(ids(_BREAK), np.int64)
+        else:
+            self.space_led = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.space_led[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("Ġ")]] = True
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -45,35 +47,71 @@ class Encoder:
             cls._of[path] = cls(path)
         return cls._of[path]
 
-    def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 20_000):
-            for found in self.tokenizer.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False):
-                yield np.array(found.ids, dtype="<u4").tobytes()
-
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         size, part = 0, []
         for text in texts:
             part.append(text)
             size += len(text)
-            if size >= 2_000_000:
+            if size >= 1_000_000:
                 out += self._part(part)
                 size, part = 0, []
         return out + self._part(part)
 
+    def _words(self, text: str) -> list[str] | None:
+        """Keys of the words: as they stand after a space, or with what stands before them."""
+        if self.drops_space:
+            return None if any(c in text for c in _ODD) else text.split()
+        if not text or text.split() != text.replace("\n", " ").split(" "):
+            return None  # other or repeated white space
+        words = text.replace("\n", " \n").split(" ")
+        words[0] = "\r" + words[0]  # nothing before it; no text with this character comes here
+        return words
+
     def _part(self, texts: list[str]) -> list[bytes]:
-        chunks = [None if _OTHER_SPACE.search(text) else _CHUNK.findall(text) for text in texts]
-        kept = self.kept
-        new: set[str] = set()
-        for words in chunks:
-            if words is not None:
-                new.update(words)
-        new.difference_update(kept)
-        fresh = list(new)
-        kept.others = dict(zip(fresh, self._encode(fresh), strict=True))
-        for word in fresh[: max(0, KEPT - len(kept))]:
-            kept[word] = kept.others[word]
-        find = kept.__getitem__
-        whole = [text for text, words in zip(texts, chunks, strict=True) if words is None]
-        encoded = self._encode(whole)
-        return [next(encoded) if words is None else b"".join(map(find, words)) for words in chunks]
+        get = self.kept.get
+        words = [self._words(text) for text in texts]
+        found = [None if w is None else list(map(get, w)) for w in words]
+        missed: set[str] = set()
+        for w, ids in zip(words, found, strict=True):
+            if ids is not None and None in ids:
+                missed.update([x for x, i in zip(w, ids, strict=True) if i is None])
+        new = dict(self._new(sorted(missed)))
+        for w, ids in zip(words, found, strict=True):
+            if ids is not None and None in ids:
+                ids[:] = [new[x] if i is None else i for x, i in zip(w, ids, strict=True)]
+        for word in list(new)[: max(0, KEPT - len(self.kept))]:
+            self.kept[word] = new[word]
+        whole = self._each([text for text, w in zip(texts, words, strict=True) if w is None])
+        return [next(whole) if ids is None else b"".join(ids) for ids in found]
+
+    def _each(self, texts: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(texts), 5000):
+            for found in self.tokenizer.encode_batch_fast(texts[at : at + 5000], add_special_tokens=False):
+                yield np.array(found.ids, dtype="<u4").tobytes()
+
+    def _new(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of words, most of them encoded some hundred at a time."""
+        if self.drops_space:
+            plain = [w for w in words if _BREAK not in w]
+            together = lambda part: f" {_BREAK} ".join(part)
+        else:
+            plain = [w for w in words if w[0] not in "\r\n"] if "" not in words else []
+            together = lambda part: " " + " ".join(part)
+        groups = [plain[at : at + 300] for at in range(0, len(plain), 300)]
+        done: set[str] = set()
+        for part, found in zip(groups, self.tokenizer.encode_batch_fast([together(p) for p in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype=np.int64)
+            if self.drops_space:
+                at = np.flatnonzero(ids == self.breaks[0]) if len(self.breaks) == 1 else ids[:0]
+                starts, ends = np.concatenate([[0], at + 1]), np.concatenate([at, [len(ids)]])
+            else:
+                starts = np.flatnonzero(self.space_led[ids])
+                ends = np.concatenate([starts[1:], [len(ids)]])
+            if len(starts) == len(part):
+                data = ids.astype("<u4").tobytes()
+                yield from zip(part, [data[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], strict=True)
+                done.update(part)
+        rest = [w for w in words if w not in done]
+        text = rest if self.drops_space else [w[1:] if w[0] == "\r" else w if w[0] == "\n" else " " + w for w in rest]
+        yield from zip(rest, self._each(text), strict=True)
