@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from lapsekit.llm.decontaminate import op10_decontaminate
+from lapsekit.llm.fingerprints import op7_fingerprints
+from lapsekit.llm.language import op6_language
 from lapsekit.llm.packing import op4_packing
+from lapsekit.llm.quality import op3_quality
 from lapsekit.llm.token_store import op9_token_files
 from lapsekit.llm.warc import op2_warc
 
 QUERIES = {
     "op2_warc": op2_warc,
+    "op3_quality": op3_quality,
     "op4_packing": op4_packing,
+    "op6_language": op6_language,
+    "op7_fingerprints": op7_fingerprints,
     "op9_token_files": op9_token_files,
     "op10_decontaminate": op10_decontaminate,
 }
