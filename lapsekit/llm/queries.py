@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from lapsekit.llm.decontaminate import op10_decontaminate
 from lapsekit.llm.fingerprints import op7_fingerprints
+from lapsekit.llm.jaccard_join import op1_jaccard_join
 from lapsekit.llm.language import op6_language
 from lapsekit.llm.packing import op4_packing
 from lapsekit.llm.quality import op3_quality
+from lapsekit.llm.substrings import op5_repeated_strings
 from lapsekit.llm.token_store import op9_token_files
 from lapsekit.llm.warc import op2_warc
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_warc": op2_warc,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
+    "op5_repeated_strings": op5_repeated_strings,
     "op6_language": op6_language,
     "op7_fingerprints": op7_fingerprints,
     "op9_token_files": op9_token_files,
