@@ -107,8 +107,8 @@ def short_hits(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame
     return met.select("uid", "items", "start", "words")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, work: Work, span: int = SPAN, k: int = K) -> DataFrame:
-    """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+def _found(docs: DataFrame, benchmark: DataFrame, work: Work, span: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Documents under ``uid``, with their hashed words ``w``; and all windows found in them."""
     items = benchmark.select("item_id", word_hashes(F.coalesce("text", F.lit(""))).alias("w"))
     items = work.keep(items, "items")
     rows = work.keep(
@@ -118,7 +118,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, work: Work, span: int =
     )
     found = hits(rows, items, work, span, k)
     short = short_hits(rows, items, span)
-    found = found if short is None else found.unionByName(short)
+    return rows, found if short is None else found.unionByName(short)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, work: Work, span: int = SPAN, k: int = K) -> DataFrame:
+    """``docs`` without the documents that hold a window; of rows that repeat an id, all go with one."""
+    rows, found = _found(docs, benchmark, work, span, k)
+    gone = rows.select("uid", F.col("doc_id").alias("_gone")).join(found.select("uid").distinct(), "uid", "left_semi")
+    gone = work.keep(gone.select("_gone").distinct(), "gone")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, work: Work, span: int = SPAN, k: int = K) -> DataFrame:
+    """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    rows, found = _found(docs, benchmark, work, span, k)
     places = F.array_distinct(F.flatten(F.transform("windows", lambda x: F.sequence(x.start, x.start + x.words - 1))))
     per = found.groupBy("uid").agg(
         F.collect_set(F.struct("start", "words")).alias("windows"),

@@ -241,7 +241,7 @@ def verifier(docs: DataFrame, groups: DataFrame, work: Work, size: int):
 
 
 def similar_documents(df: DataFrame, work: Work, size: int = SHINGLE) -> DataFrame:
-    """Per document row: doc_id, n_shingles, component_id."""
+    """Per document row: doc_id, n_shingles, component_id, and ``member``, which names its set (0 for the empty one)."""
     docs = documents(df)
     found, counts = members(docs, work, size)
     small_at_most = boundary(found)
@@ -270,10 +270,18 @@ def similar_documents(df: DataFrame, work: Work, size: int = SHINGLE) -> DataFra
     least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
     classes = work.keep(classes.join(least, "label").select("member", "check", "component_id"), "classes")
     rows = found.filter("n > 0").join(classes, ["member", "check"])
-    rows = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    rows = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "member")
     empty = found.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return rows.unionByName(empty)
+    return rows.unionByName(empty.withColumn("member", F.lit(0).cast("long")))
+
+
+def one_of_each(df: DataFrame, work: Work, size: int = SHINGLE) -> DataFrame:
+    """``df`` without the documents of a component but that of the smallest doc_id. Documents without words all stay;
+    where ids repeat, rows of a kept id stay together."""
+    found = similar_documents(df, work, size)
+    gone = found.filter("n_shingles > 0 AND component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return df.join(work.keep(gone, "gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_documents(read(spark, sf_dir, "documents"), Work(spark, "op1"))
+    return similar_documents(read(spark, sf_dir, "documents"), Work(spark, "op1")).drop("member")

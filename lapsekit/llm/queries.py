@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lapsekit.llm.decontaminate import op10_decontaminate
 from lapsekit.llm.fingerprints import op7_fingerprints
 from lapsekit.llm.jaccard_join import op1_jaccard_join
 from lapsekit.llm.language import op6_language
+from lapsekit.llm.lines import op8_line_dedup
 from lapsekit.llm.packing import op4_packing
 from lapsekit.llm.quality import op3_quality
 from lapsekit.llm.substrings import op5_repeated_strings
@@ -13,6 +15,7 @@ from lapsekit.llm.token_store import op9_token_files
 from lapsekit.llm.warc import op2_warc
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_jaccard_join": op1_jaccard_join,
     "op2_warc": op2_warc,
     "op3_quality": op3_quality,
@@ -20,6 +23,7 @@ QUERIES = {
     "op5_repeated_strings": op5_repeated_strings,
     "op6_language": op6_language,
     "op7_fingerprints": op7_fingerprints,
+    "op8_line_dedup": op8_line_dedup,
     "op9_token_files": op9_token_files,
     "op10_decontaminate": op10_decontaminate,
 }
