@@ -24,6 +24,8 @@ from lapsekit.llm.shared import crc_mod, read
 from lapsekit.llm.text_arrays import LOWER, flat, parts
 
 BUCKETS, WIDTH, EPOCHS, BATCH, RATE = 4096, 16, 12, 64, 0.5
+#: Texts counted at once: a row of BUCKETS numbers each.
+ROWS = 256
 #: The sample's bound: documents of each language, and languages, that training takes.
 PER_LANGUAGE, LANGUAGES = 1500, 100
 #: Scores below this are rejected only if no right validation text scores lower.
@@ -118,7 +120,7 @@ def fit(df: DataFrame, learn: Column) -> Model | None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in parts(whole):
+            for batch in parts(whole, 1, rows=ROWS):
                 x = counts(batch.column(1)).astype(np.float16)
                 columns = [batch.column(0), pa.array([v.tobytes() for v in x], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "x"])
@@ -137,7 +139,7 @@ def predict(df: DataFrame, model: Model | None, *keep: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in parts(whole, batch_at):
+            for batch in parts(whole, batch_at, rows=ROWS):
                 letters = np.array(batch.column(letter_at).to_pylist(), bool)
                 if model is None:
                     lang, score = ["und"] * len(letters), np.zeros(len(letters))

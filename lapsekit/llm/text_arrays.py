@@ -26,14 +26,14 @@ def flat(column: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
 
 
-def parts(batch: pa.RecordBatch, at: int = 1, limit: int = PART) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about ``limit`` bytes of column ``at``."""
+def parts(batch: pa.RecordBatch, at: int = 1, limit: int = PART, rows: int = 4000) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about ``limit`` bytes of column ``at``, and ``rows`` rows at most."""
     if not batch.num_rows:
         return
     _, starts, ends = flat(batch.column(at))
     first = 0
     while first < batch.num_rows:
-        last = max(first + 1, int(np.searchsorted(ends, starts[first] + limit, side="right")))
+        last = max(first + 1, min(first + rows, int(np.searchsorted(ends, starts[first] + limit, side="right"))))
         yield batch.slice(first, last - first)
         first = last
 
