@@ -108,15 +108,20 @@ class Sketch:
 
 
 def differing(a: np.ndarray, b: np.ndarray, first: Sketch | None = None, second: Sketch | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Digests that only ``a`` has and those that only ``b`` has, by subtraction and peeling, larger on failure."""
+    """Digests that only ``a`` has and those that only ``b`` has, by subtraction and peeling, larger on failure.
+
+    A difference without an empty cell is far too large to peel; a larger sketch has room for all digests.
+    """
     cells = CELLS
     while True:
-        x = first if first and cells == CELLS else Sketch.of(a, cells)
-        y = second if second and cells == CELLS else Sketch.of(b, cells)
-        found = x.minus(y).peel()
+        small = first and second and cells == CELLS
+        rest = first.minus(second) if small else Sketch.of(a, cells).minus(Sketch.of(b, cells))
+        found = rest.peel() if not small or (rest.counts == 0).any() else None
         if found is not None:
             return found
         cells *= 4
+        while cells < 3 * (len(a) + len(b)):
+            cells *= 4
 
 
 def likeness(a: np.ndarray, b: np.ndarray, first: Sketch | None = None, second: Sketch | None = None) -> float:
