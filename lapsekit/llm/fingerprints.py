@@ -31,6 +31,7 @@ CELLS = 30
 PARAGRAPH_WORDS = 16
 _CUT = re.compile(r"\n+|(?<=[.!?])[ \t]+")
 _CHECK = U64(0xA5A5F00DBEEF1234)
+_LOW, _21, _42 = U64(0x1FFFFF), U64(21), U64(42)
 LEAST = -(1 << 63)
 
 
@@ -66,13 +67,13 @@ class Sketch:
         self.checks = np.zeros(cells, np.uint64)
 
     def put(self, found: np.ndarray, sign: np.ndarray | int) -> None:
-        third = self.cells // 3
-        check = mix(found ^ _CHECK)
-        for j in range(3):
-            at = (mix(found + U64(self.cells + j)) % U64(third)).astype(np.int64) + j * third
-            np.add.at(self.counts, at, sign)
-            np.bitwise_xor.at(self.keys, at, found)
-            np.bitwise_xor.at(self.checks, at, check)
+        third, where = U64(self.cells // 3), mix(found + U64(self.cells))
+        thrice = lambda x: np.concatenate((x, x, x))
+        at = np.concatenate(((where & _LOW) % third, (where >> _21 & _LOW) % third + third, (where >> _42) % third + third + third))
+        at = at.astype(np.int64)
+        np.add.at(self.counts, at, sign if isinstance(sign, int) else thrice(sign))
+        np.bitwise_xor.at(self.keys, at, thrice(found))
+        np.bitwise_xor.at(self.checks, at, thrice(mix(found ^ _CHECK)))
 
     @classmethod
     def of(cls, found: np.ndarray, cells: int) -> Sketch:

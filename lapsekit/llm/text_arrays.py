@@ -38,11 +38,15 @@ def parts(batch: pa.RecordBatch, at: int = 1, limit: int = PART, rows: int = 400
         first = last
 
 
+_MIX = U64(30), U64(0xBF58476D1CE4E5B9), U64(27), U64(0x94D049BB133111EB), U64(31)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    a, b, c, d, e = _MIX
+    x = (x ^ (x >> a)) * b
+    x = (x ^ (x >> c)) * d
+    return x ^ (x >> e)
 
 
 class Rolling:
