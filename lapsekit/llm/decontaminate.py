@@ -95,18 +95,19 @@ def short_hits(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame
         return None
     wanted = short.select(F.xxhash64("w").alias("gram"), F.col("w").alias("window"), "items")
     few = wanted.count() <= BROADCAST_ROWS
-    windows = []
-    for m in sorted(lengths):
-        starts = F.when(F.size("w") >= m, F.sequence(F.lit(1), F.size("w") - m + 1))
-        part = F.transform(
-            starts, lambda i, m=m: F.struct(F.slice("w", i, m).alias("window"), i.alias("start"), F.lit(m).alias("words"))
-        )
-        windows.append(F.coalesce(part, F.array().cast("array<struct<window:array<bigint>,start:int,words:int>>")))
+    windows = [_windows_of(m) for m in sorted(lengths)]
     mine = docs.select("uid", F.inline(F.concat(*windows))).withColumn("gram", F.xxhash64("window"))
     met = mine.join(F.broadcast(wanted) if few else wanted, ["gram", "window"])
     return met.select("uid", "items", "start", "words")
 
 
+def _windows_of(m: int) -> Column:
+    """All stretches of ``m`` words with their places."""
+    starts = F.when(F.size("w") >= m, F.sequence(F.lit(1), F.size("w") - m + 1))
+    part = F.transform(starts, lambda i: F.struct(F.slice("w", i, m).alias("window"), i.alias("start"), F.lit(m).alias("words")))
+    return F.coalesce(part, F.array().cast("array<struct<window:array<bigint>,start:int,words:int>>"))
+
+
 def _found(docs: DataFrame, benchmark: DataFrame, work: Work, span: int, k: int) -> tuple[DataFrame, DataFrame]:
     """Documents under ``uid``, with their hashed words ``w``; and all windows found in them."""
     items = benchmark.select("item_id", word_hashes(F.coalesce("text", F.lit(""))).alias("w"))

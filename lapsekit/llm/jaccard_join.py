@@ -38,7 +38,8 @@ SHINGLE = 5
 #: Share of the union, as a fraction of whole numbers.
 SHARED, UNITED = 80, 100
 #: The table of gram counts has 2**CELL_BITS cells, whatever the corpus; it is sent to every task as one byte a cell.
-CELL_BITS, CHUNKS = 20, 64
+CELL_BITS, CHUNKS = 22, 64
+CELLS = 1 << CELL_BITS
 #: Sets above this size are never small: their subsets are too many.
 SMALL_AT_MOST = 12
 
@@ -99,26 +100,35 @@ def set_names(each: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return n, names[0], names[1]
 
 
+def _cells(each: list[np.ndarray]) -> np.ndarray:
+    return np.bincount((np.concatenate(each) >> U64(64 - CELL_BITS)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+
+
 def members(docs: DataFrame, work: Work, size: int) -> tuple[DataFrame, DataFrame]:
     """Per document row: doc_id, n, member, check, and the grams of small sets; and the table of gram counts in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << CELL_BITS, np.int64)
+        cells, waiting, held = np.zeros(CELLS, np.uint32), [], 0
         names = ["doc_id", "n", "member", "check", "small", "chunk", "counts"]
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
         for whole in batches:
             for batch in parts(whole):
                 each = sets(batch.column(1), size)
                 n, name, check = set_names(each)
-                if n.sum():
-                    cells += np.bincount((np.concatenate(each) >> U64(64 - CELL_BITS)).astype(np.int64), minlength=len(cells))
+                waiting += each
+                held += int(n.sum())
+                if held > 2_000_000:
+                    cells += _cells(waiting)
+                    waiting, held = [], 0
                 small = [x.view(np.int64) if 0 < len(x) <= SMALL_AT_MOST else None for x in each]
                 columns = [batch.column(0), n.astype(np.int32), name, check, small, [None] * len(n), [None] * len(n)]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+        if held:
+            cells += _cells(waiting)
         part = TaskContext.get().partitionId()
         for k, x in enumerate(np.split(cells, CHUNKS)):
             if x.any():
-                row = [[None], [part], [None], [None], [None], [k], [x.astype("<i8").tobytes()]]
+                row = [[None], [part], [None], [None], [None], [k], [x.astype("<u4").tobytes()]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types, strict=True)], names)
 
     kinds = "doc_id long, n int, member long, check long, small array<long>, chunk int, counts binary"
@@ -130,13 +140,13 @@ def rarity(counts: DataFrame) -> np.ndarray:
     """One byte a cell: the bit length of the cell's count over all documents."""
 
     def added(key, pdf):
-        total = np.sum([np.frombuffer(x, "<i8") for x in pdf["counts"]], axis=0)
+        total = sum(np.frombuffer(x, "<u4" if len(x) == 4 * CELLS // CHUNKS else "<i8").astype(np.int64) for x in pdf["counts"])
         return pdf.iloc[:1].assign(counts=[total.astype("<i8").tobytes()])
 
     # in two steps, so that no task holds a row of every task before it
     some = counts.withColumn("n", F.pmod("n", F.lit(256))).groupBy("chunk", "n").applyInPandas(added, "chunk int, n int, counts binary")
     rows = some.groupBy("chunk").applyInPandas(added, "chunk int, n int, counts binary").collect()
-    out = np.zeros((CHUNKS, (1 << CELL_BITS) // CHUNKS), np.uint8)
+    out = np.zeros((CHUNKS, CELLS // CHUNKS), np.uint8)
     for r in rows:
         out[r.chunk] = np.ceil(np.log2(np.frombuffer(r.counts, "<i8") + 1)).astype(np.uint8)
     return out.reshape(-1)

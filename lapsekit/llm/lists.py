@@ -1,8 +1,8 @@
 """Links between members that share tokens: inverted lists, candidate pairs and components, without all pairs of a list.
 
-A first round compares the members of each list with its pivot alone, which gathers large groups of near copies.
-The second compares the pairs of a list that are still in different components, so no link between two components is
-lost. Long lists are cut into a grid of parts, so that no task holds one whole.
+The first rounds compare the members of each list with one pivot alone, another one in each round and only those not
+yet in its component; this gathers large groups of near copies. The last round compares all pairs of a list that are
+still in different components, so no link between two components is lost. Long lists are cut into a grid of parts, so that no task holds one whole.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from lapsekit.llm.shared import Work
 
 #: Members of a part of a list.
 PART = 256
+#: Rounds with one pivot a list.
+STARS = 3
 
 
 def shared_lists(tokens: DataFrame, work: Work, name: str = "lists") -> DataFrame:
@@ -132,21 +134,37 @@ def linked(
     ``verify`` takes pairs (x, y, nx, ny) and a name, and gives the linked (x, y). ``promising`` judges a pair by
     nx, ny, kind and c, the lists it shares; it must hold for every link.
     """
-    star = lists.filter("member != pivot").groupBy(F.col("pivot").alias("x"), F.col("member").alias("y")).agg(
-        F.count("*").alias("c"), F.max("kind").alias("kind"), F.min("pivot_size").alias("nx"), F.min("size").alias("ny")
-    )
     fits = F.least("nx", "ny") >= least_ratio * F.greatest("nx", "ny") - 1e-9
-    first = work.keep(verify(work.keep(star.filter(promising & fits).select("x", "y", "nx", "ny"), "pairs1"), "1"), "verified1")
-    labels = components(first, work, "components1")
-    placed = lists.select("token", "member", "size", "kind").join(labels.withColumnRenamed("node", "member"), "member", "left")
-    placed = work.keep(placed.select("token", "member", "size", "kind", F.coalesce("label", "member").alias("comp")), "placed")
+    found = None
+    rows = lists.select("token", "member", "size", "kind", F.col("pivot").alias("p"), F.col("pivot_size").alias("np"))
+    for k in range(STARS):
+        star = rows.filter("member != p").groupBy(F.least("p", "member").alias("x"), F.greatest("p", "member").alias("y")).agg(
+            F.count("*").alias("c"),
+            F.max("kind").alias("kind"),
+            F.min(F.when(F.col("p") < F.col("member"), F.col("np")).otherwise(F.col("size"))).alias("nx"),
+            F.min(F.when(F.col("p") < F.col("member"), F.col("size")).otherwise(F.col("np"))).alias("ny"),
+        )
+        pairs = work.keep(star.filter(promising & fits).select("x", "y", "nx", "ny"), f"pairs{k}")
+        checked = work.keep(verify(pairs, str(k)), f"verified{k}")
+        found = checked if found is None else found.unionByName(checked)
+        labels = components(found, work, f"components{k}")
+        placed = lists.select("token", "member", "size", "kind").join(labels.withColumnRenamed("node", "member"), "member", "left")
+        placed = work.keep(placed.select("token", "member", "size", "kind", F.coalesce("label", "member").alias("comp")), f"placed{k}")
+        if k:
+            work.drop(f"placed{k - 1}")
+        if k + 1 < STARS:
+            # of each list that is still split, the members outside the component of another pivot, picked by a hash
+            pick = F.min(F.struct(F.xxhash64(F.lit(k), "member").alias("h"), "member", "size", "comp")).alias("one")
+            again = placed.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), pick).filter("a != b")
+            again = again.select("token", F.col("one.member").alias("p"), F.col("one.size").alias("np"), F.col("one.comp").alias("pc"))
+            again = work.keep(again, f"pivots{k}")
+            rows = placed.join(again, "token").filter("comp != pc").select("token", "member", "size", "kind", "p", "np")
     split = placed.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n"))
     split = work.keep(split.filter("a != b").select("token", F.ceil(F.col("n") / PART).cast("int").alias("g")), "split")
     crossing = _grid_pairs(placed.join(split, "token"), least_ratio)
     crossing = crossing.groupBy("x", "y").agg(
         F.count("*").alias("c"), F.max("kind").alias("kind"), F.min("nx").alias("nx"), F.min("ny").alias("ny")
     )
-    pairs = work.keep(crossing.filter(promising).select("x", "y", "nx", "ny"), "pairs2")
-    work.drop("placed", "split")
-    second = work.keep(verify(pairs, "2"), "verified2")
-    return components(first.unionByName(second), work, "components2")
+    pairs = work.keep(crossing.filter(promising).select("x", "y", "nx", "ny"), "pairs")
+    work.drop(f"placed{STARS - 1}", "split")
+    return components(found.unionByName(work.keep(verify(pairs, "all"), "verified")), work)

@@ -45,17 +45,17 @@ def keyed(df: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LEAST_ID)).alias("doc"), F.xxhash64("text").alias("th"))
 
 
-def segments(column: pa.StringArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def segments(column: pa.StringArray, overlap: int = LENGTH, part: int = PART) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Bytes, and for each piece of a text in them: row, start, end, how many starts it has, its place in the text."""
     data, starts, ends = flat(column)
-    if len(data) <= 4 * PART:
+    if len(data) <= 4 * part:
         yield data, np.arange(len(starts)), starts, ends, ends - starts, np.zeros(len(starts), np.int64)
         return
     for row, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-        for at in range(a, b, PART):
-            end = min(b, at + PART + LENGTH)
+        for at in range(a, b, part):
+            end = min(b, at + part + overlap)
             one = lambda x: np.array([x], np.int64)
-            yield data[at:end], one(row), one(0), one(end - at), one(min(PART, b - at)), one(at - a)
+            yield data[at:end], one(row), one(0), one(end - at), one(min(part, b - at)), one(at - a)
 
 
 def blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n_starts: np.ndarray, length: int, window: int):
@@ -94,12 +94,12 @@ def blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n_starts: np.
     return piece, a, b - a + 1, p - a, core, whole
 
 
-def anchors(docs: DataFrame, length: int, window: int) -> DataFrame:
+def anchors(docs: DataFrame, length: int, window: int, part: int = PART) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in parts(whole, 2):
+            for batch in parts(whole, 2, part):
                 doc, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                for data, rows, starts, ends, n_starts, base in segments(batch.column(2)):
+                for data, rows, starts, ends, n_starts, base in segments(batch.column(2), length, part):
                     piece, a, n, before, core, name = blocks(data, starts, ends, n_starts, length, window)
                     row = rows[piece]
                     columns = [core.view(np.int64), name.view(np.int64), doc[row], th[row], a - starts[piece] + base[piece]]
@@ -201,9 +201,9 @@ def repeated(named: DataFrame, length: int) -> DataFrame:
     return placed.mapInArrow(run, "doc long, th long, start long, end long")
 
 
-def ranges_to_remove(docs: DataFrame, work: Work, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
+def ranges_to_remove(docs: DataFrame, work: Work, length: int = LENGTH, window: int = WINDOW, part: int = PART) -> DataFrame:
     """Per document with any: doc, th and ``ranges``, byte ranges to remove (start, end), unsorted."""
-    found = work.keep(anchors(docs, length, window), "anchors")
+    found = work.keep(anchors(docs, length, window, part), "anchors")
     ranks = found.groupBy("core").agg(F.count("*").alias("n_core"), F.min("block").alias("least"), F.max("block").alias("most"))
     ranks = ranks.filter("n_core > 1").select("core", "n_core", (F.col("least") != F.col("most")).alias("mixed"))
     ranks = work.keep(ranks, "ranks")
@@ -269,9 +269,11 @@ def remove(docs: DataFrame, ranges: DataFrame, with_bytes: bool = False) -> Data
     return out if with_bytes else out.drop("kept")
 
 
-def remove_repeats(df: DataFrame, work: Work, length: int = LENGTH, window: int = WINDOW, with_bytes: bool = False) -> DataFrame:
+def remove_repeats(
+    df: DataFrame, work: Work, length: int = LENGTH, window: int = WINDOW, with_bytes: bool = False, part: int = PART
+) -> DataFrame:
     docs = keyed(df)
-    return remove(docs, ranges_to_remove(docs, work, length, window), with_bytes)
+    return remove(docs, ranges_to_remove(docs, work, length, window, part), with_bytes)
 
 
 def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
