@@ -214,8 +214,8 @@ def listed_tokens(docs: DataFrame, ranks: np.ndarray, small_at_most: int, size:
     return docs.mapInArrow(run, "doc_id long, member long, n int, grams array<long>, subsets array<long>")
 
 
-def verifier(docs: DataFrame, groups: DataFrame, work: Work, size: int):
-    """Checks pairs on the whole sets of their members; only texts of members in pairs are read."""
+def verifier(docs: DataFrame, groups: DataFrame, lists: DataFrame, work: Work, size: int):
+    """Checks pairs on the whole sets of their members; sets are made once, of members that share a list."""
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -237,11 +237,11 @@ def verifier(docs: DataFrame, groups: DataFrame, work: Work, size: int):
                 ok[i] = UNITED * shared >= SHARED * (len(both) - shared)
             yield pa.RecordBatch.from_arrays([pa.array(x[ok]), pa.array(y[ok])], ["x", "y"])
 
-    def verify(pairs: DataFrame, name: str) -> DataFrame:
-        wanted = pairs.select(F.col("x").alias("member")).union(pairs.select("y")).distinct()
-        wanted = work.keep(wanted.join(groups, "member").select(F.col("least").alias("doc_id")).distinct(), f"wanted{name}")
-        found = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select(docs["doc_id"], "text")
-        found = work.keep(found.mapInArrow(whole_sets, "node long, grams binary"), f"sets{name}")
+    wanted = lists.select("member").distinct().join(groups, "member").select(F.col("least").alias("_id")).distinct()
+    found = docs.join(work.keep(wanted, "wanted"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("doc_id", "text")
+    found = work.keep(found.mapInArrow(whole_sets, "node long, grams binary"), "sets")
+
+    def verify(pairs: DataFrame) -> DataFrame:
         first = found.select(F.col("node").alias("x"), F.col("grams").alias("gx"))
         second = found.select(F.col("node").alias("y"), F.col("grams").alias("gy"))
         met = pairs.select("x", "y").join(first, "x").join(second, "y").select("x", "y", "gx", "gy")
@@ -274,7 +274,7 @@ def similar_documents(df: DataFrame, work: Work, size: int = SHINGLE) -> DataFra
     needed = F.ceil(total * SHARED / (SHARED + UNITED))
     beyond = F.greatest(*(F.ceil(F.col(n) * SHARED / UNITED) - 1 for n in ("nx", "ny")))
     promising = (F.col("kind") == 1) | (F.col("c") >= needed - beyond)
-    labels = linked(lists, work, verifier(docs, groups, work, size), promising, SHARED / UNITED)
+    labels = linked(lists, work, verifier(docs, groups, lists, work, size), promising, SHARED / UNITED)
     classes = groups.join(labels.withColumnRenamed("node", "member"), "member", "left")
     classes = classes.select("member", "check", "least", F.coalesce("label", "member").alias("label"))
     least = classes.groupBy("label").agg(F.min("least").alias("component_id"))

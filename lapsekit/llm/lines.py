@@ -107,8 +107,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "th", "text").mapInArrow(run, "member long, doc long, th long, line int, bands array<long>")
 
 
-def verifier(docs: DataFrame, groups: DataFrame, work: Work):
-    """Checks pairs of lines on their texts, each fetched from one place where it occurs."""
+def verifier(docs: DataFrame, groups: DataFrame, lists: DataFrame, work: Work):
+    """Checks pairs of lines on their texts, fetched once, each from one place where it occurs."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,12 +124,12 @@ def verifier(docs: DataFrame, groups: DataFrame, work: Work):
             ok = pa.array([similar(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["x", "y"])
 
-    def verify(pairs: DataFrame, name: str) -> DataFrame:
-        wanted = pairs.select(F.col("x").alias("member")).union(pairs.select("y")).distinct().join(groups, "member")
-        wanted = wanted.groupBy("first.doc", "first.th").agg(F.collect_list(F.struct("member", "first.line")).alias("wanted"))
-        wanted = work.keep(wanted, f"wanted{name}")
-        found = docs.join(wanted, ["doc", "th"]).select("text", "wanted").mapInArrow(fetch, "node long, text string")
-        found = work.keep(found, f"texts{name}")
+    wanted = lists.select("member").distinct().join(groups, "member")
+    wanted = wanted.groupBy("first.doc", "first.th").agg(F.collect_list(F.struct("member", "first.line")).alias("wanted"))
+    found = docs.join(work.keep(wanted, "wanted"), ["doc", "th"]).select("text", "wanted").mapInArrow(fetch, "node long, text string")
+    found = work.keep(found, "texts")
+
+    def verify(pairs: DataFrame) -> DataFrame:
         a = found.select(F.col("node").alias("x"), F.col("text").alias("a"))
         b = found.select(F.col("node").alias("y"), F.col("text").alias("b"))
         return pairs.select("x", "y").join(a, "x").join(b, "y").select("x", "y", "a", "b").mapInArrow(check, "x long, y long")
@@ -145,7 +145,7 @@ def repeats(docs: DataFrame, work: Work) -> DataFrame:
     lists = shared_lists(tokens, work)
     groups = found.groupBy("member").agg(F.count("*").alias("n"), F.min(F.struct("doc", "line", "th")).alias("first"))
     groups = work.keep(groups, "groups")
-    labels = linked(lists, work, verifier(docs, groups, work), F.lit(True), 0.0)
+    labels = linked(lists, work, verifier(docs, groups, lists, work), F.lit(True), 0.0)
     classes = groups.join(labels.withColumnRenamed("node", "member"), "member", "left")
     classes = classes.select("member", "n", "first", F.coalesce("label", "member").alias("label"))
     kept = classes.groupBy("label").agg(F.min("first").alias("keep"), F.sum("n").alias("total")).filter("total > 1")

@@ -19,8 +19,9 @@ from lapsekit.llm.shared import Work
 
 #: Members of a part of a list.
 PART = 256
-#: Rounds with one pivot a list.
-STARS = 3
+#: Rounds with one pivot a list at most; fewer when the pairs left are no more than the rows of all lists, or when a
+#: round finds no link. The last round is complete either way.
+STARS = 6
 
 
 def shared_lists(tokens: DataFrame, work: Work, name: str = "lists") -> DataFrame:
@@ -125,18 +126,19 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Ta
 def linked(
     lists: DataFrame,
     work: Work,
-    verify: Callable[[DataFrame, str], DataFrame],
+    verify: Callable[[DataFrame], DataFrame],
     promising: Column,
     least_ratio: float,
 ) -> DataFrame:
     """Components (node, label) of members joined by verified pairs.
 
-    ``verify`` takes pairs (x, y, nx, ny) and a name, and gives the linked (x, y). ``promising`` judges a pair by
+    ``verify`` takes pairs (x, y) and gives the linked ones. ``promising`` judges a pair by
     nx, ny, kind and c, the lists it shares; it must hold for every link.
     """
     fits = F.least("nx", "ny") >= least_ratio * F.greatest("nx", "ny") - 1e-9
-    found = None
     rows = lists.select("token", "member", "size", "kind", F.col("pivot").alias("p"), F.col("pivot_size").alias("np"))
+    total = lists.count()
+    found = None
     for k in range(STARS):
         star = rows.filter("member != p").groupBy(F.least("p", "member").alias("x"), F.greatest("p", "member").alias("y")).agg(
             F.count("*").alias("c"),
@@ -144,27 +146,33 @@ def linked(
             F.min(F.when(F.col("p") < F.col("member"), F.col("np")).otherwise(F.col("size"))).alias("nx"),
             F.min(F.when(F.col("p") < F.col("member"), F.col("size")).otherwise(F.col("np"))).alias("ny"),
         )
-        pairs = work.keep(star.filter(promising & fits).select("x", "y", "nx", "ny"), f"pairs{k}")
-        checked = work.keep(verify(pairs, str(k)), f"verified{k}")
+        pairs = work.keep(star.filter(promising & fits).select("x", "y"), f"pairs{k}")
+        checked = work.keep(verify(pairs), f"verified{k}")
         found = checked if found is None else found.unionByName(checked)
         labels = components(found, work, f"components{k}")
         placed = lists.select("token", "member", "size", "kind").join(labels.withColumnRenamed("node", "member"), "member", "left")
         placed = work.keep(placed.select("token", "member", "size", "kind", F.coalesce("label", "member").alias("comp")), f"placed{k}")
         if k:
-            work.drop(f"placed{k - 1}")
-        if k + 1 < STARS:
-            # of each list that is still split, the members outside the component of another pivot, picked by a hash
-            pick = F.min(F.struct(F.xxhash64(F.lit(k), "member").alias("h"), "member", "size", "comp")).alias("one")
-            again = placed.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), pick).filter("a != b")
-            again = again.select("token", F.col("one.member").alias("p"), F.col("one.size").alias("np"), F.col("one.comp").alias("pc"))
-            again = work.keep(again, f"pivots{k}")
-            rows = placed.join(again, "token").filter("comp != pc").select("token", "member", "size", "kind", "p", "np")
-    split = placed.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n"))
-    split = work.keep(split.filter("a != b").select("token", F.ceil(F.col("n") / PART).cast("int").alias("g")), "split")
+            work.drop(f"placed{k - 1}", f"split{k - 1}")
+        # Of each list that is still split: its members, and the pairs to compare if all were.
+        pick = F.min(F.struct(F.xxhash64(F.lit(k), "member").alias("h"), "member", "size")).alias("one")
+        split = placed.groupBy("token", "comp").agg(F.count("*").alias("m"), pick).groupBy("token").agg(
+            F.sum("m").alias("n"),
+            ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("left"),
+            F.max(F.struct("m", "one.h", "one.member", "one.size", "comp")).alias("one"),
+            F.count("*").alias("parts"),
+        )
+        split = work.keep(split.filter("parts > 1"), f"split{k}")
+        left = split.agg(F.sum("left")).first()[0] or 0
+        if left <= total or (k and checked.isEmpty()):
+            break
+        # The next pivot is of the list's largest component, picked by a hash; those outside meet it.
+        pivots = split.select("token", F.col("one.member").alias("p"), F.col("one.size").alias("np"), F.col("one.comp").alias("pc"))
+        rows = placed.join(pivots, "token").filter("comp != pc").select("token", "member", "size", "kind", "p", "np")
+    split = split.select("token", F.ceil(F.col("n") / PART).cast("int").alias("g"))
     crossing = _grid_pairs(placed.join(split, "token"), least_ratio)
     crossing = crossing.groupBy("x", "y").agg(
         F.count("*").alias("c"), F.max("kind").alias("kind"), F.min("nx").alias("nx"), F.min("ny").alias("ny")
     )
-    pairs = work.keep(crossing.filter(promising).select("x", "y", "nx", "ny"), "pairs")
-    work.drop(f"placed{STARS - 1}", "split")
-    return components(found.unionByName(work.keep(verify(pairs, "all"), "verified")), work)
+    pairs = work.keep(crossing.filter(promising).select("x", "y"), "pairs")
+    return components(found.unionByName(work.keep(verify(pairs), "verified")), work)

@@ -183,7 +183,7 @@ def test_long_lists_are_cut_but_lose_no_link(spark, work, monkeypatch):
     monkeypatch.setattr(lists, "PART", 4)
     tokens = spark.createDataFrame([(1, m, 10, 0) for m in range(40)] + [(2, 99, 10, 0)], "token long, member long, size int, kind int")
     # links only between neighbours, none with the pivot but 0-1
-    verify = lambda pairs, name: pairs.filter("y - x = 1").select("x", "y")
+    verify = lambda pairs: pairs.filter("y - x = 1").select("x", "y")
     found = lists.shared_lists(tokens, work)
     got = {r.node: r.label for r in lists.linked(found, work, verify, F.lit(True), 0.8).collect()}
     assert got == dict.fromkeys(range(40), 0)
