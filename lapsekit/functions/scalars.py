@@ -31,9 +31,11 @@ def to_double(c: ColumnLike) -> Column:
     return _col(c).try_cast("double")
 
 
-def to_moment(c: ColumnLike) -> Column:
-    """Text to a timestamp without time zone, NULL when unreadable."""
-    return _col(c).try_cast("timestamp_ntz")
+def to_moment(c: ColumnLike, fmt: str | None = None) -> Column:
+    """Text in ``fmt`` (ISO without it) to a timestamp without time zone, NULL when unreadable."""
+    if fmt is None:
+        return _col(c).try_cast("timestamp_ntz")
+    return F.try_to_timestamp(_col(c), F.lit(fmt)).cast("timestamp_ntz")
 
 
 def parse_date(c: ColumnLike, fmt: str | None = None) -> Column:

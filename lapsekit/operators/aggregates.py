@@ -16,19 +16,20 @@ from lapsekit.functions import days_between, row_sum
 from lapsekit.operators.columns import numeric_columns
 
 
-def rounded_mean(col: str, scale: int, fixed_scale: int | None = None) -> Column:
+def rounded_mean(col: str, scale: int, exact_scale: int | None = None) -> Column:
     """Average of the non-null values, rounded half up.
 
-    With ``fixed_scale`` the values are summed as whole units of that many decimals
-    and divided as decimals: neither the order in which partitions arrive nor
-    binary fractions can then move the last digit.
+    With ``exact_scale`` the values are summed as decimals of that many places, so that neither the order in which
+    partitions arrive nor binary fractions move the last digit. A group with a value of more places, or of more than
+    ten digits before the point, takes the plain average: no value is ever cut.
     """
-    if fixed_scale is None:
-        return F.round(F.avg(col), scale)
-    unit = 10**fixed_scale
-    n = F.count(col)
-    total = F.sum(F.rint(F.col(col) * unit).try_cast("bigint")).cast("decimal(20,0)")
-    return F.when(n > 0, F.round(total / (n * unit), scale)).cast("double")
+    plain = F.round(F.avg(col), scale)
+    if exact_scale is None:
+        return plain
+    exact = F.col(col).try_cast(f"decimal({exact_scale + 10},{exact_scale})")
+    kept = F.col(col).isNull() | F.coalesce(exact.cast("double") == F.col(col), F.lit(False))
+    mean = F.round(F.try_divide(F.sum(exact), F.count(col)), scale).cast("double")
+    return F.when(F.bool_and(kept), mean).otherwise(plain)
 
 
 def profile_exprs(
@@ -36,16 +37,16 @@ def profile_exprs(
     scale: int = 2,
     counted: Sequence[str] = (),
     unrounded: Sequence[str] = (),
-    fixed_scale: Mapping[str, int] | None = None,
+    exact_scale: Mapping[str, int] | None = None,
 ) -> list[Column]:
     """avg/max/min per measure, plus the non-null count for those in ``counted``."""
-    fixed = fixed_scale or {}
+    exact = exact_scale or {}
     exprs: list[Column] = []
     for c in cols:
         top, low = F.max(c), F.min(c)
         if c not in unrounded:
             top, low = F.round(top, scale), F.round(low, scale)
-        exprs.append(rounded_mean(c, scale, fixed.get(c)).alias(f"avg_{c}"))
+        exprs.append(rounded_mean(c, scale, exact.get(c)).alias(f"avg_{c}"))
         exprs.append(top.alias(f"max_{c}"))
         exprs.append(low.alias(f"min_{c}"))
         if c in counted:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lapsekit.functions.naming import quote
 from lapsekit.functions import measure_or_zero, recode, to_double, to_integer, to_moment
 
 CONVERTERS = {"int": to_integer, "double": to_double, "moment": to_moment}
@@ -25,22 +26,30 @@ def recode_columns(df: DataFrame, recodes: Mapping[str, Mapping[str, str]]) -> D
     return df.withColumns({c: recode(c, mapping) for c, mapping in recodes.items()})
 
 
-def convert(df: DataFrame, measures: Mapping[str, tuple[str, str]], sentinel: str = "NA") -> DataFrame:
+def convert(
+    df: DataFrame, measures: Mapping[str, tuple[str, str]], sentinel: str = "NA", date_format: str | None = None
+) -> DataFrame:
     """Replace raw text columns by typed ones: ``{raw: (new name, int|double|moment)}``.
 
     One projection for all columns, so the plan does not grow a node per column.
     Unreadable text gives NULL in any case; taking the ``sentinel`` out beforehand
     spares the exception the number parser throws for each such value, which on
-    files full of them costs more than the aggregate that follows.
+    files full of them costs more than the aggregate that follows. ``date_format``
+    is that of moments in text columns.
     """
     kinds = {f.name: f.dataType for f in df.schema}
-    kept = [F.col(c) for c in df.columns if c not in measures]
+    kept = [F.col(quote(c)) for c in df.columns if c not in measures]
 
     def source(raw: str) -> Column:
         is_text = isinstance(kinds[raw], T.StringType)
-        return F.nullif(F.col(raw), F.lit(sentinel)) if is_text else F.col(raw)
+        return F.nullif(F.col(quote(raw)), F.lit(sentinel)) if is_text else F.col(quote(raw))
 
-    typed = [CONVERTERS[kind](source(raw)).alias(name) for raw, (name, kind) in measures.items()]
+    def read(raw: str, kind: str) -> Column:
+        if kind == "moment" and date_format and isinstance(kinds[raw], T.StringType):
+            return to_moment(source(raw), date_format)
+        return CONVERTERS[kind](source(raw))
+
+    typed = [read(raw, kind).alias(name) for raw, (name, kind) in measures.items()]
     return df.select(*kept, *typed)
 
 

@@ -43,3 +43,31 @@ def dedup_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     ranking = [*order, *[c for c in rest if c not in order]]
     best = df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*ranking)).alias("_last"))
     return best.select(key, *[F.col("_last")[c].alias(c) for c in rest]).select(*df.columns)
+
+
+#: Above every 64-bit id twice over, below 10^20, so that a day's microseconds times it stay in 38 digits.
+_ID_ROOM = "CAST(100000000000000000000 AS DECIMAL(21,0))"
+_ID_SHIFT = "CAST(9223372036854775809 AS DECIMAL(20,0))"
+
+
+def latest_flag(moment: str, id_col: str, flag: Column) -> Column:
+    """Greatest (moment, id, flag) as one decimal: a plain maximum of fixed width.
+
+    Unlike a struct, it fits the buffer of a hash aggregate, so no row is sorted
+    before it is combined. Rows without a moment do not count; a NULL id is the
+    least. The moment's year is 1 at least.
+    """
+    at = F.col(moment).cast("timestamp_ntz")
+    second = F.date_part(F.lit("SECOND"), at).cast("decimal(8,6)") * 1_000_000
+    days = F.datediff(at, F.lit("0001-01-01").cast("date")).cast("bigint")
+    micros = (days * 86_400 + F.hour(at) * 3_600 + F.minute(at) * 60) * 1_000_000 + second.cast("bigint")
+    number = F.coalesce(F.col(id_col).cast("decimal(20,0)") + F.expr(_ID_SHIFT), F.lit(0).cast("decimal(20,0)"))
+    low = number * 2 + F.coalesce(flag.cast("int"), F.lit(0))
+    return F.max((micros.cast("decimal(18,0)") * F.expr(_ID_ROOM) + low).cast("decimal(38,0)"))
+
+
+def unpack_flag(packed: str) -> tuple[Column, Column]:
+    """Year of the moment and the flag (0 or 1) of a ``latest_flag`` result; NULL without a moment."""
+    micros = F.expr(f"CAST(`{packed}` DIV {_ID_ROOM} AS BIGINT)")
+    day = F.date_add(F.lit("0001-01-01").cast("date"), F.floor(micros / 86_400_000_000).cast("int"))
+    return F.year(day), (F.col(packed) % 2).cast("int")

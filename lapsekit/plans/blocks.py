@@ -12,12 +12,12 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapsekit.functions import churn_flag, date_or, row_sum, tag
+from lapsekit.functions import date_or, row_sum, tag
 from lapsekit.operators.aggregates import days_since_last, profile_exprs, tenure_exprs, year_exprs
 from lapsekit.operators.columns import as_measures, convert, recode_columns
 from lapsekit.operators.encode import count_exprs, discover_categories, dummy_name
 from lapsekit.operators.joins import BROADCAST_ROWS, attach, has_at_most, one_row_per_key
-from lapsekit.operators.latest import latest_struct, unpack
+from lapsekit.operators.latest import latest_flag, unpack_flag
 from lapsekit.plans.specs import COUNTED, EVENT_DATES, MEASURES, UNROUNDED, ChurnSpec
 
 LATEST_ORDER = ("EndDate", "SubscriptionID")
@@ -30,7 +30,7 @@ def typed_subscriptions(subs: DataFrame, spec: ChurnSpec) -> DataFrame:
     """
     kept = subs.withColumn("RenewalText", F.col("RenewalDate"))
     typed = as_measures(
-        convert(kept, {**MEASURES, **EVENT_DATES}, spec.sentinel), spec.measure_names, spec.missing
+        convert(kept, {**MEASURES, **EVENT_DATES}, spec.sentinel, spec.date_format), spec.measure_names, spec.missing
     )
     if spec.end_fallback:
         dates = [name for name, _ in EVENT_DATES.values()]
@@ -38,21 +38,26 @@ def typed_subscriptions(subs: DataFrame, spec: ChurnSpec) -> DataFrame:
     return typed
 
 
+def latest_renewal(spec: ChurnSpec) -> Column:
+    """The latest subscription and whether its renewal is the sentinel, packed for a hash aggregate."""
+    return latest_flag(*LATEST_ORDER, F.col("RenewalText") == spec.sentinel)
+
+
 def latest_label(latest: str, spec: ChurnSpec) -> Column:
-    renewal, end = unpack(latest, LATEST_ORDER, ("RenewalText", "EndDate"))
-    return churn_flag(renewal, end, spec.sentinel, spec.current_year).alias("label")
+    year, lapsed = unpack_flag(latest)
+    return F.when((lapsed == 1) & (year != spec.current_year), 1).otherwise(0).alias("label")
 
 
 def churn_labels(subs: DataFrame, spec: ChurnSpec) -> DataFrame:
     """Customer and 0/1 label from the latest subscription."""
     rows = subs.select(spec.key, *LATEST_ORDER, F.col("RenewalDate").alias("RenewalText"))
-    best = rows.groupBy(spec.key).agg(latest_struct(LATEST_ORDER, ("RenewalText",)).alias("_last"))
+    best = rows.groupBy(spec.key).agg(latest_renewal(spec).alias("_last"))
     return best.select(spec.key, latest_label("_last", spec))
 
 
 def profile_of(spec: ChurnSpec) -> list[Column]:
     return profile_exprs(
-        spec.measure_names, counted=COUNTED, unrounded=UNROUNDED, fixed_scale=spec.fixed_scale
+        spec.measure_names, counted=COUNTED, unrounded=UNROUNDED, exact_scale=spec.exact_scale
     )
 
 
@@ -77,7 +82,7 @@ def subscription_block(subs: DataFrame, spec: ChurnSpec, formula: DataFrame | No
         *count_exprs("ProductName", spec.products),
         *profile_of(spec),
         *tenure_of(spec),
-        latest_struct(LATEST_ORDER, ("RenewalText",)).alias("_last"),
+        latest_renewal(spec).alias("_last"),
         *year_exprs("StartDate", spec.years, "Sub_"),
     ]
     if formula is not None:

@@ -50,10 +50,13 @@ def _profile(measures, counted=COUNTED) -> str:
     parts = []
     for m in measures:
         mean = f"round(avg({m}), 2)"
-        if m == "Price_per_meal":  # whole cents, rounded half up by integer division
-            cents = f"sum(CAST(CAST({m} AS DECIMAL(18,2)) * 100 AS BIGINT))"
-            mean = f"CAST((2 * {cents} + count({m})) // (2 * count({m})) AS DOUBLE) / 100"
-        parts += [f"{mean} AS avg_{m}", f"round(max({m}), 2) AS max_{m}", f"round(min({m}), 2) AS min_{m}"]
+        if m == "Price_per_meal":  # units of the text's four places, rounded half up by integer division
+            units = "sum(CAST(try_cast(PriceText AS DECIMAL(18,4)) * 10000 AS BIGINT))"
+            mean = f"CAST((2 * {units} + 100 * count({m})) // (200 * count({m})) AS DOUBLE) / 100"
+        top, low = (f"round({f}({m}), 2)" for f in ("max", "min"))
+        if m == "Price_per_meal":
+            top, low = (f"CAST(round({f}(try_cast(PriceText AS DECIMAL(18,4))), 2) AS DOUBLE)" for f in ("max", "min"))
+        parts += [f"{mean} AS avg_{m}", f"{top} AS max_{m}", f"{low} AS min_{m}"]
         if m in counted:
             parts.append(f"count({m}) AS count_{m}")
     return ", ".join(parts)
@@ -81,7 +84,7 @@ PIECES: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT l_orderkey, min(l_partkey) AS part, CAST(sum(l_quantity) AS BIGINT) AS quantity,
   sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS gross,
   sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS net,
-  min(CAST(l_extendedprice AS DECIMAL(18,2))) AS cheapest,
+  min(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS cheapest,
   CAST(round(min(l_discount) * 100) AS INTEGER) AS least_off,
   CAST(round(max(l_discount) * 100) AS INTEGER) AS most_off,
   CAST(round(max(l_tax) * 100) AS INTEGER) AS tax,
@@ -100,7 +103,7 @@ FROM lineitem GROUP BY l_orderkey""",
        ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END AS NbrMeals_EXCEP,
   coalesce(CAST(CAST(gross AS DECIMAL(18,2)) AS VARCHAR), 'NA') AS GrossFormulaPrice,
   coalesce(CAST(CAST(net AS DECIMAL(18,2)) AS VARCHAR), 'NA') AS NetFormulaPrice,
-  coalesce(CAST(cheapest AS VARCHAR), 'NA') AS NbrMealsPrice,
+  coalesce(CAST(CAST(cheapest AS DECIMAL(18,4)) AS VARCHAR), 'NA') AS NbrMealsPrice,
   coalesce(CAST(least_off AS VARCHAR), 'NA') AS ProductDiscount,
   coalesce(CAST(tax AS VARCHAR), 'NA') AS FormulaDiscount,
   coalesce(CAST(most_off AS VARCHAR), 'NA') AS TotalDiscount,
@@ -117,7 +120,7 @@ FROM orders LEFT JOIN lines ON o_orderkey = l_orderkey""",
     ),
     "measures": (
         ("typed",),
-        "SELECT CustomerID, StartDate, EndDate, ProductName, FormulaID, Date_Renewal, Date_Payment, "
+        "SELECT CustomerID, StartDate, EndDate, ProductName, FormulaID, Date_Renewal, Date_Payment, NbrMealsPrice AS PriceText, "
         + ", ".join(f"CAST(t_{name} AS DOUBLE) AS {name}" for name in MEASURE_KINDS)
         + " FROM typed",
     ),

@@ -35,6 +35,12 @@ class ChurnSpec:
     counts them as 0 (``zero``). ``end_fallback`` lets a missing payment or renewal
     date take the end date. ``recency_fill`` replaces 0 as the recency of customers
     without any event. ``formula_types`` left empty is read from the formula table.
+    ``exact_scale`` names measures whose means are summed as decimals of so many
+    places. ``date_format`` is that of payment and renewal dates (ISO without it).
+    ``categories`` says what becomes of complaint and delivery categories that are
+    not declared: ``found`` gives each its own column, at most ``max_categories``
+    per source column (more are an error), ``declared`` counts them together as
+    ``<column>_undeclared``.
     """
 
     as_of: date
@@ -52,7 +58,10 @@ class ChurnSpec:
     end_fallback: bool = False
     recency_fill: float | None = None
     not_in_total: tuple[str, ...] = ("Other_Complaint",)
-    fixed_scale: Mapping[str, int] = field(default_factory=lambda: {"Price_per_meal": 2})
+    exact_scale: Mapping[str, int] = field(default_factory=lambda: {"Price_per_meal": 10})
+    date_format: str | None = None
+    categories: str = "found"
+    max_categories: int = 1000
     region_prefix: str = "Region"
 
     @property

@@ -23,12 +23,13 @@ from lapsekit.session import cut_lineage
 
 
 ROWS_PER_PART = 100_000
-FEWEST_ROWS = 5_000
+FEWEST_ROWS, SMALL_PARTS = 5_000, 32
 
 
-def partitions_for(rows: int, cores: int) -> int:
-    """Parts of about 100,000 rows; small tables use the cores but no crumbs below 5,000 rows."""
-    return max(1, math.ceil(rows / ROWS_PER_PART), min(cores, rows // FEWEST_ROWS))
+def partitions_for(rows: int) -> int:
+    """Parts of about 100,000 rows, of 5,000 while there are at most 32 of those. The rows alone decide: bagging and
+    sums depend on the parts, and must not depend on the machine."""
+    return max(1, math.ceil(rows / ROWS_PER_PART), min(SMALL_PARTS, rows // FEWEST_ROWS))
 
 
 class ChurnStudy:
@@ -81,7 +82,7 @@ class ChurnStudy:
     @cached_property
     def features(self) -> DataFrame:
         written = cut_lineage(self._source)
-        parts = self.partitions or partitions_for(written.count(), written.sparkSession.sparkContext.defaultParallelism)
+        parts = self.partitions or partitions_for(written.count())
         return self._keep(written.repartition(parts, self.key).sortWithinPartitions(self.key))
 
     @cached_property

@@ -15,10 +15,10 @@ from lapsekit.sources.readers import read_parquet
 SENTINEL = "NA"
 
 
-def _decimal_text(whole: Column, unit: str) -> Column:
-    """``whole`` units of 10^-n as text with two decimals."""
+def _decimal_text(whole: Column, unit: str, places: int = 2) -> Column:
+    """``whole`` units of 10^-n as text with so many decimals."""
     scaled = whole.cast("decimal(20,0)") * F.lit(unit).cast("decimal(5,4)")
-    return scaled.cast("decimal(18,2)").cast("string")
+    return scaled.cast(f"decimal(18,{places})").cast("string")
 
 
 def _or_sentinel(text: Column) -> Column:
@@ -42,7 +42,7 @@ def _per_order(spark: SparkSession, folder: str) -> DataFrame:
         F.sum("quantity").alias("quantity"),
         F.sum("cents").alias("gross"),
         F.sum(F.col("cents") * (100 - F.col("percent"))).alias("net"),
-        F.min("cents").alias("cheapest"),
+        F.min(F.col("cents") * (100 - F.col("percent"))).alias("cheapest"),
         F.min("percent").alias("least_off"),
         F.max("percent").alias("most_off"),
         F.max("tax").alias("tax"),
@@ -70,7 +70,7 @@ def subscriptions(spark: SparkSession, folder: str) -> DataFrame:
         F.when(status == "O", SENTINEL).otherwise(price).alias("NbrMeals_EXCEP"),
         _or_sentinel(_decimal_text(F.col("gross"), "0.01")).alias("GrossFormulaPrice"),
         _or_sentinel(_decimal_text(F.col("net"), "0.0001")).alias("NetFormulaPrice"),
-        _or_sentinel(_decimal_text(F.col("cheapest"), "0.01")).alias("NbrMealsPrice"),
+        _or_sentinel(_decimal_text(F.col("cheapest"), "0.0001", 4)).alias("NbrMealsPrice"),
         _or_sentinel(F.col("least_off").cast("string")).alias("ProductDiscount"),
         _or_sentinel(F.col("tax").cast("string")).alias("FormulaDiscount"),
         _or_sentinel(F.col("most_off").cast("string")).alias("TotalDiscount"),
