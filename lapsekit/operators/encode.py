@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lapsekit.functions.naming import quote, safe
+
 
 def distinct_categories(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).distinct()
@@ -24,13 +26,24 @@ def discover_categories(df: DataFrame, col: str, limit: int = 1000) -> list:
     return sorted(r[0] for r in found)
 
 
+def discover_each(df: DataFrame, cols: Sequence[str], limit: int = 1000) -> dict[str, list]:
+    """``discover_categories`` of several columns in one pass."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(quote(c)).cast("string").alias("v")) for c in cols])
+    found = df.select(F.inline(pairs)).where(F.col("v").isNotNull()).distinct().limit(len(cols) * limit + 1).collect()
+    result: dict[str, list] = {c: sorted(r.v for r in found if r.c == c) for c in cols}
+    for c, values in result.items():
+        if len(values) > limit:
+            raise ValueError(f"{c} has more than {limit} categories")
+    return result
+
+
 def matches(col: str, category) -> Column:
     """Equality with a category; ``None`` stands for the NULL bucket."""
-    return F.col(col).isNull() if category is None else F.col(col) == F.lit(category)
+    return F.col(quote(col)).isNull() if category is None else F.col(quote(col)) == F.lit(category)
 
 
 def dummy_name(prefix: str, category) -> str:
-    return f"{prefix}_{'null' if category is None else category}"
+    return safe(f"{prefix}_{'null' if category is None else category}")
 
 
 def one_hot(
@@ -57,6 +70,11 @@ def count_exprs(col: str, names: Mapping) -> list[Column]:
     return [F.count_if(matches(col, c)).alias(name) for c, name in names.items()]
 
 
+def undeclared(col: str, names: Mapping) -> Column:
+    """Rows of a category that ``names`` does not list; NULL is no category."""
+    return F.count_if(F.col(quote(col)).isNotNull() & ~F.col(quote(col)).isin(list(names)))
+
+
 def category_counts(df: DataFrame, key: str, col: str, names: Mapping) -> DataFrame:
     """Rows per key and declared category, in one shuffle and without dummies."""
     return df.groupBy(key).agg(*count_exprs(col, names))

@@ -6,15 +6,23 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-BROADCAST_ROWS = 100_000
+from lapsekit.functions.naming import quote
+
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 SALTS = 64
 HOT_SHARE = 0.005
 
 
-def has_at_most(df: DataFrame, rows: int) -> bool:
-    """Proof of a row bound that reads no more than ``rows + 1`` rows."""
-    return df.limit(rows + 1).count() <= rows
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most so many rows and bytes, by one partial aggregate: each task sends one row."""
+    width = F.lit(16 * len(df.columns)).cast("bigint")
+    for f in df.schema:
+        if not isinstance(f.dataType, T.AtomicType) or isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(quote(f.name)).alias("c")))), F.lit(0))
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
+    return row["n"] <= rows and (row["b"] or 0) <= size
 
 
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
@@ -37,42 +45,50 @@ def salted_join(
     dim: DataFrame,
     key: str,
     hot: Iterable,
+    row_id: Sequence[str],
     how: str = "left",
-    spread_by: Sequence[str] | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """Equi-join that spreads the ``hot`` keys of ``fact`` over ``salts`` tasks each.
 
-    The salt is a hash of the ``spread_by`` columns (all by default), so a task that
-    is run again salts its rows the same way; the columns should hold something
-    close to a row identifier. Only the few ``dim`` rows of hot keys are repeated. NULL keys match nothing
-    and are spread as well, so they cannot pile up in one task of a left join.
+    The salt is a hash of ``row_id``, columns that tell the rows apart: rows that are
+    alike otherwise are spread as well, and a task that is run again salts its rows
+    the same way. Only the few ``dim`` rows of hot keys are repeated. NULL keys match
+    nothing and are spread too, so they cannot pile up in one task of a left join.
     """
+    check_how(how)
     hot = list(hot)
-    spread = F.pmod(F.xxhash64(*(spread_by or fact.columns)), F.lit(salts)).cast("int")
-    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
-    left = fact.withColumn("_salt", F.when(F.col(key).isNull() | is_hot, spread).otherwise(0))
+    spread = F.pmod(F.xxhash64(*[quote(c) for c in row_id]), F.lit(salts)).cast("int")
+    is_hot = F.col(quote(key)).isin(hot) if hot else F.lit(False)
+    left = fact.withColumn("_salt", F.when(F.col(quote(key)).isNull() | is_hot, spread).otherwise(0))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = dim.withColumn("_salt", F.explode(copies))
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def check_how(how: str) -> None:
+    """Other joins would give the salted copies of ``dim`` rows of their own."""
+    if how not in ("left", "inner"):
+        raise ValueError(f"how must be 'left' or 'inner', not {how!r}")
+
+
 def attach(
     fact: DataFrame,
     dim: DataFrame,
     key: str,
+    row_id: Sequence[str],
     how: str = "left",
-    spread_by: Sequence[str] | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Left (or inner) join of ``dim`` onto ``fact``.
+    """Left or inner join of ``dim`` onto ``fact``, whose rows ``row_id`` tells apart.
 
-    ``dim`` is broadcast only after a bounded count has shown it is small; a
-    larger one is joined by shuffle with the hot keys of ``fact`` salted.
+    ``dim`` is broadcast only after a count has shown that it is small in rows and
+    bytes; a larger one is joined by shuffle with the hot keys of ``fact`` salted.
     """
-    if has_at_most(dim, broadcast_rows):
+    check_how(how)
+    if fits_broadcast(dim, broadcast_rows):
         return fact.join(F.broadcast(dim), [key], how)
-    return salted_join(fact, dim, key, hot_keys(fact, key), how, spread_by)
+    return salted_join(fact, dim, key, hot_keys(fact, key), row_id, how)
 
 
 def one_row_per_key(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:

@@ -12,11 +12,12 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lapsekit.functions.naming import quote, safe
 from lapsekit.functions import date_or, row_sum, tag
 from lapsekit.operators.aggregates import days_since_last, profile_exprs, tenure_exprs, year_exprs
 from lapsekit.operators.columns import as_measures, convert, recode_columns
-from lapsekit.operators.encode import count_exprs, discover_categories, dummy_name
-from lapsekit.operators.joins import BROADCAST_ROWS, attach, has_at_most, one_row_per_key
+from lapsekit.operators.encode import count_exprs, discover_categories, discover_each, dummy_name, undeclared
+from lapsekit.operators.joins import BROADCAST_ROWS, attach, fits_broadcast, one_row_per_key
 from lapsekit.operators.latest import latest_flag, unpack_flag
 from lapsekit.plans.specs import COUNTED, EVENT_DATES, MEASURES, UNROUNDED, ChurnSpec
 
@@ -100,7 +101,8 @@ def complaint_block(complaints: DataFrame, spec: ChurnSpec, true_count: bool = F
     The total adds the counts of all attributes, so a complaint enters it once per
     attribute; ``true_count`` adds the number of complaints as ``n_complaints``.
     """
-    counts = [e for col, names in spec.complaint_counts.items() for e in count_exprs(col, names)]
+    spec = complaint_spec(spec, complaints)
+    counts = counting(spec, spec.complaint_counts)
     extra = [F.count(F.lit(1)).alias("n_complaints")] if true_count else []
     block = (
         recode_columns(complaints, spec.complaint_recodes)
@@ -109,9 +111,9 @@ def complaint_block(complaints: DataFrame, spec: ChurnSpec, true_count: bool = F
         .agg(*counts, days_since_last("ComplaintDate", spec.as_of).alias("NbDayLastComplaint"), *extra)
     )
     names = complaint_names(spec)
-    added = [n for n in names if n not in spec.not_in_total]
+    added = [n for cats in spec.complaint_counts.values() for n in cats.values() if n not in spec.not_in_total]
     tail = ["NbDayLastComplaint", *(["n_complaints"] if true_count else [])]
-    return block.select(spec.key, *names, row_sum(added).alias("NbrTotalComplaints"), *tail)
+    return block.select(spec.key, *map(quote, names), row_sum(map(quote, added)).alias("NbrTotalComplaints"), *tail)
 
 
 def customer_block(customers: DataFrame, spec: ChurnSpec) -> DataFrame:
@@ -127,8 +129,9 @@ def delivery_block(delivery: DataFrame, owners: DataFrame, spec: ChurnSpec) -> D
     neither a subscription nor a customer with a huge number of deliveries skews
     the join. Deliveries without an owner belong to no customer and drop out.
     """
+    spec = delivery_spec(spec, delivery)
     names = delivery_names(spec)
-    counts = [e for col, cats in spec.delivery_counts.items() for e in count_exprs(col, cats)]
+    counts = counting(spec, spec.delivery_counts)
     per_subscription = (
         recode_columns(delivery, spec.delivery_recodes)
         .where(F.col("SubscriptionID").isNotNull())
@@ -140,7 +143,7 @@ def delivery_block(delivery: DataFrame, owners: DataFrame, spec: ChurnSpec) -> D
         per_subscription.join(owned, ["SubscriptionID"])
         .groupBy(spec.key)
         .agg(
-            *[F.sum(n).alias(n) for n in names],
+            *[F.sum(quote(n)).alias(n) for n in names],
             days_since_last("_last", spec.as_of).alias("NbDayLastDelivery"),
         )
     )
@@ -155,7 +158,7 @@ def formula_block(
     alone, a customer that is hot as well would stay in one task.
     """
     rows = subs.select(spec.key, "SubscriptionID", "FormulaID").where(F.col(spec.key).isNotNull())
-    typed = attach(rows, unique_formula(formula), "FormulaID", broadcast_rows=broadcast_rows)
+    typed = attach(rows, unique_formula(formula), "FormulaID", ["SubscriptionID"], broadcast_rows=broadcast_rows)
     return typed.groupBy(spec.key).agg(*count_exprs("FormulaType", formula_names(spec)))
 
 
@@ -167,46 +170,67 @@ def with_formula_types(spec: ChurnSpec, formula: DataFrame) -> ChurnSpec:
     """``spec`` with the formula types read from the table, unless declared."""
     if spec.formula_types:
         return spec
-    return replace(spec, formula_types=tuple(discover_categories(formula, "FormulaType")))
+    return replace(spec, formula_types=tuple(discover_categories(formula, "FormulaType", spec.max_categories)))
 
 
-def with_found_categories(spec: ChurnSpec, complaints: DataFrame, delivery: DataFrame) -> ChurnSpec:
-    """``spec`` extended by categories that occur but are not declared.
+def counting(spec: ChurnSpec, counts: Mapping) -> list[Column]:
+    """Counts of the listed categories, and of all others where those get no columns of their own."""
+    result = []
+    for col, names in counts.items():
+        result += count_exprs(col, names)
+        if spec.categories == "declared":
+            result.append(undeclared(col, names).alias(f"{col}_undeclared"))
+    return result
 
-    They become ``<column>_<category>`` and stay out of the complaint total.
-    """
 
-    def extend(df: DataFrame, recodes: Mapping, counts: Mapping) -> dict:
-        recoded = recode_columns(df, recodes)
-        result = {}
-        for col, names in counts.items():
-            found = [c for c in discover_categories(recoded, col) if c not in names]
-            result[col] = {**names, **{c: dummy_name(col, c) for c in found}}
-        return result
-
-    complaint_counts = extend(complaints, spec.complaint_recodes, spec.complaint_counts)
-    declared = {n for names in spec.complaint_counts.values() for n in names.values()}
-    new = [n for names in complaint_counts.values() for n in names.values() if n not in declared]
-    return replace(
-        spec,
-        complaint_counts=complaint_counts,
-        delivery_counts=extend(delivery, spec.delivery_recodes, spec.delivery_counts),
-        not_in_total=(*spec.not_in_total, *new),
-    )
+def _names(spec: ChurnSpec, counts: Mapping) -> list[str]:
+    result = []
+    for col, names in counts.items():
+        result += [*names.values(), *([f"{col}_undeclared"] if spec.categories == "declared" else [])]
+    return result
+
+
+def _extended(spec: ChurnSpec, df: DataFrame, recodes: Mapping, counts: Mapping) -> dict:
+    """``counts`` with a column ``<column>_<category>`` for each category that occurs but is not declared."""
+    found = discover_each(recode_columns(df, recodes), list(counts), spec.max_categories)
+    return {col: {**names, **{c: dummy_name(col, c) for c in found[col] if c not in names}} for col, names in counts.items()}
+
+
+def complaint_spec(spec: ChurnSpec, complaints: DataFrame) -> ChurnSpec:
+    """``spec`` with the complaint categories found, unless it takes only declared ones. New ones stay out of the total."""
+    if spec.categories != "found":
+        return spec
+    counts = _extended(spec, complaints, spec.complaint_recodes, spec.complaint_counts)
+    new = [n for col, names in counts.items() for c, n in names.items() if c not in spec.complaint_counts[col]]
+    return replace(spec, complaint_counts=counts, not_in_total=(*spec.not_in_total, *new))
+
+
+def delivery_spec(spec: ChurnSpec, delivery: DataFrame) -> ChurnSpec:
+    """``spec`` with the delivery categories found, unless it takes only declared ones."""
+    if spec.categories != "found":
+        return spec
+    return replace(spec, delivery_counts=_extended(spec, delivery, spec.delivery_recodes, spec.delivery_counts))
+
+
+def with_found_categories(spec: ChurnSpec, complaints: DataFrame, delivery: DataFrame) -> ChurnSpec:
+    """``spec`` with all categories that occur, listed: nothing is left to look up."""
+    found = complaint_spec(spec, complaints)
+    found = delivery_spec(found, delivery)
+    return replace(found, categories="listed") if spec.categories == "found" else spec
 
 
 def formula_names(spec: ChurnSpec) -> dict[str, str]:
     """Formula types as column names; ML reads a dot as nesting, so it becomes ``_``."""
-    return {t: t.replace(".", "_") for t in spec.formula_types}
+    return {t: safe(t) for t in spec.formula_types}
 
 
 def complaint_names(spec: ChurnSpec) -> list[str]:
-    return [n for names in spec.complaint_counts.values() for n in names.values()]
+    return _names(spec, spec.complaint_counts)
 
 
 def delivery_names(spec: ChurnSpec) -> list[str]:
-    return [n for names in spec.delivery_counts.values() for n in names.values()]
+    return _names(spec, spec.delivery_counts)
 
 
 def formula_fits(formula: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    return has_at_most(formula, rows)
+    return fits_broadcast(formula.select("FormulaID", "FormulaType"), rows)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -242,19 +243,20 @@ def feature_inner(spark, folder):
 
 @query
 def fact_to_owner(spark, folder):
-    return attach(standin.delivery(spark, folder), standin.owners(spark, folder), "SubscriptionID")
+    deliveries = standin.delivery(spark, folder, with_id=True)
+    return attach(deliveries, standin.owners(spark, folder), "SubscriptionID", ["DeliveryID"]).drop("DeliveryID")
 
 
 @query
 def dim_lookup(spark, folder):
     subs = standin.subscriptions(spark, folder).select(KEY, "SubscriptionID", "FormulaID")
-    return attach(subs, standin.formula(spark, folder), "FormulaID")
+    return attach(subs, standin.formula(spark, folder), "FormulaID", ["SubscriptionID"])
 
 
 @query
 def dim_lookup_shuffled(spark, folder):
     subs = standin.subscriptions(spark, folder).select(KEY, "SubscriptionID", "FormulaID")
-    return attach(subs, standin.formula(spark, folder), "FormulaID", broadcast_rows=0)
+    return attach(subs, standin.formula(spark, folder), "FormulaID", ["SubscriptionID"], broadcast_rows=0)
 
 
 # ------------------------------------------------------------------ aggregations
@@ -343,6 +345,24 @@ def complaint_block(spark, folder):
     return blocks.complaint_block(standin.complaints(spark, folder), STANDIN, true_count=True)
 
 
+@query
+def complaint_block_declared(spark, folder):
+    """Only declared categories have columns; the others are counted together."""
+    spec = replace(STANDIN, categories="declared")
+    return blocks.complaint_block(standin.complaints(spark, folder), spec)
+
+
+@query
+def recency_slashed(spark, folder):
+    """Recencies from payment and renewal dates written with slashes."""
+    subs = standin.subscriptions(spark, folder)
+    slashed = subs.withColumns({c: F.replace(c, F.lit("-"), F.lit("/")) for c in ("RenewalDate", "PaymentDate")})
+    typed = blocks.typed_subscriptions(slashed, replace(STANDIN, date_format="yyyy/MM/dd"))
+    recencies = {"Date_Payment": "NbDayLastPayment", "Date_Renewal": "NbDayLastRenewal"}
+    exprs = agg.tenure_exprs("StartDate", "EndDate", STANDIN.as_of, recencies, "AggSubscriptionDuration", span="SpanDays")
+    return typed.groupBy(KEY).agg(*exprs)
+
+
 @query
 def customer_block(spark, folder):
     return blocks.customer_block(standin.customers(spark, folder), STANDIN)

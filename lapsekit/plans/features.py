@@ -59,6 +59,7 @@ def feature_table(
     """
     subs, formula = tables["subscriptions"], tables["formula"]
     spec = blocks.with_formula_types(spec, formula)
+    spec = blocks.with_found_categories(spec, tables["complaints"], tables["delivery"])
     owners = tables.get("owners", subs)
     right = [
         blocks.customer_block(tables["customers"], spec),

@@ -6,6 +6,8 @@ spelled out by small loops; everything else is plain SQL over the test tables.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from lapsekit.plans.catalogue import (
     DENSITY_FEATURES,
     GRAM_FEATURES,
@@ -66,12 +68,25 @@ def _case_counts(counts) -> list[str]:
     return [_count(f"{col} = '{value}'", name) for col, names in counts.items() for value, name in names.items()]
 
 
-COMPLAINT_NAMES = [n for names in STANDIN.complaint_counts.values() for n in names.values()]
-DELIVERY_NAMES = [n for names in STANDIN.delivery_counts.values() for n in names.values()]
+# The categories that the spec leaves to be found in the tables.
+LISTED = replace(
+    STANDIN,
+    categories="listed",
+    complaint_counts={
+        col: {**names, **({"sign.up": "ComplaintTypeDesc_sign_up", "view": "ComplaintTypeDesc_view"} if col == "ComplaintTypeDesc" else {})}
+        for col, names in STANDIN.complaint_counts.items()
+    },
+    delivery_counts={
+        col: {**names, **({"R": "DeliveryTypeName_R"} if col == "DeliveryTypeName" else {})}
+        for col, names in STANDIN.delivery_counts.items()
+    },
+)
+FOUND = ("ComplaintTypeDesc_sign_up", "ComplaintTypeDesc_view")
+COMPLAINT_NAMES = [n for names in LISTED.complaint_counts.values() for n in names.values()]
 YEAR_COUNTS = [_count(f"year(StartDate) = {y}", f"Sub_{y}") for y in STANDIN.years]
 YEAR_TOTAL = _count(f"year(StartDate) IN ({', '.join(map(str, STANDIN.years))})", "TotalSubscriptions")
 FORMULA_COUNTS = [_count(f"FormulaType = '{t}'", t) for t in STANDIN.formula_types]
-FEATURES = feature_names(STANDIN)
+FEATURES = feature_names(LISTED)
 NUMERIC = [f for f in FEATURES if f not in ("CustomerID", "label", "Region_Cust")]
 
 TENURE = f"""CAST(sum({_days('EndDate', 'StartDate')}) AS BIGINT) AS AggSubscriptionDuration,
@@ -139,7 +154,8 @@ FROM orders LEFT JOIN lines ON o_orderkey = l_orderkey""",
         """SELECT event_id AS ComplaintID, user_id AS CustomerID, CAST(ts AS DATE) AS ComplaintDate,
   CASE k % 5 WHEN 0 THEN 'basic' WHEN 1 THEN 'plus' WHEN 2 THEN 'family' WHEN 3 THEN 'event'
     ELSE 'NA' END AS ProductName,
-  CASE WHEN k % 20 = 7 THEN 'NA' WHEN event_type = 'error' THEN 'other' ELSE event_type END AS ComplaintTypeDesc,
+  CASE WHEN k % 20 = 7 THEN 'NA' WHEN event_type = 'error' THEN 'other'
+    WHEN event_type = 'signup' THEN 'sign.up' ELSE event_type END AS ComplaintTypeDesc,
   CASE WHEN k < 25 THEN 'discount' WHEN k < 50 THEN 'free service' WHEN k < 70 THEN 'no compensation'
     WHEN k < 85 THEN 'other' ELSE 'NA' END AS SolutionTypeDesc,
   CASE WHEN value < 10 THEN 'satisfied' WHEN value < 30 THEN 'not satisfied' WHEN value < 60 THEN 'no response'
@@ -170,20 +186,20 @@ FROM complaints""",
     "complaint_part": (
         ("recoded",),
         "SELECT CustomerID, "
-        + ", ".join(_case_counts(STANDIN.complaint_counts))
+        + ", ".join(_case_counts(LISTED.complaint_counts))
         + f", {_days(AS_OF, 'max(ComplaintDate)')} AS NbDayLastComplaint, count(*) AS n_complaints"
         + " FROM recoded GROUP BY CustomerID",
     ),
     "complaint_block": (
         ("complaint_part",),
         "SELECT *, "
-        + " + ".join(n for n in COMPLAINT_NAMES if n != "Other_Complaint")
+        + " + ".join(n for n in COMPLAINT_NAMES if n not in ("Other_Complaint", *FOUND))
         + " AS NbrTotalComplaints FROM complaint_part",
     ),
     "delivery_block": (
         ("delivery", "owners"),
         "SELECT CustomerID, "
-        + ", ".join(_case_counts(STANDIN.delivery_counts))
+        + ", ".join(_case_counts(LISTED.delivery_counts))
         + f", {_days(AS_OF, 'max(DeliveryDate)')} AS NbDayLastDelivery"
         + " FROM delivery JOIN owners USING (SubscriptionID) GROUP BY CustomerID",
     ),
@@ -487,6 +503,14 @@ FROM complaint_block JOIN customers USING (CustomerID)""",
     sql["yearly_frequency"] = _with("SELECT * FROM frequency", "frequency")
     sql["subscription_block"] = _with("SELECT * FROM subscription_block", "subscription_block")
     sql["complaint_block"] = _with("SELECT * FROM complaint_block", "complaint_block")
+    declared = ["ComplaintTypeDesc_undeclared", "ProductName_undeclared", "SolutionTypeDesc_undeclared", "FeedbackTypeDesc_undeclared"]
+    sql["complaint_block_declared"] = _with(
+        f"SELECT * EXCLUDE ({', '.join(FOUND)}, n_complaints), {' + '.join(FOUND)} AS {declared[0]}, "
+        + ", ".join(f"CAST(0 AS BIGINT) AS {n}" for n in declared[1:])
+        + " FROM complaint_block",
+        "complaint_block",
+    )
+    sql["recency_slashed"] = sql["recency_duration"]
     sql["customer_block"] = sql["region_tag"]
     sql["delivery_block"] = _with("SELECT * FROM delivery_block", "delivery_block")
     sql["formula_block"] = _with("SELECT * FROM formula_block", "formula_block")

@@ -139,7 +139,7 @@ MEALS = ChurnSpec(
     },
 )
 
-# The same shape over the test tables.
+# The same shape over the test tables. Some categories are left to be found.
 STANDIN = ChurnSpec(
     as_of=date(2001, 8, 1),
     current_year=2001,
@@ -155,8 +155,6 @@ STANDIN = ChurnSpec(
         "ComplaintTypeDesc": {
             "click": "Complaint_Click",
             "purchase": "Complaint_Purchase",
-            "signup": "Complaint_Signup",
-            "view": "Complaint_View",
             "Diff_Complaint": "Complaint_Other",
             "Other_Complaint": "Other_Complaint",
         },
@@ -177,7 +175,7 @@ STANDIN = ChurnSpec(
     },
     delivery_recodes=MEALS.delivery_recodes,
     delivery_counts={
-        "DeliveryTypeName": {"A": "Delivery_A", "R": "Delivery_R"},
+        "DeliveryTypeName": {"A": "Delivery_A"},
         "DeliveryClass": {"F": "Delivery_F", "O": "Delivery_O"},
     },
     formula_types=("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"),

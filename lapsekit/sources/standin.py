@@ -101,6 +101,7 @@ def complaints(spark: SparkSession, folder: str) -> DataFrame:
         .alias("ProductName"),
         F.when(k % 20 == 7, SENTINEL)
         .when(F.col("event_type") == "error", "other")
+        .when(F.col("event_type") == "signup", "sign.up")
         .otherwise(F.col("event_type"))
         .alias("ComplaintTypeDesc"),
         F.when(k < 25, "discount")
@@ -126,9 +127,11 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
     return customer.join(nation, ["c_nationkey"], "left").select(F.col("c_custkey").alias("CustomerID"), "Region")
 
 
-def delivery(spark: SparkSession, folder: str) -> DataFrame:
+def delivery(spark: SparkSession, folder: str, with_id: bool = False) -> DataFrame:
     flag = F.col("l_returnflag")
+    number = [(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("DeliveryID")] if with_id else []
     return read_parquet(spark, folder, "lineitem").select(
+        *number,
         F.col("l_orderkey").alias("SubscriptionID"),
         F.col("l_linestatus").alias("DeliveryClass"),
         F.when(flag != "N", flag).alias("DeliveryTypeName"),
