@@ -11,7 +11,7 @@ import json
 import os
 import time
 
-from lapsekit.models.classifiers import CLASSIFIERS, report
+from lapsekit.models.classifiers import CLASSIFIERS
 from lapsekit.operators.statistics import moments
 from lapsekit.plans import catalogue
 from lapsekit.session import local_session
@@ -48,17 +48,16 @@ def main() -> None:
         df.write.format("noop").mode("overwrite").save()
 
     timed("session_warm_up", lambda: sink(spark.read.parquet(f"{folder}/orders.parquet")))
-    for name in RELATIONAL:
-        timed(name, lambda name=name: sink(catalogue.QUERIES[name](spark, folder)))
-
     study = catalogue.study(spark, folder)
     timed("feature_checkpoint", lambda: study.features.count())
+    for name in RELATIONAL:
+        timed(name, lambda name=name: sink(catalogue.QUERIES[name](spark, folder)))
     timed("corr_matrix", lambda: study.correlations)
     timed("gram_matrix", lambda: moments(study.train, study.candidates, study.label))
     timed("backward_elimination", lambda: study.selected)
     timed("prepared_vectors", lambda: [side.count() for side in study.vectors])
     for name in CLASSIFIERS:
-        timed(f"{name}_fit_score", lambda name=name: report(name, study.fit(name)).collect())
+        timed(f"{name}_fit_score", lambda name=name: study.report(name).collect())
     timed("cv_3_folds_4_grid_points", lambda: study.tuned)
     timed("score_customers", lambda: sink(study.scores()))
     timed("scored_table", lambda: sink(study.scored_features()))

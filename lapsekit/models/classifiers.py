@@ -50,20 +50,21 @@ def fit_predict(estimator: Estimator, train: DataFrame, test: DataFrame) -> Fitt
     return Fitted(model, model.transform(train), model.transform(test), seconds)
 
 
-def report(name: str, fitted: Fitted, beta: float = 1.0) -> DataFrame:
-    """One row per side with counts, scores and score AUC."""
+def report(name: str, fitted: Fitted, beta: float = 1.0, label: str = "label") -> DataFrame:
+    """One row per side with counts, scores, score AUC and the seconds the fit took."""
     sides = {"train": fitted.train, "test": fitted.test}
     rows = [
-        evaluate(pred, beta).select(
+        evaluate(pred, beta, label=label).select(
             F.lit(name).alias("model"),
             F.lit(side).alias("split"),
             "*",
-            F.lit(auc_of_scores(pred)).alias("auc_score"),
+            F.lit(auc_of_scores(pred, label)).alias("auc_score"),
+            F.lit(fitted.seconds).alias("seconds"),
         )
         for side, pred in sides.items()
     ]
     return union_all(*rows)
 
 
-def compare(fits: Mapping[str, Fitted], beta: float = 1.0) -> DataFrame:
-    return union_all(*[report(name, fitted, beta) for name, fitted in fits.items()])
+def compare(fits: Mapping[str, Fitted], beta: float = 1.0, label: str = "label") -> DataFrame:
+    return union_all(*[report(name, fitted, beta, label) for name, fitted in fits.items()])

@@ -18,7 +18,6 @@ from lapsekit.functions import (
     row_sum,
     tag,
 )
-from lapsekit.models.classifiers import report
 from lapsekit.models.evaluate import confusion, evaluate
 from lapsekit.models.prepare import scale_to_unit_std, string_index
 from lapsekit.models.split import in_train, train_test, with_folds
@@ -55,7 +54,6 @@ RULE_DAYS = 200
 DENSITY_FEATURES = ("avg_Price_Total", "NbDayLastPayment", "count_Price_Total", "Sub_2001")
 GRAM_FEATURES = ("TotalUrgent", "count_Price_Total", "NbDayLastRenewal", "Sub_2001", "STANDARD")
 OLS_FEATURES = ("count_Price_Total", "NbDayLastRenewal", "STANDARD")
-SCALED_FEATURES = ("avg_Price_Total", "NbDayLastRenewal", "Sub_2001")
 PRODUCT_LEVELS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 
@@ -69,13 +67,21 @@ _studies: dict[tuple[str, str], ChurnStudy] = {}
 
 
 def study(spark: SparkSession, folder: str) -> ChurnStudy:
-    """The study of one folder, shared by the queries that report on its models."""
+    """The study of one folder, shared by the queries that report on its models. Another folder ends it."""
     at = (spark.sparkContext.applicationId, folder)
     if at not in _studies:
+        release_studies()
         _studies[at] = ChurnStudy(_features(spark, folder), seed=SEED)
     return _studies[at]
 
 
+def release_studies() -> None:
+    """Lets go of what the study at hand has cached; the next query makes a new one."""
+    for old in _studies.values():
+        old.release()
+    _studies.clear()
+
+
 def _features(spark: SparkSession, folder: str) -> DataFrame:
     return feature_table(standin.sources(spark, folder), STANDIN)
 
@@ -137,8 +143,7 @@ def typed_cast(spark, folder):
 @query
 def fill_measure_zero(spark, folder):
     subs = standin.subscriptions(spark, folder)
-    cols = ["NbrMeals_REG", "NbrMeals_EXCEP", "GrossFormulaPrice", "TotalCredit"]
-    return subs.select("SubscriptionID", *[measure_or_zero(c).alias(c) for c in cols])
+    return subs.select("SubscriptionID", *[measure_or_zero(c).alias(c) for c in MEASURES])
 
 
 @query
@@ -287,8 +292,8 @@ def measure_profile(spark, folder):
 def measure_profile_zero(spark, folder):
     typed = convert(standin.subscriptions(spark, folder), MEASURES)
     zeroed = typed.withColumns({c: measure_or_zero(c) for c in STANDIN.measure_names})
-    cols = ["NbrMealsEXCEP", "Price_Total"]
-    return agg.measure_profile(zeroed, KEY, cols, counted=cols)
+    cols = STANDIN.measure_names
+    return agg.measure_profile(zeroed, KEY, cols, counted=cols, exact_scale=STANDIN.exact_scale)
 
 
 @query
@@ -502,11 +507,9 @@ def string_index_query(spark, folder):
 
 @query
 def scale_unit_std(spark, folder):
-    features = study(spark, folder).features.select(KEY, *SCALED_FEATURES)
-    scaled = scale_to_unit_std(features, SCALED_FEATURES, "scaled").select(
-        KEY, vector_to_array("scaled").alias("a")
-    )
-    return scaled.select(KEY, *[F.round(F.col("a")[i], 6).alias(c) for i, c in enumerate(SCALED_FEATURES)])
+    at = study(spark, folder)
+    scaled = scale_to_unit_std(at.features, at.candidates, "scaled").select(KEY, vector_to_array("scaled").alias("a"))
+    return scaled.select(KEY, *[F.round(F.col("a")[i], 6).alias(c) for i, c in enumerate(at.candidates)])
 
 
 @query
@@ -518,17 +521,17 @@ def feature_vectors(spark, folder):
 
 @query
 def model_logreg(spark, folder):
-    return report("logistic_regression", study(spark, folder).fit("logistic_regression"))
+    return study(spark, folder).report("logistic_regression")
 
 
 @query
 def model_tree(spark, folder):
-    return report("decision_tree", study(spark, folder).fit("decision_tree"))
+    return study(spark, folder).report("decision_tree")
 
 
 @query
 def model_forest(spark, folder):
-    return report("random_forest", study(spark, folder).fit("random_forest"))
+    return study(spark, folder).report("random_forest")
 
 
 @query
@@ -548,6 +551,27 @@ def model_row_totals(spark, folder):
     )
 
 
+@query
+def tuned_comparison(spark, folder):
+    return study(spark, folder).tuned_comparison()
+
+
+@query
+def tuned_row_totals(spark, folder):
+    """Rows and churners behind the tuned model's confusion counts."""
+    return tuned_comparison(spark, folder).select(
+        "split",
+        (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n_rows"),
+        (F.col("tp") + F.col("fn")).alias("n_churned"),
+    )
+
+
+@query
+def corr_selected(spark, folder):
+    """Correlation of the selected columns over all customers."""
+    return study(spark, folder).correlations_of_selected()
+
+
 @query
 def score_totals(spark, folder):
     """Customers with a score, without one, and with one that is no probability."""
@@ -561,13 +585,16 @@ def score_totals(spark, folder):
 
 @query
 def model_confusion(spark, folder):
-    return confusion(study(spark, folder).fit("decision_tree").test)
+    fitted = study(spark, folder).fit("decision_tree")
+    sides = {"train": fitted.train, "test": fitted.test}
+    return union_all(*[confusion(pred).withColumn("split", F.lit(side)) for side, pred in sides.items()])
 
 
 @query
 def churn_probability(spark, folder):
-    test = study(spark, folder).fit("logistic_regression").test
-    return test.select(KEY, "prediction", positive_probability("probability").alias("Proba_churn"))
+    fitted = study(spark, folder).fit("logistic_regression")
+    both = union_all(fitted.train.withColumn("split", F.lit("train")), fitted.test.withColumn("split", F.lit("test")))
+    return both.select(KEY, "split", "prediction", positive_probability("probability").alias("Proba_churn"))
 
 
 @query

@@ -14,11 +14,10 @@ from lapsekit.plans.catalogue import (
     OLS_FEATURES,
     PRODUCT_LEVELS,
     RULE_DAYS,
-    SCALED_FEATURES,
     SEED,
 )
 from lapsekit.plans.features import feature_names
-from lapsekit.plans.specs import COUNTED, STANDIN
+from lapsekit.plans.specs import COUNTED, MEASURES, STANDIN
 
 AS_OF = f"DATE '{STANDIN.as_of.isoformat()}'"
 MEASURE_KINDS = {
@@ -395,7 +394,7 @@ FROM subs WHERE RenewalDate <> 'NA' GROUP BY ProductName""",
         "SELECT SubscriptionID, "
         + ", ".join(
             f"coalesce(try_cast({c} AS DOUBLE), 0.0) AS {c}"
-            for c in ["NbrMeals_REG", "NbrMeals_EXCEP", "GrossFormulaPrice", "TotalCredit"]
+            for c in MEASURES
         )
         + " FROM subs",
         "subs",
@@ -469,11 +468,11 @@ FROM complaint_block JOIN customers USING (CustomerID)""",
         'SELECT o_custkey AS CustomerID, CAST(year(o_orderdate) AS INTEGER) AS "year", count(*) AS "count" FROM orders GROUP BY 1, 2'
     )
     sql["measure_profile"] = _with("SELECT * FROM profile", "profile")
-    zeroed = ["NbrMealsEXCEP", "Price_Total"]
+    zeroed = list(MEASURE_KINDS)
     sql["measure_profile_zero"] = _with(
         f"SELECT CustomerID, {_profile(zeroed, zeroed)} FROM (SELECT CustomerID, "
         + ", ".join(f"coalesce({m}, 0.0) AS {m}" for m in zeroed)
-        + " FROM measures) GROUP BY CustomerID",
+        + ", CASE WHEN Price_per_meal IS NULL THEN '0' ELSE PriceText END AS PriceText FROM measures) GROUP BY CustomerID",
         "measures",
     )
     sql["recency_duration"] = _with(
@@ -532,6 +531,11 @@ FROM (SELECT {side.replace('AS side', 'AS split')}, label FROM features WHERE Re
   (VALUES ('logistic_regression'), ('decision_tree'), ('random_forest')) AS m(model) GROUP BY model, split""",
         "features",
     )
+    sql["tuned_row_totals"] = _with(
+        f"""SELECT {side.replace('AS side', 'AS split')}, count(*) AS n_rows, CAST(sum(label) AS BIGINT) AS n_churned
+FROM features WHERE Region_Cust IS NOT NULL GROUP BY 1""",
+        "features",
+    )
     sql["score_totals"] = _with(
         "SELECT count(Region_Cust) AS n_scored, count(*) - count(Region_Cust) AS n_unscored, CAST(0 AS BIGINT) AS n_invalid FROM features",
         "features",
@@ -557,8 +561,10 @@ FROM (SELECT {side.replace('AS side', 'AS split')}, label FROM features WHERE Re
     )
     sql["scale_unit_std"] = _with(
         "SELECT CustomerID, "
-        + ", ".join(f"round({c} / (SELECT stddev_samp({c}) FROM features), 6) AS {c}" for c in SCALED_FEATURES)
-        + " FROM features",
+        + ", ".join(f'coalesce(round("{c}" / nullif(s_{i}, 0), 6), 0.0) AS "{c}"' for i, c in enumerate(NUMERIC))
+        + " FROM features CROSS JOIN (SELECT "
+        + ", ".join(f'stddev_samp("{c}") AS s_{i}' for i, c in enumerate(NUMERIC))
+        + " FROM features)",
         "features",
     )
     return sql

@@ -6,20 +6,21 @@ import math
 from functools import cached_property
 
 import numpy as np
-from pyspark.ml import Pipeline
-from pyspark.ml.tuning import CrossValidatorModel
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from lapsekit.models.classifiers import CLASSIFIERS, Fitted, compare, fit_predict
+from lapsekit.functions.naming import quote
+from lapsekit.models.classifiers import CLASSIFIERS, Fitted, compare, fit_predict, report
 from lapsekit.models.prepare import FeaturePlan, vectors_only
 from lapsekit.models.scoring import churn_scores, score, with_scores
 from lapsekit.models.split import train_test, with_folds
-from lapsekit.models.tuning import tune_forest
+from lapsekit.models.tuning import Tuned, tune_forest
 from lapsekit.operators.columns import numeric_columns, text_columns
-from lapsekit.operators.statistics import correlation, eliminate_backward, moments, prune_correlated
-from lapsekit.session import cut_lineage
+from lapsekit.operators.statistics import correlation, correlation_pairs, eliminate_backward, moments, prune_correlated
+from lapsekit.session import checkpoint_dir, cut_lineage
 
 
 ROWS_PER_PART = 100_000
@@ -35,8 +36,8 @@ def partitions_for(rows: int) -> int:
 class ChurnStudy:
     """One analysis of one feature table; every step runs once, when first asked for.
 
-    The features are written to the shared checkpoint folder up front: all later
-    passes start from those files and not from the star join. They are then placed
+    The features are written to the shared checkpoint folder up front, if the session
+    names one: all later passes start from those files and not from the star join. They are then placed
     by key into ``partitions`` parts (chosen by size if not given), so that bagging
     and float sums see the rows in the same places however the input was laid out.
     Use it as a context manager, or call ``release``, to drop what it cached.
@@ -81,7 +82,7 @@ class ChurnStudy:
 
     @cached_property
     def features(self) -> DataFrame:
-        written = cut_lineage(self._source)
+        written = cut_lineage(self._source) if checkpoint_dir(self._source.sparkSession) else self._keep(self._source)
         parts = self.partitions or partitions_for(written.count())
         return self._keep(written.repartition(parts, self.key).sortWithinPartitions(self.key))
 
@@ -118,11 +119,14 @@ class ChurnStudy:
     def plan(self) -> FeaturePlan:
         return FeaturePlan(tuple(text_columns(self.features)), tuple(self.selected))
 
+    @cached_property
+    def prepared(self) -> PipelineModel:
+        return Pipeline(stages=self.plan.stages()).fit(self.train)
+
     @cached_property
     def vectors(self) -> tuple[DataFrame, DataFrame]:
         """Prepared train and test vectors; preparation is fitted on train alone."""
-        fitted = Pipeline(stages=self.plan.stages()).fit(self.train)
-        train, test = (vectors_only(fitted, side, self.key, self.label) for side in self._sides)
+        train, test = (vectors_only(self.prepared, side, self.key, self.label) for side in self._sides)
         return self._keep(train), self._keep(test)
 
     def fit(self, name: str) -> Fitted:
@@ -132,32 +136,47 @@ class ChurnStudy:
         return self._fits[name]
 
     def comparison(self, beta: float = 1.0) -> DataFrame:
-        return compare({name: self.fit(name) for name in CLASSIFIERS}, beta)
+        return compare({name: self.fit(name) for name in CLASSIFIERS}, beta, self.label)
+
+    def report(self, name: str, beta: float = 1.0) -> DataFrame:
+        return report(name, self.fit(name), beta, self.label)
+
+    def tuned_comparison(self, beta: float = 1.0) -> DataFrame:
+        """The tuned model on train and test."""
+        sides = (self.tuned.model.transform(side) for side in self._sides)
+        return report("tuned_forest", Fitted(self.tuned.model, *sides, self.tuned.seconds), beta, self.label)
 
     @cached_property
-    def tuned(self) -> CrossValidatorModel:
+    def tuned(self) -> Tuned:
         used = [self.key, self.label, *self.plan.categorical, *self.plan.numeric]
         folded = with_folds(self.train.select(*used), self.key, self.seed, self.folds).persist()
         try:
             return tune_forest(
-                folded, self.plan, folds=self.folds, seed=self.seed, parallelism=self.parallelism
+                folded, self.plan, seed=self.seed, parallelism=self.parallelism, label=self.label, folds=self.folds
             )
         finally:
             folded.unpersist()
 
     def predictions(self) -> DataFrame:
-        return score(self.tuned, self.features, self.key, self.label)
+        return score(self.tuned.model, self.features, self.key, self.label)
 
     def scores(self) -> DataFrame:
-        return churn_scores(self.tuned, self.features, self.key)
+        return churn_scores(self.tuned.model, self.features, self.key)
 
     def scored_features(self) -> DataFrame:
         return with_scores(self.features, self.scores(), self.key)
 
+    def correlations_of_selected(self) -> DataFrame:
+        """Correlation of the selected columns over all customers, as (i, j, col_i, col_j, r)."""
+        return correlation_pairs(self.features, self.selected)
+
     def skipped(self) -> DataFrame:
-        """How many customers have no category and so get no score."""
-        unknown = [F.col(c).isNull() for c in self.plan.categorical]
-        test = unknown[0] if unknown else F.lit(False)
-        for u in unknown[1:]:
-            test = test | u
-        return self.features.agg(F.count_if(test).alias("n_skipped"), F.count(F.lit(1)).alias("n_customers"))
+        """How many customers have no score: a category is missing, or did not occur on the training side."""
+        known = {}
+        for stage in self.prepared.stages:
+            if isinstance(stage, StringIndexerModel):
+                known |= dict(zip(stage.getInputCols(), stage.labelsArray, strict=True))
+        fits = F.lit(True)
+        for name, labels in known.items():
+            fits = fits & F.coalesce(F.col(quote(name)).isin(list(labels)), F.lit(False))
+        return self.features.agg(F.count_if(~fits).alias("n_skipped"), F.count(F.lit(1)).alias("n_customers"))

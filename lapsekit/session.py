@@ -1,9 +1,8 @@
-"""Session defaults and the one place that decides where checkpoints go."""
+"""Session defaults, and where checkpoints go."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,27 +26,14 @@ def local_session(app: str = "lapsekit", cores: str | int = "*", **conf: str) ->
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session.
-
-    ``spark.checkpoint.dir`` wins, then a folder already set on the context. Only
-    a local master may fall back to a temporary folder: on a cluster that folder
-    would sit on one machine and be lost with it.
-    """
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    """The checkpoint folder that the session or its context names, set on the context; None without one."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
-    if named:
-        if current is None:
-            context.setCheckpointDir(named)
-        return named
-    if current:
-        return current
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="lapsekit-checkpoint-")
-    context.setCheckpointDir(folder)
-    return folder
+    if named and current is None:
+        context.setCheckpointDir(named)
+    return named or current
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -56,5 +42,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Reliable checkpoints survive the loss of any executor, so later iterative
     fits re-read files and never re-plan or recompute the star join.
     """
-    ensure_checkpoint_dir(df.sparkSession)
+    if checkpoint_dir(df.sparkSession) is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     return df.checkpoint(eager=True)

@@ -1,5 +1,7 @@
 """The five CSV files end to end, on hand-written rows with known answers."""
 
+import re
+
 import pytest
 
 from lapsekit.plans import blocks
@@ -141,6 +143,32 @@ def test_options(tables):
     assert got[2]["NbDayLastComplaint"] == -1
 
 
+def test_one_date_format_throughout(spark, tables, features, tmp_path):
+    from dataclasses import replace
+
+    folder = tmp_path / "slashed"
+    folder.mkdir()
+    for name, text in FILES.items():
+        (folder / f"{name}.csv").write_text(re.sub(r"(\d{4})-(\d\d)-(\d\d)", r"\1/\2/\3", text))
+    slashed = read_sources(spark, {n: str(folder / f"{n}.csv") for n in FILES}, date_format="yyyy/MM/dd")
+    got = feature_table(slashed, replace(MEALS, date_format="yyyy/MM/dd")).collect()
+    assert {r["CustomerID"]: r.asDict() for r in got} == features
+
+
+def test_found_categories_have_columns_by_default(tables, features):
+    assert features[1]["DeliveryTypeName_NA"] == 1
+    from dataclasses import replace
+
+    declared = feature_table(tables, replace(MEALS, categories="declared")).collect()
+    got = {r["CustomerID"]: r.asDict() for r in declared}
+    assert got[1]["DeliveryTypeName_undeclared"] == 1 and "DeliveryTypeName_NA" not in got[1]
+    dotted = tables["complaints"].replace({"late delivery": "St. late"}, subset=["ComplaintTypeDesc"])
+    again = {r["CustomerID"]: r for r in feature_table({**tables, "complaints": dotted}, MEALS).collect()}
+    assert again[1]["ComplaintTypeDesc_St_ late"] == 1 and again[1]["NbrTotalComplaints"] == features[1]["NbrTotalComplaints"] - 1
+    with pytest.raises(ValueError, match="more than 1 categories"):
+        feature_table(tables, replace(MEALS, max_categories=1))
+
+
 def test_undeclared_categories_can_be_added(tables):
     spec = blocks.with_found_categories(MEALS, tables["complaints"], tables["delivery"])
     assert spec.delivery_counts["DeliveryTypeName"]["NA"] == "DeliveryTypeName_NA"

@@ -11,7 +11,7 @@ from lapsekit.models.scoring import churn_scores, score, with_scores
 from lapsekit.models.split import in_train, random_train_test, train_test, with_folds
 from lapsekit.models.tuning import best_num_trees, grid_report, tune_forest
 from lapsekit.plans.study import ChurnStudy, partitions_for
-from lapsekit.session import ensure_checkpoint_dir
+from lapsekit.session import checkpoint_dir
 
 
 @pytest.fixture(scope="module")
@@ -170,20 +170,20 @@ def test_tuning_and_scores(study, customers, spark):
     folded = with_folds(study.train, "CustomerID", 12, 3)
     tuned = tune_forest(folded, study.plan, num_trees=(3, 5), parallelism=2)
     again = tune_forest(folded, study.plan, num_trees=(3, 5), parallelism=1)
-    assert tuned.avgMetrics == again.avgMetrics
+    assert tuned.folds.tolist() == again.folds.tolist()
     grid = grid_report(tuned, spark).collect()
     best = max(grid, key=lambda r: r["mean_auc"])["num_trees"]
     assert [r["num_trees"] for r in grid] == [3, 5] and best_num_trees(tuned) == best
-    scores = churn_scores(tuned, customers, "CustomerID")
+    scores = churn_scores(tuned.model, customers, "CustomerID")
     assert scores.dtypes == [("CustomerID", "bigint"), ("Proba_churn", "float")]
     assert scores.count() == 360 and scores.where("Proba_churn < 0 or Proba_churn > 1").count() == 0
     assert "EvalPython" not in scores._jdf.queryExecution().executedPlan().toString()
     joined = with_scores(customers, scores, "CustomerID")
     assert joined.count() == 400 and joined.where("Proba_churn is null").count() == 40
     train, test = train_test(customers, "CustomerID", 12)
-    apart = churn_scores(tuned, test, "CustomerID").unionAll(churn_scores(tuned, train, "CustomerID"))
+    apart = churn_scores(tuned.model, test, "CustomerID").unionAll(churn_scores(tuned.model, train, "CustomerID"))
     assert as_pairs(apart) == as_pairs(scores)
-    assert score(tuned, customers, "CustomerID").columns == ["CustomerID", "prediction", "label", "probability"]
+    assert score(tuned.model, customers, "CustomerID").columns == ["CustomerID", "prediction", "label", "probability"]
 
 
 def test_report_of_a_fit_on_plain_vectors(study):
@@ -194,12 +194,26 @@ def test_report_of_a_fit_on_plain_vectors(study):
     assert got[1]["auc_score"] == pytest.approx(auc_of_scores(fitted.test))
 
 
-@pytest.mark.parametrize("rows, cores, parts", [(0, 8, 1), (1500, 8, 1), (15_000, 8, 3), (10**9, 4000, 10_000)])
-def test_parts_follow_the_size(rows, cores, parts):
-    assert partitions_for(rows, cores) == parts
+@pytest.mark.parametrize("rows, parts", [(0, 1), (1500, 1), (15_000, 3), (160_000, 32), (10**7, 100), (10**9, 10_000)])
+def test_parts_follow_the_rows_alone(rows, parts):
+    assert partitions_for(rows) == parts
+
+
+def test_another_label_name(customers):
+    with ChurnStudy(customers.withColumnRenamed("label", "churned"), label="churned", folds=2) as s:
+        assert {r["split"] for r in s.report("decision_tree").collect()} == {"train", "test"}
+        assert s.report("decision_tree").first()["seconds"] > 0
+        assert s.tuned_comparison().count() == 2 and s.scores().count() == 360
+
+
+def test_a_category_of_the_test_side_alone_counts_as_skipped(customers):
+    test_keys = [r[0] for r in train_test(customers.where("Region_Cust is not null"), "CustomerID", 12)[1].limit(5).collect()]
+    odd = F.when(F.col("CustomerID").isin(test_keys), "RegionX").otherwise(F.col("Region_Cust"))
+    with ChurnStudy(customers.withColumn("Region_Cust", odd)) as s:
+        assert tuple(s.skipped().first()) == (45, 400)
+        assert sum(v.count() for v in s.vectors) == 355
 
 
 def test_checkpoints_follow_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
-    folder = ensure_checkpoint_dir(spark)
-    assert folder and (named is None or folder == named)
+    assert checkpoint_dir(spark) == (named or spark.sparkContext.getCheckpointDir())

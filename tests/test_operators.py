@@ -1,4 +1,4 @@
-from datetime import date
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from lapsekit.operators import aggregates as agg
 from lapsekit.operators import encode
 from lapsekit.operators.columns import fill_numeric, numeric_columns, rename, text_columns, union_all
-from lapsekit.operators.joins import attach, has_at_most, hot_keys, left_star, one_row_per_key, salted_join
-from lapsekit.operators.latest import dedup_key, latest_per_key
+from lapsekit.operators.joins import attach, fits_broadcast, hot_keys, left_star, one_row_per_key, salted_join
+from lapsekit.operators.latest import dedup_key, latest_flag, latest_per_key, unpack_flag
 
 
 def rows(df):
@@ -71,21 +71,57 @@ def test_hot_keys_finds_the_heavy_key(skewed):
 def test_salted_join_equals_plain_join(spark, skewed, how):
     dim = spark.createDataFrame([(k, f"n{k}") for k in range(0, 40)] + [(7, "again")], "k bigint, n string")
     plain = skewed.join(dim, ["k"], how).select("k", "id", "n")
-    salted = salted_join(skewed, dim, "k", [7], how, ["id"]).select("k", "id", "n")
+    salted = salted_join(skewed, dim, "k", [7], ["id"], how).select("k", "id", "n")
     assert rows(salted) == rows(plain)
-    by_size = attach(skewed, dim, "k", how, broadcast_rows=10).select("k", "id", "n")
+    by_size = attach(skewed, dim, "k", ["id"], how, broadcast_rows=10).select("k", "id", "n")
     assert rows(by_size) == rows(plain)
 
 
 def test_attach_broadcasts_only_a_proven_small_side(spark, skewed):
     dim = spark.createDataFrame([(k, k) for k in range(40)], "k bigint, n int")
-    assert has_at_most(dim, 40) and not has_at_most(dim, 39)
-    salted = attach(skewed, dim, "k", broadcast_rows=39)
+    assert fits_broadcast(dim, 40) and not fits_broadcast(dim, 39) and not fits_broadcast(dim, 40, 100)
+    wide = spark.createDataFrame([(1, "x" * 5000)], "k bigint, n string")
+    assert not fits_broadcast(wide, 40, 4000) and fits_broadcast(wide, 40, 6000)
+    salted = attach(skewed, dim, "k", ["id"], broadcast_rows=39)
     assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
-    small = attach(skewed, dim, "k", broadcast_rows=40)
+    small = attach(skewed, dim, "k", ["id"], broadcast_rows=40)
     assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
 
 
+def test_alike_rows_of_a_hot_key_are_spread(spark):
+    fact = spark.range(10_000).select("id", F.lit(7).alias("k"), F.lit("same").alias("v"))
+    dim = spark.createDataFrame([(7, "n")], "k int, n string")
+    spread = salted_join(fact, dim, "k", [7], ["id"]).drop("_salt")
+    assert spread.count() == 10_000
+    salts = fact.select(F.pmod(F.xxhash64("id"), F.lit(64)).alias("s")).groupBy("s").count().collect()
+    assert len(salts) == 64 and max(r["count"] for r in salts) < 400
+
+
+@pytest.mark.parametrize("how", ["right", "full", "left_anti"])
+def test_only_left_and_inner_joins_are_salted(spark, skewed, how):
+    with pytest.raises(ValueError):
+        attach(skewed, skewed, "k", ["id"], how)
+
+
+def test_sizing_reads_no_rows_into_one_task(spark, skewed):
+    plan = skewed.agg(F.count("*"))._jdf.queryExecution().executedPlan().toString()
+    assert "LocalLimit" not in plan and "partial_count" in plan
+
+
+def test_latest_flag_needs_no_sort(spark):
+    rows_in = [
+        (1, datetime(2018, 5, 1, 10), 1, "NA"), (1, datetime(2018, 5, 1, 11), 0, "x"),
+        (2, datetime(1960, 1, 1), -(2**63), "x"), (2, datetime(1960, 1, 1), 2**63 - 1, "NA"),
+        (3, None, 5, "NA"), (4, datetime(9999, 12, 31, 23, 59, 59, 999999), None, None), (4, datetime(1, 1, 1), 3, "NA"),
+    ]
+    df = spark.createDataFrame(rows_in, "k int, d timestamp_ntz, i bigint, t string")
+    best = df.groupBy("k").agg(latest_flag("d", "i", F.col("t") == "NA").alias("p"))
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    year, flag = unpack_flag("p")
+    assert rows(best.select("k", year, flag)) == [(1, 2018, 0), (2, 1960, 1), (3, None, None), (4, 9999, 0)]
+
+
 def test_repeated_dimension_key_fails_the_job(spark):
     dim = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, n string")
     with pytest.raises(Exception, match="more than one row for k 1"):
@@ -132,13 +168,19 @@ def test_yearly_frequency_totals_declared_years_only(spark):
 
 def test_profile_of_an_all_null_group(spark):
     df = spark.createDataFrame([(1, None), (2, 1.005), (2, 1.01)], "k int, m double")
-    got = rows(agg.measure_profile(df, "k", ["m"], counted=["m"], fixed_scale={"m": 3}))
+    got = rows(agg.measure_profile(df, "k", ["m"], counted=["m"], exact_scale={"m": 3}))
     assert got == [(1, None, None, None, 0), (2, 1.01, 1.01, 1.01, 2)]
 
 
-def test_fixed_scale_mean_does_not_depend_on_row_order(spark):
-    df = spark.range(2000).select(F.lit(1).alias("k"), (F.col("id") * 0.01 + 0.1).alias("m"))
-    means = {agg.measure_profile(df.repartition(n), "k", ["m"], fixed_scale={"m": 2}).first()["avg_m"] for n in (1, 3, 8)}
+@pytest.mark.parametrize("values, mean", [((1.004, 1.004, 1.014), 1.01), ((1e18, 2.0), 5e17), ((1.12345678901, 1.0), 1.06), ((None, 2.0), 2.0)])
+def test_no_value_is_cut_before_it_is_averaged(spark, values, mean):
+    df = spark.createDataFrame([(1, v) for v in values], "k int, m double")
+    assert agg.measure_profile(df, "k", ["m"], exact_scale={"m": 10}).first()["avg_m"] == mean
+
+
+def test_exact_mean_does_not_depend_on_row_order(spark):
+    df = spark.range(2000).select(F.lit(1).alias("k"), F.round(F.col("id") * 0.01 + 0.1, 2).alias("m"))
+    means = {agg.measure_profile(df.repartition(n), "k", ["m"], exact_scale={"m": 2}).first()["avg_m"] for n in (1, 3, 8)}
     assert len(means) == 1
 
 

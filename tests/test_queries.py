@@ -22,7 +22,7 @@ def test_same_rows_as_sql(spark, small, con, name):
     assert differences(df, con, ORACLES[name]) == []
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLES and not n.startswith("cv_")])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLES])
 def test_rows_only_queries_give_rows(spark, small, name):
     assert QUERIES[name](spark, small).count() > 0
 
