@@ -68,6 +68,6 @@ def latest_flag(moment: str, id_col: str, flag: Column) -> Column:
 
 def unpack_flag(packed: str) -> tuple[Column, Column]:
     """Year of the moment and the flag (0 or 1) of a ``latest_flag`` result; NULL without a moment."""
-    micros = F.expr(f"CAST(`{packed}` DIV {_ID_ROOM} AS BIGINT)")
-    day = F.date_add(F.lit("0001-01-01").cast("date"), F.floor(micros / 86_400_000_000).cast("int"))
+    days = F.expr(f"CAST(`{packed}` DIV {_ID_ROOM} DIV 86400000000L AS INT)")
+    day = F.date_add(F.lit("0001-01-01").cast("date"), days)
     return F.year(day), (F.col(packed) % 2).cast("int")
