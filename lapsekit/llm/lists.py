@@ -19,7 +19,9 @@ from lapsekit.llm.shared import Work
 
 #: Members of a part of a list.
 PART = 256
-#: Rounds with one pivot a list at most; fewer when the pairs left are no more than the rows of all lists, or when a
+#: A list is heavy with more pairs left than this for each member.
+HEAVY = 16
+#: Rounds with one pivot a list at most; the later ones are for heavy lists. Fewer when the pairs left are no more than the rows of all lists, or when a
 #: round finds no link. The last round is complete either way.
 STARS = 6
 
@@ -75,20 +77,33 @@ def _grid_pairs(lists: DataFrame, least_ratio: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, 3):
             token, i, j, part, member, size, kind, comp = (c.to_numpy() for c in table.combine_chunks().columns)
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-            bounds = [*np.flatnonzero(new).tolist(), len(token)]
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                x, y = np.triu_indices(b - a, 1)
-                x, y = x + a, y + a
-                ok = (comp[x] != comp[y]) & (member[x] != member[y]) & ((part[x] != part[y]) | (i[x] == j[x]))
-                ok &= np.minimum(size[x], size[y]) >= least_ratio * np.maximum(size[x], size[y]) - 1e-9
-                x, y = x[ok], y[ok]
+            near = np.arange(len(token) - 1)  # rows whose group also holds the row ``step`` further on
+            step, held, count = 1, [], 0
+            while True:
+                far = near + step
+                same = (token[near] == token[far]) & (i[near] == i[far]) & (j[near] == j[far])
+                near = near[same]
+                if not len(near):
+                    break
+                far = near + step
+                ok = (comp[near] != comp[far]) & (member[near] != member[far]) & ((part[near] != part[far]) | (i[near] == j[near]))
+                ok &= np.minimum(size[near], size[far]) >= least_ratio * np.maximum(size[near], size[far]) - 1e-9
+                x, y = near[ok], far[ok]
                 swap = member[x] > member[y]
-                x, y = np.where(swap, y, x), np.where(swap, x, y)
-                if len(x):
-                    columns = [member[x], member[y], size[x], size[y], np.maximum(kind[x], kind[y])]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["x", "y", "nx", "ny", "kind"])
+                held.append((np.where(swap, y, x), np.where(swap, x, y)))
+                count += len(x)
+                if count > 100_000:
+                    yield rows_of(held, member, size, kind)
+                    held, count = [], 0
+                near = near[near + step + 1 < len(token)]
+                step += 1
+            if count:
+                yield rows_of(held, member, size, kind)
+
+    def rows_of(held: list, member: np.ndarray, size: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+        x, y = (np.concatenate(c) for c in zip(*held, strict=True))
+        columns = [member[x], member[y], size[x], size[y], np.maximum(kind[x], kind[y])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["x", "y", "nx", "ny", "kind"])
 
     part = F.pmod(F.xxhash64("member"), F.col("g")).cast("int")
     rows = lists.withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
@@ -138,7 +153,7 @@ def linked(
     fits = F.least("nx", "ny") >= least_ratio * F.greatest("nx", "ny") - 1e-9
     rows = lists.select("token", "member", "size", "kind", F.col("pivot").alias("p"), F.col("pivot_size").alias("np"))
     total = lists.count()
-    found = None
+    found, labels = None, None
     for k in range(STARS):
         star = rows.filter("member != p").groupBy(F.least("p", "member").alias("x"), F.greatest("p", "member").alias("y")).agg(
             F.count("*").alias("c"),
@@ -150,25 +165,19 @@ def linked(
         checked = work.keep(verify(pairs), f"verified{k}")
         found = checked if found is None else found.unionByName(checked)
         labels = components(found, work, f"components{k}")
-        placed = lists.select("token", "member", "size", "kind").join(labels.withColumnRenamed("node", "member"), "member", "left")
-        placed = work.keep(placed.select("token", "member", "size", "kind", F.coalesce("label", "member").alias("comp")), f"placed{k}")
-        if k:
-            work.drop(f"placed{k - 1}", f"split{k - 1}")
-        # Of each list that is still split: its members, and the pairs to compare if all were.
-        pick = F.min(F.struct(F.xxhash64(F.lit(k), "member").alias("h"), "member", "size")).alias("one")
-        split = placed.groupBy("token", "comp").agg(F.count("*").alias("m"), pick).groupBy("token").agg(
-            F.sum("m").alias("n"),
-            ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("left"),
-            F.max(F.struct("m", "one.h", "one.member", "one.size", "comp")).alias("one"),
-            F.count("*").alias("parts"),
-        )
-        split = work.keep(split.filter("parts > 1"), f"split{k}")
+        placed, split = _placed(lists, labels, work, str(k))
+        if k == 0:
+            # later rounds are for the lists that would still give many pairs for each member
+            heavy = work.keep(split.filter(F.col("left") > HEAVY * F.col("n")).select("token"), "heavy")
+            whole, lists = lists, work.keep(lists.join(heavy, "token"), "heavy-lists")
+            placed, split = placed.join(heavy, "token"), split.join(heavy, "token")
         left = split.agg(F.sum("left")).first()[0] or 0
         if left <= total or (k and checked.isEmpty()):
             break
         # The next pivot is of the list's largest component, picked by a hash; those outside meet it.
         pivots = split.select("token", F.col("one.member").alias("p"), F.col("one.size").alias("np"), F.col("one.comp").alias("pc"))
         rows = placed.join(pivots, "token").filter("comp != pc").select("token", "member", "size", "kind", "p", "np")
+    placed, split = _placed(whole, labels, work, "last")
     split = split.select("token", F.ceil(F.col("n") / PART).cast("int").alias("g"))
     crossing = _grid_pairs(placed.join(split, "token"), least_ratio)
     crossing = crossing.groupBy("x", "y").agg(
@@ -176,3 +185,18 @@ def linked(
     )
     pairs = work.keep(crossing.filter(promising).select("x", "y"), "pairs")
     return components(found.unionByName(work.keep(verify(pairs), "verified")), work)
+
+
+def _placed(lists: DataFrame, labels: DataFrame, work: Work, name: str) -> tuple[DataFrame, DataFrame]:
+    """List rows with their component; and of each list that is still split, its members ``n``, the pairs ``left`` to
+    compare, and ``one`` member of its largest component."""
+    placed = lists.select("token", "member", "size", "kind").join(labels.withColumnRenamed("node", "member"), "member", "left")
+    placed = work.keep(placed.select("token", "member", "size", "kind", F.coalesce("label", "member").alias("comp")), f"placed{name}")
+    pick = F.min(F.struct(F.xxhash64(F.lit(name), "member").alias("h"), "member", "size")).alias("one")
+    split = placed.groupBy("token", "comp").agg(F.count("*").alias("m"), pick).groupBy("token").agg(
+        F.sum("m").alias("n"),
+        ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("left"),
+        F.max(F.struct("m", "one.h", "one.member", "one.size", "comp")).alias("one"),
+        F.count("*").alias("parts"),
+    )
+    return placed, work.keep(split.filter("parts > 1"), f"split{name}")
