@@ -15,23 +15,22 @@ def components(links: DataFrame, work: Work, name: str = "components") -> DataFr
     least halves the nodes of every component. The least neighbour is a partial aggregate; the joins have plain
     shuffles on both sides, so that a node with very many links can be split.
     """
-    edges = work.keep(links.filter("x IS NOT NULL AND y IS NOT NULL AND x != y").select("x", "y").distinct(), f"{name}-links0")
-    labels, step = None, 0
-    while True:
+    small = {"free": False}
+    links = links.filter("x IS NOT NULL AND y IS NOT NULL AND x != y").select("x", "y").distinct()
+    edges, steps = work.keep(links, f"{name}-links0", **small), []
+    while not steps or not edges.isEmpty():
         both = edges.select(F.col("x").alias("node"), F.col("y").alias("other"))
         both = both.unionByName(edges.select(F.col("y").alias("node"), F.col("x").alias("other")))
         parents = both.groupBy("node").agg(F.min("other").alias("least"))
-        parents = work.keep(parents.select("node", F.least("node", "least").alias("parent")), f"{name}-parents{step}")
-        if labels is None:
-            labels = parents.withColumnRenamed("parent", "label")
-        else:
-            moved = labels.join(parents.withColumnRenamed("node", "label"), "label", "left")
-            labels = work.keep(moved.select("node", F.coalesce("parent", "label").alias("label")), f"{name}-labels{step}")
+        parents = work.keep(parents.select("node", F.least("node", "least").alias("parent")), f"{name}-parents{len(steps)}", **small)
+        steps.append(parents)
         px = parents.select(F.col("node").alias("x"), F.col("parent").alias("px"))
         py = parents.select(F.col("node").alias("y"), F.col("parent").alias("py"))
         moved = edges.join(px, "x").join(py, "y").filter("px != py")
         moved = moved.select(F.least("px", "py").alias("x"), F.greatest("px", "py").alias("y")).distinct()
-        step += 1
-        edges = work.keep(moved, f"{name}-links{step}")
-        if edges.isEmpty():
-            return labels
+        edges = work.keep(moved, f"{name}-links{len(steps)}", **small)
+    labels = steps[0].withColumnRenamed("parent", "label")
+    for parents in steps[1:]:
+        moved = labels.join(parents.withColumnRenamed("node", "label"), "label", "left")
+        labels = moved.select("node", F.coalesce("parent", "label").alias("label"))
+    return work.keep(labels, f"{name}-labels", **small)

@@ -161,15 +161,15 @@ def linked(
             F.min(F.when(F.col("p") < F.col("member"), F.col("np")).otherwise(F.col("size"))).alias("nx"),
             F.min(F.when(F.col("p") < F.col("member"), F.col("size")).otherwise(F.col("np"))).alias("ny"),
         )
-        pairs = work.keep(star.filter(promising & fits).select("x", "y"), f"pairs{k}")
-        checked = work.keep(verify(pairs), f"verified{k}")
+        pairs = work.keep(star.filter(promising & fits).select("x", "y"), f"pairs{k}", free=False)
+        checked = work.keep(verify(pairs), f"verified{k}", free=False)
         found = checked if found is None else found.unionByName(checked)
         labels = components(found, work, f"components{k}")
         placed, split = _placed(lists, labels, work, str(k))
         if k == 0:
             # later rounds are for the lists that would still give many pairs for each member
-            heavy = work.keep(split.filter(F.col("left") > HEAVY * F.col("n")).select("token"), "heavy")
-            whole, lists = lists, work.keep(lists.join(heavy, "token"), "heavy-lists")
+            heavy = work.keep(split.filter(F.col("left") > HEAVY * F.col("n")).select("token"), "heavy", free=False)
+            whole, lists = lists, work.keep(lists.join(heavy, "token"), "heavy-lists", free=False)
             placed, split = placed.join(heavy, "token"), split.join(heavy, "token")
         left = split.agg(F.sum("left")).first()[0] or 0
         if left <= total or (k and checked.isEmpty()):
@@ -191,7 +191,7 @@ def _placed(lists: DataFrame, labels: DataFrame, work: Work, name: str) -> tuple
     """List rows with their component; and of each list that is still split, its members ``n``, the pairs ``left`` to
     compare, and ``one`` member of its largest component."""
     placed = lists.select("token", "member", "size", "kind").join(labels.withColumnRenamed("node", "member"), "member", "left")
-    placed = work.keep(placed.select("token", "member", "size", "kind", F.coalesce("label", "member").alias("comp")), f"placed{name}")
+    placed = work.keep(placed.select("token", "member", "size", "kind", F.coalesce("label", "member").alias("comp")), f"placed{name}", free=False)
     pick = F.min(F.struct(F.xxhash64(F.lit(name), "member").alias("h"), "member", "size")).alias("one")
     split = placed.groupBy("token", "comp").agg(F.count("*").alias("m"), pick).groupBy("token").agg(
         F.sum("m").alias("n"),
@@ -199,4 +199,4 @@ def _placed(lists: DataFrame, labels: DataFrame, work: Work, name: str) -> tuple
         F.max(F.struct("m", "one.h", "one.member", "one.size", "comp")).alias("one"),
         F.count("*").alias("parts"),
     )
-    return placed, work.keep(split.filter("parts > 1"), f"split{name}")
+    return placed, work.keep(split.filter("parts > 1"), f"split{name}", free=False)

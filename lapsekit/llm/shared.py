@@ -26,11 +26,13 @@ class Work:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, free: bool = True, **options: str) -> DataFrame:
+        """``free`` also lets go of the shuffles behind ``df``; not worth the time for a small one."""
         df.write.options(**options).parquet(f"{self.path}/{name}")
         out = self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
         del df
-        self.free()
+        if free:
+            self.free()
         return out
 
     def free(self) -> None:
