@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,17 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + K] for i in range(len(line) - K + 1)} or {line}
 
 
+@lru_cache(maxsize=20_000)
+def _names(line: str) -> np.ndarray:
+    """Shingles as numbers; the same within a process."""
+    return np.sort(np.array([hash(x) for x in shingles(line)], np.int64))
+
+
 def similar(a: str, b: str) -> bool:
-    x, y = shingles(a), shingles(b)
-    shared = len(x & y)
-    return shared >= SIMILARITY * (len(x) + len(y) - shared)
+    both = np.concatenate((_names(a), _names(b)))
+    both.sort()
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return shared >= SIMILARITY * (len(both) - shared)
 
 
 def bands(lines: list[str]) -> np.ndarray:

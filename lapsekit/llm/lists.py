@@ -21,9 +21,9 @@ from lapsekit.llm.shared import Work
 PART = 256
 #: A list is heavy with more pairs left than this for each member.
 HEAVY = 16
-#: Rounds with one pivot a list at most; the later ones are for heavy lists. Fewer when the pairs left are no more than the rows of all lists, or when a
-#: round finds no link. The last round is complete either way.
-STARS = 6
+#: Rounds with one pivot a list at most; the later ones are for heavy lists. Fewer when the pairs left are no more than
+#: the rows of all lists, or when a round links less than GAIN of its pairs. The last round is complete either way.
+STARS, GAIN = 6, 0.1
 
 
 def shared_lists(tokens: DataFrame, work: Work, name: str = "lists") -> DataFrame:
@@ -172,7 +172,7 @@ def linked(
             whole, lists = lists, work.keep(lists.join(heavy, "token"), "heavy-lists", free=False)
             placed, split = placed.join(heavy, "token"), split.join(heavy, "token")
         left = split.agg(F.sum("left")).first()[0] or 0
-        if left <= total or (k and checked.isEmpty()):
+        if left <= total or (k and checked.count() < GAIN * pairs.count()):
             break
         # The next pivot is of the list's largest component, picked by a hash; those outside meet it.
         pivots = split.select("token", F.col("one.member").alias("p"), F.col("one.size").alias("np"), F.col("one.comp").alias("pc"))
