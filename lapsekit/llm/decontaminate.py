@@ -153,3 +153,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, work: Work, span: int =
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), Work(spark, "op10"))
+
+
+#: The same rows in DuckDB SQL.
+OP10_SQL = f"""WITH docs AS (SELECT row_number() OVER () AS uid, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+items AS (SELECT item_id,
+  regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+wanted AS (SELECT DISTINCT item_id, w[i:i + {SPAN - 1}] AS part FROM
+  (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - {SPAN - 1}))) AS i FROM items WHERE len(w) > 0)),
+windows AS (SELECT uid, i, m, w[i:i + m - 1] AS part FROM
+  (SELECT uid, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM docs, (SELECT DISTINCT len(part) AS m FROM wanted))),
+hits AS (SELECT uid, i, m, item_id FROM windows JOIN wanted USING (part)),
+places AS (SELECT uid, count(DISTINCT place) AS n_hit FROM (SELECT uid, unnest(generate_series(i, i + m - 1)) AS place FROM hits) GROUP BY uid),
+found AS (SELECT uid, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM
+  (SELECT DISTINCT uid, CAST(item_id AS VARCHAR) AS name FROM hits) GROUP BY uid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN places USING (uid) LEFT JOIN found USING (uid)"""

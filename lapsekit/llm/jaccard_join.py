@@ -295,3 +295,19 @@ def one_of_each(df: DataFrame, work: Work, size: int = SHINGLE) -> DataFrame:
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(read(spark, sf_dir, "documents"), Work(spark, "op1")).drop("member")
+
+
+#: The same rows in DuckDB SQL, for unique doc_ids.
+OP1_SQL = f"""WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, w[i:i + {SHINGLE - 1}] AS gram FROM
+  (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - {SHINGLE - 1}))) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b
+  ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN sizes sx ON sx.doc_id = x JOIN sizes sy ON sy.doc_id = y
+  WHERE {UNITED} * c >= {SHARED} * (sx.n + sy.n - c)),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(least_reached, doc_id)) AS component_id
+FROM documents LEFT JOIN sizes USING (doc_id)
+LEFT JOIN (SELECT x AS doc_id, min(y) AS least_reached FROM reach GROUP BY x) USING (doc_id)"""

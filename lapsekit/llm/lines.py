@@ -116,7 +116,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def verifier(docs: DataFrame, groups: DataFrame, lists: DataFrame, work: Work):
-    """Checks pairs of lines on their texts, fetched once, each from one place where it occurs."""
+    """Checks pairs of lines on their texts, fetched once, each from one place where it occurs; and those texts."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +142,7 @@ def verifier(docs: DataFrame, groups: DataFrame, lists: DataFrame, work: Work):
         b = found.select(F.col("node").alias("y"), F.col("text").alias("b"))
         return pairs.select("x", "y").join(a, "x").join(b, "y").select("x", "y", "a", "b").mapInArrow(check, "x long, y long")
 
-    return verify
+    return verify, found
 
 
 def repeats(docs: DataFrame, work: Work) -> DataFrame:
@@ -153,7 +153,8 @@ def repeats(docs: DataFrame, work: Work) -> DataFrame:
     lists = shared_lists(tokens, work)
     groups = found.groupBy("member").agg(F.count("*").alias("n"), F.min(F.struct("doc", "line", "th")).alias("first"))
     groups = work.keep(groups, "groups")
-    labels = linked(lists, work, verifier(docs, groups, lists, work), F.lit(True), 0.0)
+    verify, texts = verifier(docs, groups, lists, work)
+    labels = linked(lists, work, verify, F.lit(True), 0.0, texts, similar)
     classes = groups.join(labels.withColumnRenamed("node", "member"), "member", "left")
     classes = classes.select("member", "n", "first", F.coalesce("label", "member").alias("label"))
     kept = classes.groupBy("label").agg(F.min("first").alias("keep"), F.sum("n").alias("total")).filter("total > 1")

@@ -71,12 +71,17 @@ def shared_lists(tokens: DataFrame, work: Work, name: str = "lists") -> DataFram
     return work.keep(placed.mapInArrow(run, kinds), name)
 
 
-def _grid_pairs(lists: DataFrame, least_ratio: float) -> DataFrame:
-    """Pairs x < y of one list and different components, with sizes and kind. ``lists``: token, g, member, size, kind, comp."""
+def _grid_pairs(lists: DataFrame, least_ratio: float, similar: Callable[[str, str], bool] | None = None) -> DataFrame:
+    """Pairs x < y of one list and different components, with sizes and kind. ``lists``: token, g, member, size, kind, comp.
+
+    With ``similar`` rows carry their member's ``text``, and only the pairs it accepts come out: what is compared stays
+    inside the task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, 3):
-            token, i, j, part, member, size, kind, comp = (c.to_numpy() for c in table.combine_chunks().columns)
+            text = table.column(8).to_pylist() if similar else None
+            token, i, j, part, member, size, kind, comp = (c.to_numpy() for c in table.select(range(8)).combine_chunks().columns)
             near = np.arange(len(token) - 1)  # rows whose group also holds the row ``step`` further on
             step, held, count = 1, [], 0
             while True:
@@ -89,6 +94,9 @@ def _grid_pairs(lists: DataFrame, least_ratio: float) -> DataFrame:
                 ok = (comp[near] != comp[far]) & (member[near] != member[far]) & ((part[near] != part[far]) | (i[near] == j[near]))
                 ok &= np.minimum(size[near], size[far]) >= least_ratio * np.maximum(size[near], size[far]) - 1e-9
                 x, y = near[ok], far[ok]
+                if similar and len(x):
+                    alike = [similar(text[a], text[b]) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+                    x, y = x[alike], y[alike]
                 swap = member[x] > member[y]
                 held.append((np.where(swap, y, x), np.where(swap, x, y)))
                 count += len(x)
@@ -109,7 +117,7 @@ def _grid_pairs(lists: DataFrame, least_ratio: float) -> DataFrame:
     rows = lists.withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     rows = rows.select(
         "token", F.least("part", "with").cast("int").alias("i"), F.greatest("part", "with").cast("int").alias("j"),
-        "part", "member", "size", "kind", "comp",
+        "part", "member", "size", "kind", "comp", *(["text"] if similar else []),
     )
     placed = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     return placed.mapInArrow(run, "x long, y long, nx int, ny int, kind int")
@@ -144,11 +152,14 @@ def linked(
     verify: Callable[[DataFrame], DataFrame],
     promising: Column,
     least_ratio: float,
+    texts: DataFrame | None = None,
+    similar: Callable[[str, str], bool] | None = None,
 ) -> DataFrame:
     """Components (node, label) of members joined by verified pairs.
 
     ``verify`` takes pairs (x, y) and gives the linked ones. ``promising`` judges a pair by
-    nx, ny, kind and c, the lists it shares; it must hold for every link.
+    nx, ny, kind and c, the lists it shares; it must hold for every link. With ``texts`` (node, text), short ones, and
+    ``similar``, the last round judges pairs where it finds them.
     """
     fits = F.least("nx", "ny") >= least_ratio * F.greatest("nx", "ny") - 1e-9
     rows = lists.select("token", "member", "size", "kind", F.col("pivot").alias("p"), F.col("pivot_size").alias("np"))
@@ -179,7 +190,12 @@ def linked(
         rows = placed.join(pivots, "token").filter("comp != pc").select("token", "member", "size", "kind", "p", "np")
     placed, split = _placed(whole, labels, work, "last")
     split = split.select("token", F.ceil(F.col("n") / PART).cast("int").alias("g"))
-    crossing = _grid_pairs(placed.join(split, "token"), least_ratio)
+    placed = placed.join(split, "token")
+    if similar:
+        placed = placed.join(texts.withColumnRenamed("node", "member"), "member")
+        last = _grid_pairs(placed, least_ratio, similar).select("x", "y").distinct()
+        return components(found.unionByName(work.keep(last, "verified")), work)
+    crossing = _grid_pairs(placed, least_ratio)
     crossing = crossing.groupBy("x", "y").agg(
         F.count("*").alias("c"), F.max("kind").alias("kind"), F.min("nx").alias("nx"), F.min("ny").alias("ny")
     )

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lapsekit.llm.decontaminate import op10_decontaminate
+from lapsekit.llm.decontaminate import OP10_SQL, op10_decontaminate
 from lapsekit.llm.fingerprints import op7_fingerprints
-from lapsekit.llm.jaccard_join import op1_jaccard_join
+from lapsekit.llm.jaccard_join import OP1_SQL, op1_jaccard_join
 from lapsekit.llm.language import op6_language
 from lapsekit.llm.lines import op8_line_dedup
 from lapsekit.llm.packing import op4_packing
@@ -27,4 +27,4 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_jaccard_join": OP1_SQL, "op10_decontaminate": OP10_SQL}
