@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,6 +36,11 @@ INDEX = "file string, offset long, length long, url string, digest string, page_
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
+def place(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder, for writing and reading from tasks; Spark writes local ones with one slash."""
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "/", folder) if folder.startswith("file:/") else folder)
+
+
 def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -67,7 +73,7 @@ def write_archives(typed: DataFrame, folder: str) -> DataFrame:
     index names that of the attempt that ended well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = fs.FileSystem.from_uri(folder)
+        system, base = place(folder)
         system.create_dir(base, recursive=True)
         context = TaskContext.get()
         name = f"pages-{context.partitionId():05d}-{context.taskAttemptId()}.warc.gz"
@@ -133,7 +139,7 @@ def read_records(index: DataFrame, folder: str, payload: bool = True) -> DataFra
     """Records of the selected index rows, by byte-range reads in file order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = fs.FileSystem.from_uri(folder)
+        system, base = place(folder)
         names = [x.split()[0] for x in RECORDS.split(", ")]
         types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
         for batch in batches:

@@ -232,6 +232,18 @@ def test_pipeline_run_and_empty_tables(spark, work, small, tmp_path):
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_equal_their_sql(spark, small, work, name):
+    from oracle import differences, duck
+
+    assert differences(queries.QUERIES[name](spark, small), duck(small), queries.ORACLES[name]) == []
+
+
+@pytest.mark.parametrize("name, table", [(n, "pages" if n == "op2_warc" else "documents") for n in queries.QUERIES if n not in queries.ORACLES and n not in ("pipeline", "op4_packing")])
+def test_queries_give_a_row_for_each_input_row(spark, small, work, name, table):
+    assert queries.QUERIES[name](spark, small).count() == read(spark, small, table).count()
+
+
 def test_registered():
     import __spark_entry__
 
