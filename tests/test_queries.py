@@ -5,8 +5,9 @@ import pytest
 import __spark_entry__ as contract
 from oracle import differences, duck
 
-QUERIES = contract.queries()
-ORACLES = contract.oracle_sql()
+# the queries over training corpora have their own tests
+QUERIES = {name: fn for name, fn in contract.queries().items() if fn.__module__.startswith("lapsekit.plans")}
+ORACLES = {name: sql for name, sql in contract.oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")
