@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapsekit.llm import decontaminate, jaccard_join, language, lines, packing
-from lapsekit.llm.shared import Work, read
+from lapsekit.llm.shared import Work, read, ship
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled documents and drops those it rejects."""
+    ship(spark)
     model = language.fit(docs, F.lit(True))
     return language.predict(docs, model, *docs.columns).filter("NOT rejected").select(*docs.columns)
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import gc
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session: tasks import it wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_lapsekit_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    archive = Path(tempfile.mkdtemp(prefix="lapsekit-")) / "lapsekit_sources.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in [*root.glob("lapsekit/**/*.py"), root / "corpus_pipeline.py"]:
+            out.write(file, file.relative_to(root))
+    context.addPyFile(str(archive))
+    context._lapsekit_shipped = True
+
+
 class Work:
     """Written tables of one operator run.
 
@@ -23,6 +40,7 @@ class Work:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -54,6 +72,7 @@ def documents(df: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
