@@ -618,6 +618,13 @@ def churn_scores(spark, folder):
     return study(spark, folder).scores()
 
 
+@query
+def scored_flags(spark, folder):
+    """All features, and whether the customer has a score."""
+    scored = study(spark, folder).scored_features()
+    return scored.withColumn("has_score", F.col("Proba_churn").isNotNull()).drop("Proba_churn")
+
+
 @query
 def skipped_customers(spark, folder):
     return study(spark, folder).skipped()

@@ -540,6 +540,7 @@ FROM features WHERE Region_Cust IS NOT NULL GROUP BY 1""",
         "SELECT count(Region_Cust) AS n_scored, count(*) - count(Region_Cust) AS n_unscored, CAST(0 AS BIGINT) AS n_invalid FROM features",
         "features",
     )
+    sql["scored_flags"] = _with(f"SELECT {_quoted(FEATURES)}, Region_Cust IS NOT NULL AS has_score FROM features", "features")
     sql["split_counts"] = _with(f'SELECT {side}, label, count(*) AS "count" FROM labels GROUP BY 1, 2', "labels")
     sql["corr_matrix"] = _with("SELECT i, j, col_i, col_j, round(r, 6) AS r FROM pairs", "pairs")
     sql["corr_prune"] = _with(
