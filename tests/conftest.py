@@ -10,10 +10,11 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from lapsekit.session import local_session
 
-    session = local_session("tests", cores=8)
+    shared = {"spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}"}
+    session = local_session("tests", cores=8, **shared)
     yield session
     session.stop()
 
