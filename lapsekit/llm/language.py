@@ -25,7 +25,7 @@ from lapsekit.llm.text_arrays import LOWER, flat, parts
 
 BUCKETS, WIDTH, EPOCHS, BATCH, RATE = 4096, 16, 12, 64, 0.5
 #: Texts counted at once: a row of BUCKETS numbers each.
-ROWS = 256
+ROWS = 128
 #: The sample's bound: documents of each language, and languages, that training takes.
 PER_LANGUAGE, LANGUAGES = 1500, 100
 #: Scores below this are rejected only if no right validation text scores lower.

@@ -34,7 +34,7 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + K] for i in range(len(line) - K + 1)} or {line}
 
 
-@lru_cache(maxsize=20_000)
+@lru_cache(maxsize=4_000)
 def _names(line: str) -> np.ndarray:
     """Shingles as numbers; the same within a process."""
     return np.sort(np.array([hash(x) for x in shingles(line)], np.int64))
