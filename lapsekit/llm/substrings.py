@@ -32,8 +32,8 @@ from lapsekit.llm.shared import Work, documents, read
 from lapsekit.llm.text_arrays import PART, U64, Rolling, flat, mix, parts
 
 LENGTH, WINDOW, GRAM = 200, 100, 8
-#: Round-1 ranks with more blocks than this are dealt out by the strings' names as well, to SHARDS parts.
-LARGE, SHARDS = 2000, 1024
+#: Strings of round-1 ranks with more blocks than this are counted one by one; the others' blocks meet in one task.
+LARGE = 2000
 _ODD = U64(0xD6E8FEB86659FD93)
 _HIGH = U64(0xFFFFFFFF00000000)
 _LEAST_ID = -(1 << 63)
@@ -110,10 +110,10 @@ def anchors(docs: DataFrame, length: int, window: int, part: int = PART) -> Data
 
 
 def strings(texts: DataFrame, length: int) -> DataFrame:
-    """Names of the single strings of the listed blocks of each text, a row for each block and shard."""
+    """Names of the single strings of the listed blocks of each text, a row for each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["core", "shard", "doc", "th", "open", "at", "names", "starts"]
+        names = ["core", "large", "doc", "th", "open", "at", "names"]
         for batch in batches:
             held, size = [], 0
             for row in batch.select(["doc", "th", "text", "blocks"]).to_pylist():
@@ -129,39 +129,71 @@ def strings(texts: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(named(held), names)
 
     def named(held: list[tuple]) -> list[pa.Array]:
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64())]
         rolling = Rolling(np.frombuffer(b"".join(x[3] for x in held), np.uint8))
         out, base = [], 0
         for doc, th, x, part in held:
             at = np.arange(x["n"])
             found = rolling.of(base + at, base + at + length)
             base += len(part)
-            shard = (found % U64(SHARDS)).astype(np.int32) if x["large"] else np.zeros(len(at), np.int32)
-            for k in np.unique(shard):
-                mine = shard == k
-                out.append((x["core"], int(k), doc, th, x["open"], x["at"], found[mine].view(np.int64), at[mine].astype(np.int32)))
+            out.append((x["core"], x["large"], doc, th, x["open"], x["at"], found.view(np.int64)))
         return [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
 
-    kinds = "core long, shard int, doc long, th long, open boolean, at long, names array<long>, starts array<int>"
-    return texts.mapInArrow(run, kinds)
+    return texts.mapInArrow(run, "core long, large boolean, doc long, th long, open boolean, at long, names array<long>")
+
+
+_RANGES = "doc long, th long, start long, end long"
+
+
+def runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Byte ranges of sorted strings (doc, th, begin), those that follow each other as one."""
+    held: list[np.ndarray] | None = None  # the last range, which the next batch may go on with
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        doc, th, begin = (c.to_numpy() for c in batch.columns)
+        new = np.ones(len(begin), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]) | (begin[1:] > begin[:-1] + 1)
+        first = np.flatnonzero(new)
+        end = begin[np.concatenate([first[1:], [len(begin)]]) - 1] + length
+        found = [doc[first], th[first], begin[first], end]
+        if held is not None:
+            if held[0][0] == doc[0] and held[1][0] == th[0] and begin[0] <= held[3][0] - length + 1:
+                found[2] = np.concatenate([held[2], found[2][1:]])
+            else:
+                found = [np.concatenate(x) for x in zip(held, found, strict=True)]
+        held = [x[-1:] for x in found]
+        if len(found[0]) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1]) for x in found], ["doc", "th", "start", "end"])
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["doc", "th", "start", "end"])
+
+
+def repeated_in_large(named: DataFrame, work: Work, length: int) -> DataFrame:
+    """``repeated`` for ranks of any number of blocks: no task holds the blocks of a rank or the places of a string."""
+    single = named.select("core", "doc", "th", "open", "at", F.posexplode("names").alias("start", "name"))
+    # partial counts: a string gives each reducer one row from a task, however often it occurs
+    again = work.keep(single.groupBy("core", "name").agg(F.count("*").alias("n")).filter("n > 1").select("core", "name"), "again")
+    # Plain shuffles: adaptive execution splits a string that many blocks hold.
+    found = single.filter("open").join(again, ["core", "name"]).select("doc", "th", (F.col("at") + F.col("start")).alias("begin"))
+    placed = found.repartition("doc", "th").sortWithinPartitions("doc", "th", "begin")
+    return placed.mapInArrow(lambda batches: runs(batches, length), _RANGES)
 
 
 def repeated(named: DataFrame, length: int) -> DataFrame:
-    """Byte ranges of strings, in open blocks, that another block of the same rank has, too."""
+    """Byte ranges of strings, in open blocks, that another block of the same rank has, too; at most LARGE blocks a rank."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        """Rows in pieces that end where (core, shard) changes."""
+        """Rows in pieces that end where core changes."""
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            core, shard = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            new = np.flatnonzero((core[1:] != core[:-1]) | (shard[1:] != shard[:-1])) + 1
-            if held:
-                last = held[-1]
-                if last.column(0)[-1].as_py() != core[0] or last.column(1)[-1].as_py() != shard[0]:
-                    yield pa.Table.from_batches(held)
-                    held = []
+            core = batch.column(0).to_numpy()
+            new = np.flatnonzero(core[1:] != core[:-1]) + 1
+            if held and held[-1].column(0)[-1].as_py() != core[0]:
+                yield pa.Table.from_batches(held)
+                held = []
             cut = int(new[-1]) if len(new) else 0
             if cut:
                 yield pa.Table.from_batches([*held, batch.slice(0, cut)])
@@ -172,13 +204,13 @@ def repeated(named: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches):
-            core, shard, doc, th, is_open, at, names, starts = (c.combine_chunks() for c in table.columns)
-            core, shard, doc, th, at = (c.to_numpy() for c in (core, shard, doc, th, at))
+            core, doc, th, is_open, at, names = (c.combine_chunks() for c in table.columns)
+            core, doc, th, at = (c.to_numpy() for c in (core, doc, th, at))
             is_open = is_open.to_numpy(zero_copy_only=False)
             sizes = np.diff(names.offsets.to_numpy())
             owner = np.repeat(np.arange(len(core)), sizes)
-            key = mix(mix(core.view(np.uint64) + U64(1)) + shard.astype(np.uint64))[owner]
-            name, start = names.flatten().to_numpy().view(np.uint64), starts.flatten().to_numpy().astype(np.int64)
+            key, name = core[owner], names.flatten().to_numpy()
+            start = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             order = np.lexsort((name, key))
             same = (name[order][1:] == name[order][:-1]) & (key[order][1:] == key[order][:-1])
             again = np.zeros(len(order), bool)
@@ -188,8 +220,6 @@ def repeated(named: DataFrame, length: int) -> DataFrame:
             if not len(hit):
                 continue
             block, begin = owner[hit], at[owner[hit]] + start[hit]
-            order = np.lexsort((begin, block))
-            block, begin = block[order], begin[order]
             new = np.ones(len(begin), bool)
             new[1:] = (block[1:] != block[:-1]) | (begin[1:] != begin[:-1] + 1)
             first = np.flatnonzero(new)
@@ -197,8 +227,8 @@ def repeated(named: DataFrame, length: int) -> DataFrame:
             columns = [doc[block[first]], th[block[first]], begin[first], begin[last] + length]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "th", "start", "end"])
 
-    placed = named.repartition("core", "shard").sortWithinPartitions("core", "shard")
-    return placed.mapInArrow(run, "doc long, th long, start long, end long")
+    placed = named.select("core", "doc", "th", "open", "at", "names").repartition("core").sortWithinPartitions("core")
+    return placed.mapInArrow(run, _RANGES)
 
 
 def ranges_to_remove(docs: DataFrame, work: Work, length: int = LENGTH, window: int = WINDOW, part: int = PART) -> DataFrame:
@@ -226,9 +256,10 @@ def ranges_to_remove(docs: DataFrame, work: Work, length: int = LENGTH, window:
     whole = left.filter("NOT mixed").select("doc", "th", "at", "n")
     equal = mixed.join(kinds.filter("m > 1").select("core", "block"), ["core", "block"]).select("doc", "th", "at", "n")
     ranges = whole.unionByName(equal).select("doc", "th", F.col("at").alias("start"), (F.col("at") + F.col("n") + length - 1).alias("end"))
-    ranges = ranges.unionByName(repeated(named, length))
+    ranges = ranges.unionByName(repeated(named.filter("NOT large"), length))
+    ranges = ranges.unionByName(repeated_in_large(named.filter("large"), work, length))
     out = work.keep(ranges.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges")
-    work.drop("left", "kinds", "listed", "strings")
+    work.drop("left", "kinds", "listed", "strings", "again")
     return out
 
 

@@ -3,6 +3,7 @@
 import random
 
 import brute
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +92,36 @@ def test_repeated_strings_in_parts_and_shards(docs, work, monkeypatch):
     assert got == sorted(brute.repeated_bytes(rows))
 
 
+def test_repeated_strings_put_no_large_group_in_one_task(docs, work, monkeypatch):
+    rng = random.Random(9)
+    text = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    shared = text(420)
+    rows = [(i, text(150 + i) + shared + text(150)) for i in range(40)]
+    frame = type(docs((1, "x")))
+    largest, plain = [], frame.sortWithinPartitions
+
+    def spied(self, *cols, **options):
+        keys = [c for c in cols if c in ("core", "shard")]
+        if keys:  # each such group becomes one table of a task
+            largest.append(self.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0)
+        return plain(self, *cols, **options)
+
+    monkeypatch.setattr(frame, "sortWithinPartitions", spied)
+    monkeypatch.setattr(substrings, "LARGE", 10)
+    got = sorted(tuple(r) for r in substrings.remove_repeats(docs(*rows), work).collect())
+    assert got == sorted(brute.repeated_bytes(rows))
+    assert largest and max(largest) <= 10
+
+
+def test_runs_go_on_over_batches():
+    rows = [(1, 1, 5), (1, 1, 6), (1, 1, 7), (1, 1, 9), (1, 2, 10), (2, 2, 11), (2, 2, 12)]
+    for size in range(1, 8):
+        parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*x, strict=True)], ["doc", "th", "begin"]) for x in parts]
+        got = [tuple(r.values()) for b in substrings.runs(iter(batches), 200) for r in b.to_pylist()]
+        assert got == [(1, 1, 5, 207), (1, 1, 9, 209), (1, 2, 10, 210), (2, 2, 11, 212)]
+
+
 def test_repeated_strings_of_nothing(docs, work):
     assert substrings.remove_repeats(docs((1, "x")).filter("false"), work).count() == 0
 
