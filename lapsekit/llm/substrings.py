@@ -1,18 +1,17 @@
-"""Removal of every byte covered by a long string that starts anywhere else, by thinned prefix doubling.
+"""Removal of every byte covered by a long string that starts anywhere else, by grouping hashes at content-chosen anchors.
 
-Prefix doubling ranks all positions by growing prefixes and drops positions whose rank is unique. Ranking every byte
-moves some hundred bytes for each byte of text, so here the ranked positions are thinned by content first and ranks
-are 64-bit names, whose pairing with the name further on needs no join:
+Prefix doubling ranks all positions by growing prefixes and drops positions whose rank is unique. This is another
+method: positions are thinned by content first, and three groupings by 64-bit rolling hashes stand for the ranks.
 
 * Each start of a ``length``-byte string belongs to an anchor, the place of the least hash of 8 bytes among its first
   ``WINDOW``. Equal strings have anchors at equal distances. About one byte in fifty is an anchor.
-* Round 1 sorts anchors by their first ``length - WINDOW + 1`` bytes, which every string of the anchor shares. Unique
+* Round 1 groups anchors by their first ``length - WINDOW + 1`` bytes, which every string of the anchor shares. Unique
   anchors drop out: none of their strings occurs again.
-* Round 2 extends the rank to the whole block, all strings of an anchor at once. Where all blocks of a round-1 rank
+* Round 2 groups by the whole block, all strings of an anchor at once. Where all blocks of a round-1 rank
   are equal, or two blocks are, all their strings repeat.
-* Round 3 ranks the single strings of one block of each kind that is left, past which no rank grows.
+* Round 3 groups the single strings of one block of each kind that is left.
 
-A string found equal agrees in two independent 64-bit names (round 1 and 3) and its distance from the anchor.
+A string found equal in round 3 agrees in two 64-bit names, those of rounds 1 and 3; its distance from the anchor is not compared.
 
 Null texts are empty. Repeated rows are documents like others, so long ones vanish together. Empty tables give no
 rows; extra columns are ignored. Very long texts are ranked in overlapping parts.
