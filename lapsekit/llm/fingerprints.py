@@ -3,7 +3,8 @@
 A text is cut into paragraphs: its lines, at sentence ends and after 16 words. Each digest (the k-th copy of a
 paragraph has its own) goes into one cell of each of three tables; a cell holds a count, the XOR of digests and the
 XOR of their check values. The difference of two sketches holds only digests that one side lacks, and peeling cells
-with a single digest recovers them. Where the cells are too few, both sides are sketched again four times larger.
+with a single digest recovers them. Where the cells are too few, both sides are sketched again four times larger, very
+long texts in parts by a hash of the digest.
 Likeness is the Jaccard similarity that follows from the recovered digests, and 1 for two texts without paragraphs.
 
 A null text is empty. Rows go by descending doc_id (null last), repeated ids by text; after the last comes the first,
@@ -29,6 +30,8 @@ from lapsekit.llm.text_arrays import U64, mix
 #: Cells of a fingerprint, a multiple of 3; a larger difference takes sketches of 4, 16, ... times as many.
 CELLS = 30
 PARAGRAPH_WORDS = 16
+#: Digests of both sides that larger sketches take at once, about: memory stays bounded.
+AT_ONCE = 1 << 20
 _CUT = re.compile(r"\n+|(?<=[.!?])[ \t]+")
 _CHECK = U64(0xA5A5F00DBEEF1234)
 _LOW, _21, _42 = U64(0x1FFFFF), U64(21), U64(42)
@@ -69,7 +72,11 @@ class Sketch:
     def put(self, found: np.ndarray, sign: np.ndarray | int) -> None:
         third, where = U64(self.cells // 3), mix(found + U64(self.cells))
         thrice = lambda x: np.concatenate((x, x, x))
-        at = np.concatenate(((where & _LOW) % third, (where >> _21 & _LOW) % third + third, (where >> _42) % third + third + third))
+        if third <= _LOW:  # three places from one hash
+            places = where & _LOW, where >> _21 & _LOW, where >> _42
+        else:
+            places = mix(where + U64(1)), mix(where + U64(2)), mix(where + U64(3))
+        at = np.concatenate([x % third + U64(k) * third for k, x in enumerate(places)])
         at = at.astype(np.int64)
         np.add.at(self.counts, at, sign if isinstance(sign, int) else thrice(sign))
         np.bitwise_xor.at(self.keys, at, thrice(found))
@@ -113,16 +120,27 @@ def differing(a: np.ndarray, b: np.ndarray, first: Sketch | None = None, second:
 
     A difference without an empty cell is far too large to peel; a larger sketch has room for all digests.
     """
-    cells = CELLS
+    if first and second:
+        rest = first.minus(second)
+        if (rest.counts == 0).any() and (found := rest.peel()) is not None:
+            return found
+    n = 1 + (len(a) + len(b)) // AT_ONCE
+    if n > 1:
+        of = [mix(x ^ _CHECK) % U64(n) for x in (a, b)]
+        parts = [_peeled(a[of[0] == k], b[of[1] == k], 4 * CELLS) for k in range(n)]
+        return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+    return _peeled(a, b, 4 * CELLS if first and second else CELLS)
+
+
+def _peeled(a: np.ndarray, b: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches of ``cells`` cells (of room for all digests, if more than ``CELLS``), then 4, 16, ... times as many."""
     while True:
-        small = first and second and cells == CELLS
-        rest = first.minus(second) if small else Sketch.of(a, cells).minus(Sketch.of(b, cells))
-        found = rest.peel() if not small or (rest.counts == 0).any() else None
+        while CELLS < cells < 3 * (len(a) + len(b)):
+            cells *= 4
+        found = Sketch.of(a, cells).minus(Sketch.of(b, cells)).peel()
         if found is not None:
             return found
         cells *= 4
-        while cells < 3 * (len(a) + len(b)):
-            cells *= 4
 
 
 def likeness(a: np.ndarray, b: np.ndarray, first: Sketch | None = None, second: Sketch | None = None) -> float:

@@ -172,6 +172,24 @@ def test_sketches_recover_differences():
     assert sorted(ours) == sorted(np.setdiff1d(a, b)) and sorted(theirs) == sorted(np.setdiff1d(b, a))
 
 
+def test_large_sketches_use_all_cells():
+    sketch = fingerprints.Sketch.of(np.random.default_rng(6).integers(1, 1 << 63, 50_000, dtype=np.uint64), fingerprints.CELLS * 4**9)
+    third = sketch.cells // 3
+    for k in range(3):
+        assert np.flatnonzero(sketch.counts[k * third : (k + 1) * third])[-1] > 0.99 * third
+    assert len(sketch.peel()[0]) == 50_000
+
+
+def test_differences_in_parts(monkeypatch):
+    found = np.random.default_rng(7).integers(1, 1 << 63, 9000, dtype=np.uint64)
+    a, b = found[:6000], found[2000:]
+    monkeypatch.setattr(fingerprints, "AT_ONCE", 1000)
+    sketches = [fingerprints.Sketch.of(x, fingerprints.CELLS) for x in (a, b)]
+    for sides in ([], sketches):
+        ours, theirs = fingerprints.differing(a, b, *sides)
+        assert set(ours) == set(a) - set(b) and set(theirs) == set(b) - set(a)
+
+
 def test_language(spark, small):
     out = language.identify(
         read(spark, small, "documents").withColumn("h", crc_mod(4) == 2), F.col("h"), "doc_id", "lang", "h", "text"
