@@ -2,8 +2,8 @@
 
 Every text has a score s = w x over a few shares counted in it (kinds of characters, repeated words, line and word
 lengths). A labelled good text should beat a bad one: w minimises the logistic loss of s(good) - s(bad) over random
-pairs of a bounded sample, by stochastic gradient descent. The threshold is a quantile of the sample's scores: the
-share of bad labels. Scores become probabilities by a logistic curve that has ``CUT`` at that threshold.
+pairs of a bounded sample, by stochastic gradient descent. The threshold is a quantile of the scores of all labelled
+rows that may be learned from: the share of bad labels, its place right to a millionth of the rows. Scores become probabilities by a logistic curve that has ``CUT`` at that threshold.
 
 Null and empty texts have all shares 0 and a score like any other. Without labels of both kinds every score is ``CUT``.
 Equal texts get equal scores; repeated rows are all kept; a document with several labels takes part with each; extra
@@ -121,7 +121,25 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Model | None:
     side = [np.array(sorted(r.x for r in found if r.quality == k), np.float64) for k in (0, 1)]
     if not all(len(s) for s in side):
         return None
-    return train(side[1], side[0], sizes[0] / sum(sizes.values()))
+    n = sum(sizes.values())
+    model = train(side[1], side[0], sizes[0] / n)
+    between = quantiles(docs, rows.filter("quality IN (0, 1)"), model, [sizes[0] / n, min(1.0, (sizes[0] + 1) / n)])
+    if between:
+        model.threshold = sum(between) / 2
+    return model
+
+
+def quantiles(docs: DataFrame, rows: DataFrame, model: Model, at: list[float]) -> list[float] | None:
+    """Ranks at these shares of all labelled ``rows`` with a document. Only ids and ranks are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in parts(whole):
+                value = model.rank(features(batch.column(1)).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value, pa.float64())], ["doc_id", "rank"])
+
+    ranked = docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, rank double")
+    return ranked.join(rows.select("doc_id"), "doc_id").agg(F.percentile_approx("rank", at, 1_000_000)).first()[0]
 
 
 def score(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:

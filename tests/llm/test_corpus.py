@@ -228,6 +228,18 @@ def test_quality_of_odd_texts(spark, docs):
     assert quality.score(docs((1, "x")).filter("false"), None, "doc_id").count() == 0
 
 
+def test_quality_threshold_covers_all_labelled_rows(spark, docs, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, " ".join("!" * rng.randrange(3) + "word" * rng.randrange(1, 4) for _ in range(30 + i % 50))) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(t.count("!") + rng.randrange(12) < 34)) for i, t in rows], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "PER_LABEL", 15)
+    table = docs(*rows)
+    model = quality.fit(table, labels, F.col("doc_id") % 5 != 0)
+    found = quality.score(table.filter("doc_id % 5 != 0"), model, "doc_id").join(labels, "doc_id")
+    bad, predicted = found.filter("quality = 0").count(), found.filter("predicted = 0").count()
+    assert abs(bad - predicted) <= 1 and 0 < bad < 480
+
+
 def test_pipeline_stages(spark, work, small):
     docs = read(spark, small, "documents")
     odd = spark.createDataFrame([(9001, None), (9002, ""), (9003, "The end of it.\n" * 3)], "doc_id long, text string")
