@@ -6,9 +6,9 @@ Each stage takes (spark, docs, sf_dir) and gives all that its decisions leave. A
 * Null texts have no language, so the first stage drops them, as it drops texts without a letter and texts whose
   calibrated score is below every right one of the validation sample.
 * Lines found elsewhere go; a document that loses all stays with an empty text. n_chars follows the text.
-* Of documents joined by links of similarity 0.8, the one with the smallest doc_id stays. Documents without words
-  all stay, and so do rows that repeat a kept doc_id.
-* Documents with a window of the benchmark go.
+* Of documents joined by links of similarity 0.8, the one with the smallest doc_id (null last) stays, one row even
+  where ids repeat. Documents without words all stay.
+* Rows with a window of the benchmark go, others of the same doc_id stay.
 * An empty table passes through every stage as one.
 """
 

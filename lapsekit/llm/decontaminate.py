@@ -108,13 +108,16 @@ def _windows_of(m: int) -> Column:
     return F.coalesce(part, F.array().cast("array<struct<window:array<bigint>,start:int,words:int>>"))
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, work: Work, span: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """Documents under ``uid``, with their hashed words ``w``; and all windows found in them."""
+def _found(docs: DataFrame, benchmark: DataFrame, work: Work, span: int, k: int, uid: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documents under ``uid`` (that column, or a new key), with their hashed words ``w``; and all windows found in them."""
     items = benchmark.select("item_id", word_hashes(F.coalesce("text", F.lit(""))).alias("w"))
     items = work.keep(items, "items")
     rows = work.keep(
-        docs.select("doc_id", word_hashes(F.coalesce("text", F.lit(""))).alias("w"))
-        .withColumn("uid", F.monotonically_increasing_id()),
+        docs.select(
+            "doc_id",
+            word_hashes(F.coalesce("text", F.lit(""))).alias("w"),
+            (F.col(uid) if uid else F.monotonically_increasing_id()).alias("uid"),
+        ),
         "words",
     )
     found = hits(rows, items, work, span, k)
@@ -123,11 +126,11 @@ def _found(docs: DataFrame, benchmark: DataFrame, work: Work, span: int, k: int)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, work: Work, span: int = SPAN, k: int = K) -> DataFrame:
-    """``docs`` without the documents that hold a window; of rows that repeat an id, all go with one."""
-    rows, found = _found(docs, benchmark, work, span, k)
-    gone = rows.select("uid", F.col("doc_id").alias("_gone")).join(found.select("uid").distinct(), "uid", "left_semi")
-    gone = work.keep(gone.select("_gone").distinct(), "gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """``docs`` without the rows that hold a window. Rows go by a written key of their own, whether or not ids repeat."""
+    keyed = work.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    _, found = _found(keyed, benchmark, work, span, k, "_row")
+    gone = work.keep(found.select(F.col("uid").alias("_row")).distinct(), "gone")
+    return keyed.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, work: Work, span: int = SPAN, k: int = K) -> DataFrame:

@@ -286,11 +286,16 @@ def similar_documents(df: DataFrame, work: Work, size: int = SHINGLE) -> DataFra
 
 
 def one_of_each(df: DataFrame, work: Work, size: int = SHINGLE) -> DataFrame:
-    """``df`` without the documents of a component but that of the smallest doc_id. Documents without words all stay;
-    where ids repeat, rows of a kept id stay together."""
-    found = similar_documents(df, work, size)
-    gone = found.filter("n_shingles > 0 AND component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(work.keep(gone, "gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """``df`` with one row of each component, that of the smallest doc_id (null last), of those any one. Rows without
+    words all stay. Rows go by a written key of their own, whether or not ids repeat."""
+    rows = work.keep(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    # under their keys all rows have distinct, non-null ids
+    found = similar_documents(rows.select(F.col("_row").alias("doc_id"), "text"), work, size)
+    found = work.keep(found.filter("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id"), "found")
+    ids = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row").alias("_order"))
+    stays = found.join(ids, "_row").groupBy("component_id").agg(F.min("_order")["_row"].alias("_row"))
+    gone = work.keep(found.select("_row").join(stays.select("_row"), "_row", "left_anti"), "gone")
+    return rows.join(gone, "_row", "left_anti").select(*df.columns)
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

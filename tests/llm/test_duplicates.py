@@ -74,6 +74,23 @@ def test_one_of_each(docs, work):
     assert left.columns == docs(*rows).columns
 
 
+def test_rows_are_judged_one_by_one_where_ids_repeat(docs, work):
+    near, other = "a b c d e f g", "some words that nothing else holds"
+    rows = [(3, near), (1, near), (1, near), (None, near), (3, other), (None, "x y z"), (None, "x y z"), (7, ""), (7, None)]
+    left = jaccard_join.one_of_each(docs(*rows), work)
+    want = [(1, near), (3, other), (None, "x y z"), (7, ""), (7, None)]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in left.collect()))) == sorted(map(repr, want))
+    assert left.columns == docs(*rows).columns
+
+
+def test_clean_by_rows_where_ids_repeat(spark, docs, work):
+    passage = " ".join(WORDS[:12])
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    rows = [(1, passage), (1, "clean words"), (None, "q " + passage), (None, "none"), (2, None)]
+    left = decontaminate.clean(docs(*rows), items, work)
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in left.collect()))) == sorted(map(repr, [rows[1], rows[3], rows[4]]))
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_repeated_strings(docs, work, seed):
     rows = corpus(seed) + [(900, "ab" * 400), (901, "z" * 450), (902, "q" * 199), (903, "q" * 199), (904, None)]
