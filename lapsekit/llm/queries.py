@@ -9,6 +9,7 @@ from lapsekit.llm.jaccard_join import OP1_SQL, op1_jaccard_join
 from lapsekit.llm.language import op6_language
 from lapsekit.llm.lines import op8_line_dedup
 from lapsekit.llm.manifest import op12_merkle_manifest
+from lapsekit.llm.outliers import op13_quality_rules
 from lapsekit.llm.packing import op4_packing
 from lapsekit.llm.quality import op3_quality
 from lapsekit.llm.substrings import op5_repeated_strings
@@ -28,5 +29,6 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_decontaminate": op10_decontaminate,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_quality_rules": op13_quality_rules,
 }
 ORACLES: dict[str, str] = {"op1_jaccard_join": OP1_SQL, "op10_decontaminate": OP10_SQL}
