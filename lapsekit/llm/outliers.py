@@ -116,13 +116,12 @@ def grouped(base: DataFrame) -> DataFrame:
     cells = rows.groupBy("cell", "tongue").agg(F.count("*").alias("n"))
     small = cells.filter(F.col("n") < LEAST_ROWS)
     tongues = small.groupBy("tongue").agg(F.sum("n").alias("in_tongue"))
-    rest = tongues.filter(F.col("in_tongue") < LEAST_ROWS).agg(F.coalesce(F.sum("in_tongue"), F.lit(0)).alias("in_rest"))
-    # one row, so each group meets it once
-    named = cells.join(tongues, "tongue", "left").join(F.broadcast(rest)).select(
+    rest = tongues.filter(F.col("in_tongue") < LEAST_ROWS).agg(F.sum("in_tongue")).first()[0] or 0
+    named = cells.join(tongues, "tongue", "left").select(
         "cell",
         F.when(F.col("n") >= LEAST_ROWS, F.col("cell"))
         .when(F.col("in_tongue") >= LEAST_ROWS, F.concat("tongue", F.lit("*")))
-        .when(F.col("in_rest") >= LEAST_ROWS, "*")
+        .when(F.lit(rest >= LEAST_ROWS), "*")
         .alias("group"),
     )
     return rows.join(named, "cell").select("doc_id", "group", *VECTOR)

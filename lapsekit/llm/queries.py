@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from lapsekit.llm.conversations import op11_conversation_repair
 from lapsekit.llm.decontaminate import OP10_SQL, op10_decontaminate
 from lapsekit.llm.fingerprints import op7_fingerprints
 from lapsekit.llm.jaccard_join import OP1_SQL, op1_jaccard_join
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_files": op9_token_files,
     "op10_decontaminate": op10_decontaminate,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_quality_rules": op13_quality_rules,
 }
