@@ -27,10 +27,20 @@ def discover_categories(df: DataFrame, col: str, limit: int = 1000) -> list:
 
 
 def discover_each(df: DataFrame, cols: Sequence[str], limit: int = 1000) -> dict[str, list]:
-    """``discover_categories`` of several columns in one pass."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(quote(c)).cast("string").alias("v")) for c in cols])
-    found = df.select(F.inline(pairs)).where(F.col("v").isNotNull()).distinct().limit(len(cols) * limit + 1).collect()
-    result: dict[str, list] = {c: sorted(r.v for r in found if r.c == c) for c in cols}
+    """``discover_categories`` of several columns at once, as text, without a row for each value.
+
+    A first aggregate sketches how many values each column has, and a column far beyond ``limit`` is refused there; a
+    second one gathers the values, of which there are few by then. Both are combined on the map side.
+    """
+    text = {f"c{i}": F.col(quote(c)).cast("string") for i, c in enumerate(cols)}
+    plain = df.select(*[v.alias(n) for n, v in text.items()])
+    about = plain.agg(*[F.approx_count_distinct(n, 0.02).alias(n) for n in text]).first()
+    sizes = dict(zip(cols, about, strict=True))
+    for c in cols:
+        if sizes[c] > 1.2 * limit + 10:
+            raise ValueError(f"{c} has more than {limit} categories")
+    found = plain.agg(*[F.collect_set(n).alias(n) for n in text]).first()
+    result = {c: sorted(values) for c, values in zip(cols, found, strict=True)}
     for c, values in result.items():
         if len(values) > limit:
             raise ValueError(f"{c} has more than {limit} categories")
@@ -75,8 +85,32 @@ def undeclared(col: str, names: Mapping) -> Column:
     return F.count_if(F.col(quote(col)).isNotNull() & ~F.col(quote(col)).isin(list(names)))
 
 
+#: More declared categories than this are looked up in a map for each key, instead of a conditional for each row.
+CONDITIONALS = 100
+
+
+def _by_map(df: DataFrame, key: str, col: str, amount: Column, names: Mapping) -> DataFrame:
+    """Per key the ``amount`` of each declared category, from (key, category) sums gathered into one map a key."""
+    listed = F.col(quote(col)).isin([c for c in names if c is not None])
+    listed = listed | F.col(quote(col)).isNull() if None in names else listed
+    wanted = F.when(listed, F.struct(F.col(quote(col)).alias("c")))
+    sums = df.select(quote(key), wanted.alias("_wanted"), amount.alias("_amount")).groupBy(quote(key), "_wanted").agg(F.sum("_amount").alias("_n"))
+    # keys without a listed category stay, with an empty map
+    entry = F.when(F.col("_wanted").isNotNull(), F.struct(F.coalesce(F.col("_wanted.c").cast("string"), F.lit("")).alias("k"), F.col("_wanted.c").isNull().alias("none"), "_n"))
+    maps = sums.groupBy(quote(key)).agg(F.collect_list(entry).alias("_all"))
+    plain = F.map_from_entries(F.transform(F.filter("_all", lambda e: ~e["none"]), lambda e: F.struct(e["k"], e["_n"])))
+    null = F.get(F.filter("_all", lambda e: e["none"]), F.lit(0))["_n"] if None in names else None
+    maps = maps.withColumn("_map", plain)
+    cells = [
+        F.coalesce(null if c is None else F.try_element_at("_map", F.lit(str(c))), F.lit(0)).alias(name) for c, name in names.items()
+    ]
+    return maps.select(quote(key), *cells)
+
+
 def category_counts(df: DataFrame, key: str, col: str, names: Mapping) -> DataFrame:
-    """Rows per key and declared category, in one shuffle and without dummies."""
+    """Rows per key and declared category, in one shuffle and without dummies; many text categories go through a map."""
+    if len(names) > CONDITIONALS and dict(df.dtypes)[col] == "string":
+        return _by_map(df, key, col, F.lit(1).cast("long"), names)
     return df.groupBy(key).agg(*count_exprs(col, names))
 
 
@@ -86,8 +120,10 @@ def pivot_sum(
     """Key by category table of summed ``measure``, 0 where a pair is absent.
 
     Conditional sums need one exchange; ``pivot`` would plan a first aggregate by
-    key and category and a second one by key.
+    key and category and a second one by key. That is better only for many categories, so they go through a map.
     """
+    if len(names) > CONDITIONALS and dict(df.dtypes)[col] == "string":
+        return _by_map(df, key, col, F.col(quote(measure)), names)
     cells = [
         F.coalesce(F.sum(F.when(matches(col, c), F.col(measure))), F.lit(0)).alias(name)
         for c, name in names.items()

@@ -16,13 +16,20 @@ HOT_SHARE = 0.005
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Whether ``df`` has at most so many rows and bytes, by one partial aggregate: each task sends one row."""
+    """Whether ``df`` has at most so many rows and bytes.
+
+    Rows are counted first, which needs no column; bytes are measured only of a side with few enough rows. Each task
+    sends one number.
+    """
     width = F.lit(16 * len(df.columns)).cast("bigint")
     for f in df.schema:
-        if not isinstance(f.dataType, T.AtomicType) or isinstance(f.dataType, (T.StringType, T.BinaryType)):
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            width = width + F.coalesce(F.octet_length(quote(f.name)), F.lit(0))
+        elif not isinstance(f.dataType, T.AtomicType):
             width = width + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(quote(f.name)).alias("c")))), F.lit(0))
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
-    return row["n"] <= rows and (row["b"] or 0) <= size
+    if df.agg(F.count(F.lit(1))).first()[0] > rows:
+        return False
+    return (df.agg(F.sum(width)).first()[0] or 0) <= size
 
 
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
@@ -33,7 +40,7 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
     """
     wanted = int(2 / share)
     row = df.agg(
-        F.expr(f"approx_top_k(`{key}`, {wanted}, {max(10_000, wanted)})").alias("top"),
+        F.expr(f"approx_top_k({quote(key)}, {wanted}, {max(10_000, wanted)})").alias("top"),
         F.count(F.lit(1)).alias("n"),
     ).first()
     floor = row["n"] * share

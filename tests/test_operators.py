@@ -203,3 +203,24 @@ def test_rename_fill_union_and_types(spark):
     y = spark.createDataFrame([(3, 4)], "b int, a int")
     assert rows(union_all(x, y)) == [(1, 2), (4, 3)]
     assert rows(union_all(x, y, positional=True)) == [(1, 2), (3, 4)]
+
+
+def test_discovery_makes_no_row_for_each_value(spark):
+    df = spark.createDataFrame([("a", 1, None), ("b", 2, None), (None, 1, None)], "x string, `y.z` int, w string")
+    assert encode.discover_each(df, ["x", "y.z", "w"]) == {"x": ["a", "b"], "y.z": ["1", "2"], "w": []}
+    many = spark.range(5000).select(F.col("id").alias("x"))
+    for limit in (4999, 100):
+        with pytest.raises(ValueError, match=f"x has more than {limit} categories"):
+            encode.discover_each(many, ["x"], limit)
+    assert len(encode.discover_each(many, ["x"], 5000)["x"]) == 5000
+
+
+def test_many_categories_go_through_a_map(spark, monkeypatch):
+    df = spark.range(400).select((F.col("id") % 7).alias("k"), F.concat(F.lit("c"), F.col("id") % 30).alias("c"), F.col("id").alias("m"))
+    df = df.withColumn("c", F.when(F.col("m") % 11 == 0, None).otherwise(F.col("c"))).unionAll(spark.createDataFrame([(99, "odd", 1)], df.schema))
+    names = {None: "none", **{f"c{i}": f"n{i}" for i in range(40)}}
+    want = [encode.pivot_sum(df, "k", "c", "m", names), encode.category_counts(df, "k", "c", names)]
+    want = [(x.dtypes, rows(x)) for x in want]
+    monkeypatch.setattr(encode, "CONDITIONALS", 5)
+    got = [encode.pivot_sum(df, "k", "c", "m", names), encode.category_counts(df, "k", "c", names)]
+    assert [(x.dtypes, rows(x)) for x in got] == want

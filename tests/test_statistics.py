@@ -88,15 +88,44 @@ def test_density_integrates_to_one(data):
     assert {(r["bin"], r["density"]) for r in flat} == {(0, None)}
 
 
-def test_curve_matches_direct_evaluation(data):
-    got = S.class_curves(data, "y", ["a", "const"], points=5).where("class = 1").orderBy("point").collect()
+@pytest.mark.parametrize("fine", [10, 400])
+def test_curve_is_within_its_bound_of_the_direct_sum(data, fine):
+    got = S.class_curves(data, "y", ["a", "const"], points=5, fine=fine).where("class = 1").orderBy("point").collect()
     assert {r["feature"] for r in got} == {"a"}
     local = np.array([r["a"] for r in data.where("y = 1").collect()])
     h = local.std(ddof=1) * len(local) ** -0.2
     everything = [r["a"] for r in data.select("a").collect()]
     grid = np.linspace(min(everything), max(everything), 5)
     want = [np.exp(-(((x - local) / h) ** 2) / 2).sum() / (len(local) * h * math.sqrt(2 * math.pi)) for x in grid]
-    assert [r["density"] for r in got] == pytest.approx(want, abs=1e-9)
+    bound = ((grid[1] - grid[0]) / fine) ** 2 / (8 * h**3 * math.sqrt(2 * math.pi))
+    assert [r["density"] for r in got] == pytest.approx(want, abs=bound + 1e-6)
+
+
+def test_curves_make_no_row_for_each_value_and_point(data):
+    plan = S.class_curves(data, "y", ["a", "b", "neg"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and plan.index("Generate") < plan.index("Aggregate")  # of finished curves alone
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_sweep_drops_the_same_columns_as_fresh_inverses(seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(400, 30)) * rng.uniform(0.01, 100, 30)
+    x[:, 7] = x[:, 3] + x[:, 5]  # dependent columns at first
+    y = x[:, :4] @ np.array([0.5, -2.0, 0.1, 0.02]) + rng.normal(size=400)
+    cols = tuple(f"c{i}" for i in range(30))
+    m = S.Moments(cols, x.T @ x, x.T @ y, float(y @ y), 400)
+    left = list(cols)
+    while left:
+        p = S.ols(m.only(left)).p_value
+        worst = len(p) - 1 - int(np.argmax(p[::-1]))
+        if p[worst] <= 0.05:
+            break
+        del left[worst]
+    assert S.eliminate_backward(m) == left and 0 < len(left) < 30
+    sweep = S.Sweep(m.only([c for c in cols if c != "c7"]))
+    for _ in range(5):
+        sweep = sweep.without(2)
+        assert sweep.p_values() == pytest.approx(S.ols(sweep.m).p_value, abs=1e-9)
 
 
 def test_names_with_dots_and_blanks(spark):
