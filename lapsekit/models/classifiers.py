@@ -11,7 +11,7 @@ from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapsekit.models.evaluate import auc_of_scores, evaluate
+from lapsekit.models.evaluate import confusion, metrics, positive_score, rank_auc
 from lapsekit.operators.columns import union_all
 
 
@@ -50,21 +50,25 @@ def fit_predict(estimator: Estimator, train: DataFrame, test: DataFrame) -> Fitt
     return Fitted(model, model.transform(train), model.transform(test), seconds)
 
 
-def report(name: str, fitted: Fitted, beta: float = 1.0, label: str = "label") -> DataFrame:
-    """One row per side with counts, scores, score AUC and the seconds the fit took."""
-    sides = {"train": fitted.train, "test": fitted.test}
-    rows = [
-        evaluate(pred, beta, label=label).select(
-            F.lit(name).alias("model"),
-            F.lit(side).alias("split"),
-            "*",
-            F.lit(auc_of_scores(pred, label)).alias("auc_score"),
-            F.lit(fitted.seconds).alias("seconds"),
+def compare(fits: Mapping[str, Fitted], beta: float = 1.0, label: str = "label") -> DataFrame:
+    """A row per model and side with counts, scores, score AUC and the seconds the fit took.
+
+    All predictions are counted in one aggregate and ranked in another, however many models there are.
+    """
+    sides = [
+        pred.select(
+            F.lit(name).alias("model"), F.lit(side).alias("split"), "prediction", F.col(label).alias("actual"), positive_score().alias("score")
         )
-        for side, pred in sides.items()
+        for name, fitted in fits.items()
+        for side, pred in (("train", fitted.train), ("test", fitted.test))
     ]
-    return union_all(*rows)
+    rows, by = union_all(*sides), ["model", "split"]
+    counts = metrics(confusion(rows, label="actual", by=by), beta)
+    seconds = F.create_map(*[F.lit(x) for name, fitted in fits.items() for x in (name, float(fitted.seconds))])
+    ranks = rank_auc(rows, "score", "actual", by)
+    return counts.join(ranks, by, "left").withColumn("seconds", seconds[F.col("model")])
 
 
-def compare(fits: Mapping[str, Fitted], beta: float = 1.0, label: str = "label") -> DataFrame:
-    return union_all(*[report(name, fitted, beta, label) for name, fitted in fits.items()])
+def report(name: str, fitted: Fitted, beta: float = 1.0, label: str = "label") -> DataFrame:
+    """``compare`` of one model."""
+    return compare({name: fitted}, beta, label).orderBy(F.desc("split"))

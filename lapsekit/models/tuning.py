@@ -9,14 +9,15 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 from pyspark.util import inheritable_thread_target
 
 from lapsekit.models.classifiers import random_forest
+from lapsekit.models.evaluate import positive_score, rank_auc
 from lapsekit.models.prepare import FeaturePlan, vectors_only
+from lapsekit.operators.columns import union_all
 
 # The grid.
 NUM_TREES = (50, 75, 100, 125)
@@ -54,7 +55,6 @@ def tune_forest(
     vectors. Folds come from the key and the seed is set, so a repeated run gives
     the same numbers.
     """
-    judge = BinaryClassificationEvaluator(labelCol=label)
     areas = np.zeros((len(num_trees), folds))
     for fold in range(folds):
         sides = [train.where(F.col(fold_col) != fold), train.where(F.col(fold_col) == fold)]
@@ -62,11 +62,15 @@ def tune_forest(
         fit_on, judge_on = (vectors_only(prepared, s, label).persist(StorageLevel.MEMORY_AND_DISK) for s in sides)
         fit_on.count()
 
-        def area(trees: int, fit_on: DataFrame = fit_on, judge_on: DataFrame = judge_on) -> float:
-            return judge.evaluate(random_forest(label, seed).setNumTrees(trees).fit(fit_on).transform(judge_on))
+        def scored(trees: int, fit_on: DataFrame = fit_on, judge_on: DataFrame = judge_on) -> DataFrame:
+            model = random_forest(label, seed).setNumTrees(trees).fit(fit_on)
+            return model.transform(judge_on).select(F.lit(trees).alias("trees"), label, positive_score().alias("score"))
 
         with ThreadPoolExecutor(parallelism) as pool:
-            areas[:, fold] = list(pool.map(inheritable_thread_target(train.sparkSession)(area), num_trees))
+            judged = union_all(*pool.map(inheritable_thread_target(train.sparkSession)(scored), num_trees))
+        # the whole grid in one pass
+        found = {r.trees: r.auc_score for r in rank_auc(judged, "score", label, ["trees"]).collect()}
+        areas[:, fold] = [found[trees] for trees in num_trees]
         fit_on.unpersist()
         judge_on.unpersist()
     best = num_trees[int(areas.mean(axis=1).argmax())]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +19,9 @@ from lapsekit.functions import (
     row_sum,
     tag,
 )
-from lapsekit.models.evaluate import confusion, evaluate
-from lapsekit.models.prepare import scale_to_unit_std, string_index
+from lapsekit.models.classifiers import logistic_regression
+from lapsekit.models.evaluate import confusion, evaluate, rank_auc
+from lapsekit.models.prepare import FeaturePlan, scale_to_unit_std, string_index, vectors_only
 from lapsekit.models.split import in_train, train_test, with_folds
 from lapsekit.models.tuning import best_num_trees, grid_report
 from lapsekit.operators import aggregates as agg
@@ -30,7 +32,6 @@ from lapsekit.operators.latest import dedup_key, latest_per_key
 from lapsekit.operators.statistics import (
     class_curves,
     class_density,
-    correlation,
     correlation_pairs,
     fit_rows,
     gram_pairs,
@@ -51,7 +52,6 @@ QUERIES: dict[str, Query] = {}
 KEY = STANDIN.key
 SEED = 12
 RULE_DAYS = 200
-DENSITY_FEATURES = ("avg_Price_Total", "NbDayLastPayment", "count_Price_Total", "Sub_2001")
 GRAM_FEATURES = ("TotalUrgent", "count_Price_Total", "NbDayLastRenewal", "Sub_2001", "STANDARD")
 OLS_FEATURES = ("count_Price_Total", "NbDayLastRenewal", "STANDARD")
 PRODUCT_LEVELS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -445,9 +445,8 @@ def corr_matrix(spark, folder):
 
 @query
 def corr_prune(spark, folder):
-    train = _train(spark, folder)
-    cols = numeric_columns(train, exclude=[KEY, "label"])
-    return prune_report(correlation(train, cols), cols, spark)
+    at = study(spark, folder)
+    return prune_report(at.correlations, at.candidates, spark)
 
 
 @query
@@ -488,12 +487,38 @@ def feature_selection(spark, folder):
 
 @query
 def class_density_query(spark, folder):
-    return class_density(study(spark, folder).features, "label", DENSITY_FEATURES)
+    """Histograms of all numeric features."""
+    at = study(spark, folder)
+    return class_density(at.features, "label", at.candidates)
 
 
 @query
 def class_density_curves(spark, folder):
-    return class_curves(study(spark, folder).features, "label", DENSITY_FEATURES)
+    """Kernel densities of all numeric features."""
+    at = study(spark, folder)
+    return class_curves(at.features, "label", at.candidates)
+
+
+@query
+def corr_given(spark, folder):
+    """Correlation of given columns over all customers."""
+    return correlation_pairs(study(spark, folder).features, list(GRAM_FEATURES))
+
+
+@query
+def feature_counts(spark, folder):
+    """Rows, rows without a key and churners of the written features, as the study has counted them."""
+    at = study(spark, folder)
+    rows = at.features.limit(0).agg(F.count(F.lit(1)).alias("none"))
+    return rows.select(*[F.lit(at.counts[c]).cast("long").alias(c) for c in ("n_rows", "n_null_keys", "n_positive")])
+
+
+@query
+def rank_sum_auc(spark, folder):
+    """How well each numeric feature alone ranks the churners, all in one pass."""
+    at = study(spark, folder)
+    plain = at.features.select("label", *[F.col(c).cast("double").alias(c) for c in at.candidates])
+    return rank_auc(plain.unpivot(["label"], at.candidates, "feature", "value"), "value", "label", ["feature"], digits=9)
 
 
 # ------------------------------------------------------------------------ models
@@ -519,6 +544,26 @@ def feature_vectors(spark, folder):
     return both.select(KEY, "label", F.size(vector_to_array("features")).alias("n_values"))
 
 
+@query
+def assembled_vectors(spark, folder):
+    """The prepared vectors of the region and given columns, a row for each place."""
+    at = study(spark, folder)
+    plan = FeaturePlan(("Region_Cust",), OLS_FEATURES)
+    found = vectors_only(Pipeline(stages=plan.stages()).fit(at.train), at.features, KEY)
+    places = found.select(KEY, F.posexplode(vector_to_array("features")).alias("position", "value"))
+    return places.withColumn("value", F.round("value", 6))
+
+
+@query
+def region_model(spark, folder):
+    """Churn probability by region from a logistic regression on region dummies: the share of churners there."""
+    at = study(spark, folder)
+    plan = FeaturePlan(("Region_Cust",), ())
+    model = Pipeline(stages=[*plan.stages(), logistic_regression().setTol(1e-7)]).fit(at.train)
+    scored = model.transform(at.train).groupBy("Region_Cust").agg(F.max(vector_to_array("probability")[1]).alias("p"))
+    return scored.select("Region_Cust", F.round("p", 3).alias("churn_rate"))
+
+
 @query
 def model_logreg(spark, folder):
     return study(spark, folder).report("logistic_regression")

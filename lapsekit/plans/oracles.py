@@ -9,7 +9,6 @@ from __future__ import annotations
 from dataclasses import replace
 
 from lapsekit.plans.catalogue import (
-    DENSITY_FEATURES,
     GRAM_FEATURES,
     OLS_FEATURES,
     PRODUCT_LEVELS,
@@ -262,12 +261,11 @@ FROM placed a JOIN placed b ON a.CustomerID = b.CustomerID AND a.i < b.i GROUP B
     ),
     "long_features": (
         ("features",),
-        "SELECT CAST(slot AS INTEGER) AS slot, feature, label AS class, v FROM ("
-        + " UNION ALL ".join(
-            f"SELECT {i} AS slot, '{c}' AS feature, label, CAST({c} AS DOUBLE) AS v FROM features"
-            for i, c in enumerate(DENSITY_FEATURES)
-        )
-        + ")",
+        "UNPIVOT (SELECT label AS class, "
+        + ", ".join(f'CAST("{n}" AS DOUBLE) AS "{n}"' for n in NUMERIC)
+        + " FROM features) ON "
+        + ", ".join(f'"{n}"' for n in NUMERIC)
+        + " INTO NAME feature VALUE v",
     ),
     "spans": (("long_features",), "SELECT feature, min(v) AS lo, max(v) AS hi FROM long_features GROUP BY feature"),
 }
@@ -346,16 +344,55 @@ FROM (SELECT *, ({precision})::DOUBLE AS p, ({recall})::DOUBLE AS r FROM cells)"
     return _with(body, "cells")
 
 
-def _curves_sql(points: int = 50) -> str:
+def _curves_sql(points: int = 50, fine: int = 10) -> str:
+    cells = (points - 1) * fine + 1
     body = f"""SELECT feature, class, CAST(point AS INTEGER) AS point, round(lo + point * ((hi - lo) / {points - 1}), 6) AS x,
-  round(sum(exp(-0.5 * pow((lo + point * ((hi - lo) / {points - 1}) - v) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 10) AS density
-FROM long_features JOIN spans USING (feature)
+  round(sum(here * exp(-0.5 * pow((point * {fine} - cell) * step / h, 2))
+    + above * exp(-0.5 * pow((point * {fine} - cell - 1) * step / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 6) AS density
+FROM (SELECT feature, class, cell, step, lo, hi, sum(1 - (place - cell)) AS here, sum(place - cell) AS above
+  FROM (SELECT *, least(floor(place), {cells - 2}) AS cell FROM
+    (SELECT *, (v - lo) / step AS place FROM
+      (SELECT *, (hi - lo) / {cells - 1} AS step FROM long_features JOIN spans USING (feature) WHERE hi > lo))) GROUP BY ALL)
 JOIN (SELECT feature, class, count(*) AS n, stddev_samp(v) * pow(count(*), -0.2) AS h
       FROM long_features GROUP BY feature, class HAVING stddev_samp(v) > 0) USING (feature, class)
 CROSS JOIN range({points}) AS g(point) GROUP BY feature, class, point, lo, hi"""
     return _with(body, "long_features", "spans")
 
 
+def _auc_sql() -> str:
+    """Area under the curve of each feature as a score, by the mean rank of the churners."""
+    body = """SELECT feature, round((sum(rank) FILTER (WHERE class = 1) - p * (p + 1) / 2) / (p * (any_value(n) - p)), 9) AS auc_score
+FROM (SELECT *, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2 AS rank,
+        count(*) OVER (PARTITION BY feature) AS n, CAST(count(*) FILTER (WHERE class = 1) OVER (PARTITION BY feature) AS DOUBLE) AS p
+      FROM long_features) GROUP BY feature, p"""
+    return _with(body, "long_features")
+
+
+def _vectors_sql() -> str:
+    """Dummies of all but the rarest region, then the columns in units of their deviation on the training side."""
+    ranks = """SELECT Region_Cust, row_number() OVER (ORDER BY n DESC, Region_Cust) - 1 AS rank, count(*) OVER () AS k
+  FROM (SELECT Region_Cust, count(*) AS n FROM train WHERE Region_Cust IS NOT NULL GROUP BY 1)"""
+    scaled = "\nUNION ALL ".join(
+        f"""SELECT CustomerID, k - 1 + {i} AS position, coalesce("{c}" / nullif((SELECT stddev_samp("{c}") FROM train), 0), 0.0) AS value
+  FROM features JOIN ranks USING (Region_Cust)""" for i, c in enumerate(OLS_FEATURES)
+    )
+    body = f"""SELECT CustomerID, CAST(position AS INTEGER) AS position, round(value, 6) AS value FROM (
+  SELECT CustomerID, place AS position, CASE WHEN rank = place THEN 1.0 ELSE 0.0 END::DOUBLE AS value
+  FROM features JOIN ranks USING (Region_Cust), LATERAL (SELECT unnest(range(k - 1)) AS place)
+UNION ALL {scaled})"""
+    return _with(body, "train").replace("\nSELECT CustomerID, CAST(position", f",\nranks AS ({ranks})\nSELECT CustomerID, CAST(position", 1)
+
+
+def _corr_sql() -> str:
+    names = GRAM_FEATURES
+    rows = ", ".join(
+        f"({i}, {j}, '{names[i]}', '{names[j]}', (SELECT CASE WHEN min(\"{names[i]}\") < max(\"{names[i]}\") AND min(\"{names[j]}\") < max(\"{names[j]}\") THEN round(corr(\"{names[i]}\", \"{names[j]}\"), 6) END FROM features))"
+        for i in range(len(names))
+        for j in range(i + 1, len(names))
+    )
+    return _with(f"SELECT * FROM (VALUES {rows}) AS t(i, j, col_i, col_j, r)", "features")
+
+
 def _density_sql(bins: int = 20) -> str:
     body = f"""SELECT feature, class, bin, round(lo + bin * w, 6) AS bin_start, n,
   round(n / (sum(n) OVER (PARTITION BY feature, class) * w), 10) AS density
@@ -550,6 +587,17 @@ FROM features WHERE Region_Cust IS NOT NULL GROUP BY 1""",
     )
     sql["gram_matrix"] = _gram_sql()
     sql["ols_coefficients"] = _ols_sql()
+    sql["rank_sum_auc"] = _auc_sql()
+    sql["assembled_vectors"] = _vectors_sql()
+    sql["corr_given"] = _corr_sql()
+    sql["region_model"] = _with(
+        "SELECT Region_Cust, round(avg(label), 3) AS churn_rate FROM train WHERE Region_Cust IS NOT NULL GROUP BY 1", "train"
+    )
+    sql["feature_counts"] = _with(
+        """SELECT count(*) AS n_rows, count(*) FILTER (WHERE CustomerID IS NULL) AS n_null_keys,
+  count(*) FILTER (WHERE label = 1) AS n_positive FROM features""",
+        "features",
+    )
     sql["class_density"] = _density_sql()
     sql["class_density_curves"] = _curves_sql()
     sql["string_index"] = _with(

@@ -20,7 +20,7 @@ from lapsekit.models.split import train_test, with_folds
 from lapsekit.models.tuning import Tuned, tune_forest
 from lapsekit.operators.columns import numeric_columns, text_columns
 from lapsekit.operators.statistics import correlation, correlation_pairs, eliminate_backward, moments, prune_correlated
-from lapsekit.session import checkpoint_dir, cut_lineage
+from lapsekit.session import checkpoint_dir, write_shared
 
 
 ROWS_PER_PART = 100_000
@@ -37,7 +37,8 @@ class ChurnStudy:
     """One analysis of one feature table; every step runs once, when first asked for.
 
     The features are written to the shared checkpoint folder up front, if the session
-    names one: all later passes start from those files and not from the star join. They are then placed
+    names one: all later passes start from those Parquet files and not from the star join. ``counts`` holds
+    rows, rows without a key and positive labels. They are then placed
     by key into ``partitions`` parts (chosen by size if not given), so that bagging
     and float sums see the rows in the same places however the input was laid out.
     Use it as a context manager, or call ``release``, to drop what it cached.
@@ -82,8 +83,19 @@ class ChurnStudy:
 
     @cached_property
     def features(self) -> DataFrame:
-        written = cut_lineage(self._source) if checkpoint_dir(self._source.sparkSession) else self._keep(self._source)
-        parts = self.partitions or partitions_for(written.count())
+        if checkpoint_dir(self._source.sparkSession):
+            written = write_shared(self._source, "features")
+        else:
+            written = self._keep(self._source)
+        # Two columns of the written files. An Observation on the write would save even that, but a session that has
+        # one can no longer send a fitted LogisticRegressionModel to its tasks: the training summary holds the session.
+        counts = written.agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count_if(F.col(quote(self.key)).isNull()).alias("n_null_keys"),
+            F.count_if(F.col(quote(self.label)) == 1).alias("n_positive"),
+        )
+        self.counts = counts.first().asDict()
+        parts = self.partitions or partitions_for(self.counts["n_rows"])
         return self._keep(written.repartition(parts, self.key).sortWithinPartitions(self.key))
 
     @cached_property

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,12 +37,8 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return named or current
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from there.
-
-    Reliable checkpoints survive the loss of any executor, so later iterative
-    fits re-read files and never re-plan or recompute the star join.
-    """
-    if checkpoint_dir(df.sparkSession) is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return df.checkpoint(eager=True)
+def write_shared(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in the shared checkpoint folder, read back: later passes read only the columns they use."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,6 +5,7 @@ from pyspark.mllib.evaluation import BinaryClassificationMetrics
 from pyspark.sql import functions as F
 
 from lapsekit.models.classifiers import CLASSIFIERS, fit_predict, logistic_regression, report
+from lapsekit.models import evaluate as evaluation
 from lapsekit.models.evaluate import auc_of_scores, confusion, evaluate
 from lapsekit.models.prepare import FeaturePlan, scale_to_unit_std, string_index
 from lapsekit.models.scoring import churn_scores, score, with_scores
@@ -194,6 +195,22 @@ def test_report_of_a_fit_on_plain_vectors(study):
     assert got[1]["auc_score"] == pytest.approx(auc_of_scores(fitted.test))
 
 
+def test_rank_auc_equals_the_curve_area(study, spark, monkeypatch):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    for name in ("logistic_regression", "decision_tree"):
+        pred = study.fit(name).test
+        assert auc_of_scores(pred) == pytest.approx(BinaryClassificationEvaluator(numBins=0).evaluate(pred), abs=1e-9)
+    rows = [(m, float(i * i % 13) if m == "a" else 1.0, int(i % 3 == 0)) for m in "ab" for i in range(50)] + [("c", 1.0, 1), ("a", None, 1), ("a", 2.0, None)]
+    df = spark.createDataFrame(rows, "m string, s double, y int")
+    monkeypatch.setattr(evaluation, "STEPS", 3)
+    got = {r.m: r.auc_score for r in evaluation.rank_auc(df, "s", "y", ["m"]).collect()}
+    pos, neg = ([s for m, s, y in rows if m == "a" and y == k and s is not None] for k in (1, 0))
+    want = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+    assert got == {"a": pytest.approx(want), "b": 0.5, "c": None}
+    assert evaluation.rank_auc(df.where("false"), "s", "y").count() <= 1
+
+
 @pytest.mark.parametrize("rows, parts", [(0, 1), (1500, 1), (15_000, 3), (160_000, 32), (10**7, 100), (10**9, 10_000)])
 def test_parts_follow_the_rows_alone(rows, parts):
     assert partitions_for(rows) == parts
