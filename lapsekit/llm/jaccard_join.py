@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsekit.llm.lists import linked, shared_lists
+from lapsekit.llm.lists import linked, one_row_each, shared_lists
 from lapsekit.llm.shared import Work, documents, read
 from lapsekit.llm.text_arrays import LOWER, SPACES, U64, Rolling, flat, mix, parts, words
 
@@ -204,7 +204,7 @@ def listed_tokens(docs: DataFrame, ranks: np.ndarray, small_at_most: int, size:
                         first = rank[(x >> U64(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64)
                         key = (first << U64(58)) | (x >> U64(6))
                         k = prefix_length(len(x))
-                        prefix = (np.partition(key, k - 1)[:k] if k < len(key) else key).view(np.int64)
+                        prefix = np.sort(np.partition(key, k - 1)[:k] if k < len(key) else key).view(np.int64)  # a gram's index is its place
                     in_lists.append(prefix)
                     in_subsets.append(subsets(x).view(np.int64) if 0 < len(x) <= small_at_most else None)
                 columns = [batch.column(0), pa.array(name), pa.array(n.astype(np.int32))]
@@ -214,8 +214,39 @@ def listed_tokens(docs: DataFrame, ranks: np.ndarray, small_at_most: int, size:
     return docs.mapInArrow(run, "doc_id long, member long, n int, grams array<long>, subsets array<long>")
 
 
+#: Bits of a set's outline for each of its grams, and at most: a coarser outline rules out less, never a link.
+OUTLINE, OUTLINE_AT_MOST = 6, 4096
+
+
+def outline(x: np.ndarray) -> bytes:
+    """A set's size and a bit for the cell of each gram, in a table that grows with the set (a power of two of bits)."""
+    bits = min(1 << max(6, (OUTLINE * len(x)).bit_length()), OUTLINE_AT_MOST)
+    marks = np.zeros(bits, np.uint8)
+    marks[(x & U64(bits - 1)).astype(np.int64)] = 1
+    return len(x).to_bytes(4, "little") + np.packbits(marks, bitorder="little").tobytes()
+
+
+def promising(outlines: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether pairs may be linked by their outlines. A cell marked in one set alone is a gram the other lacks, so the
+    grams shared are at most a set's size less its cells that the other does not mark."""
+    marks: dict[int, tuple[int, np.ndarray]] = {}
+    for k in np.unique(np.concatenate([x, y])).tolist():
+        marks[k] = int.from_bytes(outlines[k][:4], "little"), np.frombuffer(outlines[k], np.uint64, offset=4)
+    out = np.zeros(len(x), bool)
+    for k, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        (n, p), (m, q) = marks[a], marks[b]
+        while len(p) > len(q):  # fold the finer table
+            p = p[: len(p) // 2] | p[len(p) // 2 :]
+        while len(q) > len(p):
+            q = q[: len(q) // 2] | q[len(q) // 2 :]
+        shared = min(n - int(np.bitwise_count(p & ~q).sum()), m - int(np.bitwise_count(q & ~p).sum()))
+        out[k] = UNITED * shared >= SHARED * (n + m - shared)
+    return out
+
+
 def verifier(docs: DataFrame, groups: DataFrame, lists: DataFrame, work: Work, size: int):
-    """Checks pairs on the whole sets of their members; sets are made once, of members that share a list."""
+    """Checks pairs on the whole sets of their members; sets are made once, of members that share a list. And the
+    outlines of these sets (node, text)."""
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -223,7 +254,7 @@ def verifier(docs: DataFrame, groups: DataFrame, lists: DataFrame, work: Work, s
                 each = sets(batch.column(1), size)
                 _, name, _ = set_names(each)
                 columns = [pa.array(name), pa.array([x.tobytes() for x in each], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "grams"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([outline(x) for x in each], pa.binary())], ["node", "grams", "text"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,7 +270,7 @@ def verifier(docs: DataFrame, groups: DataFrame, lists: DataFrame, work: Work, s
 
     wanted = lists.select("member").distinct().join(groups, "member").select(F.col("least").alias("_id")).distinct()
     found = docs.join(work.keep(wanted, "wanted"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("doc_id", "text")
-    found = work.keep(found.mapInArrow(whole_sets, "node long, grams binary"), "sets")
+    found = one_row_each(found.mapInArrow(whole_sets, "node long, grams binary, text binary"), work, "sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
         first = found.select(F.col("node").alias("x"), F.col("grams").alias("gx"))
@@ -247,7 +278,7 @@ def verifier(docs: DataFrame, groups: DataFrame, lists: DataFrame, work: Work, s
         met = pairs.select("x", "y").join(first, "x").join(second, "y").select("x", "y", "gx", "gy")
         return met.mapInArrow(check, "x long, y long")
 
-    return verify
+    return verify, found.select("node", "text")
 
 
 def similar_documents(df: DataFrame, work: Work, size: int = SHINGLE) -> DataFrame:
@@ -263,18 +294,15 @@ def similar_documents(df: DataFrame, work: Work, size: int = SHINGLE) -> DataFra
     one = tokens.filter("n > 0").join(groups.select("member", "least"), "member")
     one = one.filter(F.col("doc_id").eqNullSafe(F.col("least")))
     each = lambda c, kind: one.filter(F.col(c).isNotNull()).select(
-        F.explode(c).alias("token"), "member", F.col("n").alias("size"), F.lit(kind).alias("kind")
+        F.posexplode(c).alias("place", "token"), "member", F.col("n").alias("size"), F.lit(kind).alias("kind")
     )
     listed = each("grams", 0)
     if small_at_most:
         listed = listed.unionByName(each("subsets", 1))
     lists = shared_lists(listed, work)
     work.drop("tokens")
-    total = F.col("nx") + F.col("ny")
-    needed = F.ceil(total * SHARED / (SHARED + UNITED))
-    beyond = F.greatest(*(F.ceil(F.col(n) * SHARED / UNITED) - 1 for n in ("nx", "ny")))
-    promising = (F.col("kind") == 1) | (F.col("c") >= needed - beyond)
-    labels = linked(lists, work, verifier(docs, groups, lists, work, size), promising, SHARED / UNITED)
+    verify, shapes = verifier(docs, groups, lists, work, size)
+    labels = linked(lists, work, verify, SHARED / UNITED, SHARED / (SHARED + UNITED), shapes, promising, exact=False)
     classes = groups.join(labels.withColumnRenamed("node", "member"), "member", "left")
     classes = classes.select("member", "check", "least", F.coalesce("label", "member").alias("label"))
     least = classes.groupBy("label").agg(F.min("least").alias("component_id"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsekit.llm.lists import linked, shared_lists
+from lapsekit.llm.lists import linked, one_row_each, shared_lists
 from lapsekit.llm.shared import Work, read
 from lapsekit.llm.text_arrays import U64, mix, parts
 
@@ -47,6 +47,10 @@ def similar(a: str, b: str) -> bool:
     return shared >= SIMILARITY * (len(both) - shared)
 
 
+def all_similar(lines: list[str], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.array([similar(lines[a], lines[b]) for a, b in zip(x.tolist(), y.tolist(), strict=True)], bool)
+
+
 def bands(lines: list[str]) -> np.ndarray:
     """A row of ``BANDS`` names for each line."""
     padded = [x if len(x) >= K else x.ljust(K, "\0") for x in lines]
@@ -135,7 +139,7 @@ def verifier(docs: DataFrame, groups: DataFrame, lists: DataFrame, work: Work):
     wanted = lists.select("member").distinct().join(groups, "member")
     wanted = wanted.groupBy("first.doc", "first.th").agg(F.collect_list(F.struct("member", "first.line")).alias("wanted"))
     found = docs.join(work.keep(wanted, "wanted"), ["doc", "th"]).select("text", "wanted").mapInArrow(fetch, "node long, text string")
-    found = work.keep(found, "texts")
+    found = one_row_each(found, work, "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         a = found.select(F.col("node").alias("x"), F.col("text").alias("a"))
@@ -149,12 +153,12 @@ def repeats(docs: DataFrame, work: Work) -> DataFrame:
     """Per document with any: doc, th and ``lines``, the numbers of the lines to remove. ``docs``: doc, th, text."""
     found = work.keep(occurrences(docs), "lines")
     tokens = found.filter(F.size("bands") > 0)
-    tokens = tokens.select(F.explode("bands").alias("token"), "member", F.lit(1).alias("size"), F.lit(0).alias("kind"))
+    tokens = tokens.select(F.explode("bands").alias("token"), "member", F.lit(1).alias("size"), F.lit(1).alias("kind"), F.lit(0).alias("place"))
     lists = shared_lists(tokens, work)
     groups = found.groupBy("member").agg(F.count("*").alias("n"), F.min(F.struct("doc", "line", "th")).alias("first"))
     groups = work.keep(groups, "groups")
     verify, texts = verifier(docs, groups, lists, work)
-    labels = linked(lists, work, verify, F.lit(True), 0.0, texts, similar)
+    labels = linked(lists, work, verify, texts=texts, similar=all_similar)
     classes = groups.join(labels.withColumnRenamed("node", "member"), "member", "left")
     classes = classes.select("member", "n", "first", F.coalesce("label", "member").alias("label"))
     kept = classes.groupBy("label").agg(F.min("first").alias("keep"), F.sum("n").alias("total")).filter("total > 1")

@@ -26,62 +26,82 @@ HEAVY = 16
 STARS, GAIN = 6, 0.1
 
 
+def fits(x: Column, y: Column, least_ratio: float, place_x: Column, place_y: Column, overlap: float, kind: Column) -> Column:
+    """Whether members of sizes ``x`` and ``y`` that meet at these places can be linked.
+
+    Sizes must be within ``least_ratio``. Places count, from 0, the tokens of a member before the shared one in the order
+    of all tokens (kind 0). A linked pair shares ``overlap`` of both sizes, so behind its first shared token enough
+    must be left on both sides; the test holds in that list, whatever it says in others.
+    """
+    close = F.least(x, y) >= least_ratio * F.greatest(x, y) - 1e-9
+    left = F.least(x - place_x, y - place_y) >= overlap * (x + y) - 1e-9
+    return close & ((kind != 0) | left)
+
+
+LISTS = "token long, member long, size int, kind int, place int, pivot long, pivot_size int, pivot_place int"
+
+
 def shared_lists(tokens: DataFrame, work: Work, name: str = "lists") -> DataFrame:
-    """``tokens``: token, member, size, kind. Keeps tokens of two members or more and adds the list's ``pivot``, its
-    least member, with ``pivot_size``. A list passes by in order; only its first row is held back."""
+    """``tokens``: token, member, size, kind, place. Keeps tokens of two members or more, one row a member, and adds the
+    list's ``pivot``, its least member, with its size and place. A list passes by in order; only its first row is held back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head: tuple | None = None  # first row of the list at hand
+        last: tuple | None = None
         sent = False
+        names = [x.split(" ")[0] for x in LISTS.split(", ")]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, member, size, kind = (c.to_numpy() for c in batch.columns)
+            token, member, *others = (c.to_numpy() for c in batch.columns)
+            fresh = np.ones(len(token), bool)  # a member may come with its tokens more than once
+            fresh[1:] = (token[1:] != token[:-1]) | (member[1:] != member[:-1])
+            fresh[0] = last != (token[0], member[0])
+            last = (token[-1], member[-1])
+            if not fresh.any():
+                continue
+            token, member, size, kind, place = (c[fresh] for c in (token, member, *others))
             n = len(token)
             new = np.ones(n, bool)
             new[1:] = token[1:] != token[:-1]
             new[0] = head is None or token[0] != head[0]
             first = np.maximum.accumulate(np.where(new, np.arange(n), -1))
             carried = first < 0
-            pivot = np.where(carried, head[1] if head else 0, member[first])
-            pivot_size = np.where(carried, head[2] if head else 0, size[first])
+            of = lambda column, k: np.where(carried, head[k] if head else 0, column[first])  # noqa: B023, E731
+            pivot, pivot_size, pivot_place = of(member, 1), of(size, 2), of(place, 4)
             other = member != pivot
             starts = np.flatnonzero(new)
             bounds = np.concatenate([starts, [n]])
             several = np.logical_or.reduceat(other, starts) if len(starts) else np.zeros(0, bool)
-            out = other | (new & False)
+            out = other.copy()
             out[starts[several]] = True  # a pivot goes with the first of its others
-            rows = [(token[out], member[out], size[out], kind[out], pivot[out], pivot_size[out])]
+            rows = [tuple(c[out] for c in (token, member, size, kind, place, pivot, pivot_size, pivot_place))]
             if head is not None and not sent and other[: bounds[0] if len(starts) else n].any():
-                rows.append(tuple(np.array([x]) for x in (*head, head[1], head[2])))
+                rows.append(tuple(np.array([x]) for x in (*head, head[1], head[2], head[4])))
                 sent = True
             if len(starts):
                 at = int(starts[-1])
-                head, sent = (token[at], member[at], size[at], kind[at]), bool(several[-1])
+                head, sent = (token[at], member[at], size[at], kind[at], place[at]), bool(several[-1])
             columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
             if len(columns[0]):
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-                    ["token", "member", "size", "kind", "pivot", "pivot_size"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    placed = tokens.select("token", "member", "size", "kind").repartition("token").sortWithinPartitions("token", "member")
-    kinds = "token long, member long, size int, kind int, pivot long, pivot_size int"
-    return work.keep(placed.mapInArrow(run, kinds), name)
+    placed = tokens.select("token", "member", "size", "kind", "place").repartition("token").sortWithinPartitions("token", "member", "place")
+    return work.keep(placed.mapInArrow(run, LISTS), name)
 
 
-def _grid_pairs(lists: DataFrame, least_ratio: float, similar: Callable[[str, str], bool] | None = None) -> DataFrame:
-    """Pairs x < y of one list and different components, with sizes and kind. ``lists``: token, g, member, size, kind, comp.
+def _grid_pairs(lists: DataFrame, least_ratio: float, overlap: float, similar: Callable | None = None) -> DataFrame:
+    """Pairs x < y of one list and different components. ``lists``: token, g, member, size, kind, place, comp.
 
-    With ``similar`` rows carry their member's ``text``, and only the pairs it accepts come out: what is compared stays
-    inside the task.
+    With ``similar`` rows carry what it compares, their member's ``text``, and only the pairs it accepts come out: what is
+    compared stays inside the task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, 3):
-            text = table.column(8).to_pylist() if similar else None
-            token, i, j, part, member, size, kind, comp = (c.to_numpy() for c in table.select(range(8)).combine_chunks().columns)
+            text = table.column(9).to_pylist() if similar else None
+            token, i, j, part, member, size, kind, place, comp = (c.to_numpy() for c in table.select(range(9)).combine_chunks().columns)
             near = np.arange(len(token) - 1)  # rows whose group also holds the row ``step`` further on
             step, held, count = 1, [], 0
             while True:
@@ -93,34 +113,35 @@ def _grid_pairs(lists: DataFrame, least_ratio: float, similar: Callable[[str, st
                 far = near + step
                 ok = (comp[near] != comp[far]) & (member[near] != member[far]) & ((part[near] != part[far]) | (i[near] == j[near]))
                 ok &= np.minimum(size[near], size[far]) >= least_ratio * np.maximum(size[near], size[far]) - 1e-9
+                left = np.minimum(size[near] - place[near], size[far] - place[far])
+                ok &= (kind[near] != 0) | (left >= overlap * (size[near] + size[far]) - 1e-9)
                 x, y = near[ok], far[ok]
                 if similar and len(x):
-                    alike = [similar(text[a], text[b]) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+                    alike = similar(text, x, y)
                     x, y = x[alike], y[alike]
                 swap = member[x] > member[y]
-                held.append((np.where(swap, y, x), np.where(swap, x, y)))
+                held.append((member[np.where(swap, y, x)], member[np.where(swap, x, y)]))
                 count += len(x)
                 if count > 100_000:
-                    yield rows_of(held, member, size, kind)
+                    yield rows_of(held)
                     held, count = [], 0
                 near = near[near + step + 1 < len(token)]
                 step += 1
             if count:
-                yield rows_of(held, member, size, kind)
+                yield rows_of(held)
 
-    def rows_of(held: list, member: np.ndarray, size: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
-        x, y = (np.concatenate(c) for c in zip(*held, strict=True))
-        columns = [member[x], member[y], size[x], size[y], np.maximum(kind[x], kind[y])]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["x", "y", "nx", "ny", "kind"])
+    def rows_of(held: list) -> pa.RecordBatch:
+        columns = np.unique(np.concatenate([np.stack(c, axis=1) for c in held]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(columns[:, 0]), pa.array(columns[:, 1])], ["x", "y"])
 
     part = F.pmod(F.xxhash64("member"), F.col("g")).cast("int")
     rows = lists.withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     rows = rows.select(
         "token", F.least("part", "with").cast("int").alias("i"), F.greatest("part", "with").cast("int").alias("j"),
-        "part", "member", "size", "kind", "comp", *(["text"] if similar else []),
+        "part", "member", "size", "kind", "place", "comp", *(["text"] if similar else []),
     )
     placed = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return placed.mapInArrow(run, "x long, y long, nx int, ny int, kind int")
+    return placed.mapInArrow(run, "x long, y long")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -146,33 +167,40 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+def one_row_each(rows: DataFrame, work: Work, name: str) -> DataFrame:
+    """``rows`` written, with one row of each ``node``. Rows do not move; only the keys of surplus ones do, and there are
+    any only where the input repeats rows."""
+    found = work.keep(rows.withColumn("row", F.monotonically_increasing_id()), name)
+    several = found.groupBy("node").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    surplus = found.select("node", "row").join(several, "node").filter("row != first").select("row")
+    return found.join(work.keep(surplus, f"{name}-surplus", free=False), "row", "left_anti").drop("row")
+
+
 def linked(
     lists: DataFrame,
     work: Work,
     verify: Callable[[DataFrame], DataFrame],
-    promising: Column,
-    least_ratio: float,
+    least_ratio: float = 0.0,
+    overlap: float = 0.0,
     texts: DataFrame | None = None,
-    similar: Callable[[str, str], bool] | None = None,
+    similar: Callable | None = None,
+    exact: bool = True,
 ) -> DataFrame:
     """Components (node, label) of members joined by verified pairs.
 
-    ``verify`` takes pairs (x, y) and gives the linked ones. ``promising`` judges a pair by
-    nx, ny, kind and c, the lists it shares; it must hold for every link. With ``texts`` (node, text), short ones, and
-    ``similar``, the last round judges pairs where it finds them.
+    ``verify`` takes pairs (x, y) and gives the linked ones. Pairs that ``fits`` rules out are not made. With ``texts``
+    (node, text), short ones, and ``similar`` (texts, places of x, places of y), the last round judges pairs where it finds
+    them; unless it is ``exact``, those it accepts are verified.
     """
-    fits = F.least("nx", "ny") >= least_ratio * F.greatest("nx", "ny") - 1e-9
-    rows = lists.select("token", "member", "size", "kind", F.col("pivot").alias("p"), F.col("pivot_size").alias("np"))
+    columns = ["token", "member", "size", "kind", "place"]
+    rows = lists.select(*columns, F.col("pivot").alias("p"), F.col("pivot_size").alias("np"), F.col("pivot_place").alias("pp"))
     total = lists.count()
     found, labels = None, None
     for k in range(STARS):
-        star = rows.filter("member != p").groupBy(F.least("p", "member").alias("x"), F.greatest("p", "member").alias("y")).agg(
-            F.count("*").alias("c"),
-            F.max("kind").alias("kind"),
-            F.min(F.when(F.col("p") < F.col("member"), F.col("np")).otherwise(F.col("size"))).alias("nx"),
-            F.min(F.when(F.col("p") < F.col("member"), F.col("size")).otherwise(F.col("np"))).alias("ny"),
-        )
-        pairs = work.keep(star.filter(promising & fits).select("x", "y"), f"pairs{k}", free=False)
+        possible = fits(F.col("size"), F.col("np"), least_ratio, F.col("place"), F.col("pp"), overlap, F.col("kind"))
+        star = rows.filter("member != p").filter(possible)
+        star = star.select(F.least("p", "member").alias("x"), F.greatest("p", "member").alias("y")).distinct()
+        pairs = work.keep(star, f"pairs{k}", free=False)
         checked = work.keep(verify(pairs), f"verified{k}", free=False)
         found = checked if found is None else found.unionByName(checked)
         labels = components(found, work, f"components{k}")
@@ -186,33 +214,31 @@ def linked(
         if left <= total or (k and checked.count() < GAIN * pairs.count()):
             break
         # The next pivot is of the list's largest component, picked by a hash; those outside meet it.
-        pivots = split.select("token", F.col("one.member").alias("p"), F.col("one.size").alias("np"), F.col("one.comp").alias("pc"))
-        rows = placed.join(pivots, "token").filter("comp != pc").select("token", "member", "size", "kind", "p", "np")
+        pivots = split.select(
+            "token", F.col("one.member").alias("p"), F.col("one.size").alias("np"), F.col("one.place").alias("pp"), F.col("one.comp").alias("pc")
+        )
+        rows = placed.join(pivots, "token").filter("comp != pc").select(*columns, "p", "np", "pp")
     placed, split = _placed(whole, labels, work, "last")
     split = split.select("token", F.ceil(F.col("n") / PART).cast("int").alias("g"))
     placed = placed.join(split, "token")
     if similar:
         placed = placed.join(texts.withColumnRenamed("node", "member"), "member")
-        last = _grid_pairs(placed, least_ratio, similar).select("x", "y").distinct()
-        return components(found.unionByName(work.keep(last, "verified")), work)
-    crossing = _grid_pairs(placed, least_ratio)
-    crossing = crossing.groupBy("x", "y").agg(
-        F.count("*").alias("c"), F.max("kind").alias("kind"), F.min("nx").alias("nx"), F.min("ny").alias("ny")
-    )
-    pairs = work.keep(crossing.filter(promising).select("x", "y"), "pairs")
-    return components(found.unionByName(work.keep(verify(pairs), "verified")), work)
+    pairs = work.keep(_grid_pairs(placed, least_ratio, overlap, similar).distinct(), "pairs")
+    last = pairs if similar and exact else work.keep(verify(pairs), "verified")
+    return components(found.unionByName(last), work)
 
 
 def _placed(lists: DataFrame, labels: DataFrame, work: Work, name: str) -> tuple[DataFrame, DataFrame]:
     """List rows with their component; and of each list that is still split, its members ``n``, the pairs ``left`` to
     compare, and ``one`` member of its largest component."""
-    placed = lists.select("token", "member", "size", "kind").join(labels.withColumnRenamed("node", "member"), "member", "left")
-    placed = work.keep(placed.select("token", "member", "size", "kind", F.coalesce("label", "member").alias("comp")), f"placed{name}", free=False)
-    pick = F.min(F.struct(F.xxhash64(F.lit(name), "member").alias("h"), "member", "size")).alias("one")
+    columns = ["token", "member", "size", "kind", "place"]
+    placed = lists.select(*columns).join(labels.withColumnRenamed("node", "member"), "member", "left")
+    placed = work.keep(placed.select(*columns, F.coalesce("label", "member").alias("comp")), f"placed{name}", free=False)
+    pick = F.min(F.struct(F.xxhash64(F.lit(name), "member").alias("h"), "member", "size", "place")).alias("one")
     split = placed.groupBy("token", "comp").agg(F.count("*").alias("m"), pick).groupBy("token").agg(
         F.sum("m").alias("n"),
         ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("left"),
-        F.max(F.struct("m", "one.h", "one.member", "one.size", "comp")).alias("one"),
+        F.max(F.struct("m", "one.h", "one.member", "one.size", "one.place", "comp")).alias("one"),
         F.count("*").alias("parts"),
     )
     return placed, work.keep(split.filter("parts > 1"), f"split{name}", free=False)

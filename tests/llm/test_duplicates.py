@@ -3,6 +3,7 @@
 import random
 
 import brute
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -229,9 +230,37 @@ def test_components(spark, work):
 
 def test_long_lists_are_cut_but_lose_no_link(spark, work, monkeypatch):
     monkeypatch.setattr(lists, "PART", 4)
-    tokens = spark.createDataFrame([(1, m, 10, 0) for m in range(40)] + [(2, 99, 10, 0)], "token long, member long, size int, kind int")
+    kinds = "token long, member long, size int, kind int, place int"
+    tokens = spark.createDataFrame([(1, m, 10, 0, 0) for m in range(40)] * 3 + [(2, 99, 10, 0, 0)] * 2, kinds)
     # links only between neighbours, none with the pivot but 0-1
     verify = lambda pairs: pairs.filter("y - x = 1").select("x", "y")
     found = lists.shared_lists(tokens, work)
-    got = {r.node: r.label for r in lists.linked(found, work, verify, F.lit(True), 0.8).collect()}
+    assert found.count() == 40  # a member that comes with a token again is one row
+    got = {r.node: r.label for r in lists.linked(found, work, verify, 0.8).collect()}
     assert got == dict.fromkeys(range(40), 0)
+
+
+@pytest.mark.parametrize("size", [1, 9, 40, 300, 3000])
+def test_outlines_rule_out_no_link(size):
+    rng = np.random.default_rng(size)
+    base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+    each = [base]
+    for _ in range(60):
+        kept = base[rng.random(size) > rng.random() * 0.3]
+        each.append(np.concatenate([kept, rng.integers(0, 1 << 63, int(rng.integers(0, 1 + size // 4)), dtype=np.uint64)]))
+    each = [x for x in each if len(x)]
+    pairs = [(a, b) for a in range(len(each)) for b in range(a)]
+    x, y = (np.array(c) for c in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int), np.zeros(0, int))
+    linked = [100 * len(np.intersect1d(each[a], each[b])) >= 80 * len(np.union1d(each[a], each[b])) for a, b in pairs]
+    found = jaccard_join.promising([jaccard_join.outline(e) for e in each], x, y)
+    assert not [p for p, link, ok in zip(pairs, linked, found, strict=True) if link and not ok]
+    assert size < 300 or sum(found) < len(found)
+
+
+def test_repeated_rows_are_one_node(docs, work):
+    text = " ".join(WORDS[:40])
+    rows = [(None, text)] * 300 + [(7, text + " end")] * 300 + [(8, text + "\nend of it all")] * 3
+    got = {(r.doc_id, r.n_shingles) for r in jaccard_join.similar_documents(docs(*rows), work).collect()}
+    assert got == {(None, 36), (7, 37), (8, 40)}
+    sets = work.spark.read.parquet(f"{work.path}/sets")
+    assert sets.count() >= 603 and lists.one_row_each(sets.drop("row"), jaccard_join.Work(work.spark, "again"), "sets").count() == 3
