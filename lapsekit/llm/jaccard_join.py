@@ -187,7 +187,7 @@ def subsets(x: np.ndarray) -> np.ndarray:
 
 
 def listed_tokens(docs: DataFrame, ranks: np.ndarray, small_at_most: int, size: int) -> DataFrame:
-    """Per document row: doc_id, member, n, ``grams`` (its tokens in inverted lists) and ``subsets``."""
+    """Per document row: doc_id, member, n, ``grams`` (its tokens in inverted lists), ``subsets`` and ``outline``."""
     table = docs.sparkSession.sparkContext.broadcast(ranks)
     both_from = least_shared(small_at_most + 1)
 
@@ -209,9 +209,10 @@ def listed_tokens(docs: DataFrame, ranks: np.ndarray, small_at_most: int, size:
                     in_subsets.append(subsets(x).view(np.int64) if 0 < len(x) <= small_at_most else None)
                 columns = [batch.column(0), pa.array(name), pa.array(n.astype(np.int32))]
                 columns += [pa.array(c, pa.list_(pa.int64())) for c in (in_lists, in_subsets)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "member", "n", "grams", "subsets"])
+                columns.append(pa.array([outline(x) for x in each], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "member", "n", "grams", "subsets", "outline"])
 
-    return docs.mapInArrow(run, "doc_id long, member long, n int, grams array<long>, subsets array<long>")
+    return docs.mapInArrow(run, "doc_id long, member long, n int, grams array<long>, subsets array<long>, outline binary")
 
 
 #: Bits of a set's outline for each of its grams, and at most: a coarser outline rules out less, never a link.
@@ -244,17 +245,15 @@ def promising(outlines: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray
     return out
 
 
-def verifier(docs: DataFrame, groups: DataFrame, lists: DataFrame, work: Work, size: int):
-    """Checks pairs on the whole sets of their members; sets are made once, of members that share a list. And the
-    outlines of these sets (node, text)."""
+def verifier(docs: DataFrame, groups: DataFrame, work: Work, size: int):
+    """Checks pairs on the whole sets of their members, which are made for the members of the pairs at hand alone."""
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in parts(whole):
                 each = sets(batch.column(1), size)
                 _, name, _ = set_names(each)
-                columns = [pa.array(name), pa.array([x.tobytes() for x in each], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([outline(x) for x in each], pa.binary())], ["node", "grams", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array([x.tobytes() for x in each], pa.binary())], ["node", "grams"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,17 +267,23 @@ def verifier(docs: DataFrame, groups: DataFrame, lists: DataFrame, work: Work, s
                 ok[i] = UNITED * shared >= SHARED * (len(both) - shared)
             yield pa.RecordBatch.from_arrays([pa.array(x[ok]), pa.array(y[ok])], ["x", "y"])
 
-    wanted = lists.select("member").distinct().join(groups, "member").select(F.col("least").alias("_id")).distinct()
-    found = docs.join(work.keep(wanted, "wanted"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("doc_id", "text")
-    found = one_row_each(found.mapInArrow(whole_sets, "node long, grams binary, text binary"), work, "sets")
+    calls: list[str] = []
 
     def verify(pairs: DataFrame) -> DataFrame:
+        if calls:
+            work.drop(calls[-1])
+        calls.append(f"sets{len(calls)}")
+        nodes = pairs.select(F.explode(F.array("x", "y")).alias("member")).distinct()
+        wanted = nodes.join(groups, "member").select(F.col("least").alias("_id")).distinct()
+        wanted = work.keep(wanted, f"wanted-{calls[-1]}", free=False)
+        found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("doc_id", "text")
+        found = one_row_each(found.mapInArrow(whole_sets, "node long, grams binary"), work, calls[-1])
         first = found.select(F.col("node").alias("x"), F.col("grams").alias("gx"))
         second = found.select(F.col("node").alias("y"), F.col("grams").alias("gy"))
         met = pairs.select("x", "y").join(first, "x").join(second, "y").select("x", "y", "gx", "gy")
         return met.mapInArrow(check, "x long, y long")
 
-    return verify, found.select("node", "text")
+    return verify
 
 
 def similar_documents(df: DataFrame, work: Work, size: int = SHINGLE) -> DataFrame:
@@ -292,7 +297,9 @@ def similar_documents(df: DataFrame, work: Work, size: int = SHINGLE) -> DataFra
     tokens = work.keep(listed_tokens(docs, ranks, small_at_most, size), "tokens")
     # one row of each member lists tokens
     one = tokens.filter("n > 0").join(groups.select("member", "least"), "member")
-    one = one.filter(F.col("doc_id").eqNullSafe(F.col("least")))
+    one = one.filter(F.col("doc_id").eqNullSafe(F.col("least"))).select("member", "n", "grams", "subsets", "outline")
+    one = work.keep(one, "one")
+    work.drop("tokens")
     each = lambda c, kind: one.filter(F.col(c).isNotNull()).select(
         F.posexplode(c).alias("place", "token"), "member", F.col("n").alias("size"), F.lit(kind).alias("kind")
     )
@@ -300,9 +307,10 @@ def similar_documents(df: DataFrame, work: Work, size: int = SHINGLE) -> DataFra
     if small_at_most:
         listed = listed.unionByName(each("subsets", 1))
     lists = shared_lists(listed, work)
-    work.drop("tokens")
-    verify, shapes = verifier(docs, groups, lists, work, size)
-    labels = linked(lists, work, verify, SHARED / UNITED, SHARED / (SHARED + UNITED), shapes, promising, exact=False)
+    outlines = one_row_each(one.select(F.col("member").alias("node"), F.col("outline").alias("text")), work, "outlines")
+    work.drop("one")
+    verify = verifier(docs, groups, work, size)
+    labels = linked(lists, work, verify, SHARED / UNITED, SHARED / (SHARED + UNITED), outlines, promising, exact=False)
     classes = groups.join(labels.withColumnRenamed("node", "member"), "member", "left")
     classes = classes.select("member", "check", "least", F.coalesce("label", "member").alias("label"))
     least = classes.groupBy("label").agg(F.min("least").alias("component_id"))

@@ -54,14 +54,15 @@ def shared_lists(tokens: DataFrame, work: Work, name: str = "lists") -> DataFram
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, member, *others = (c.to_numpy() for c in batch.columns)
+            token, member, about = (c.to_numpy() for c in batch.columns)
             fresh = np.ones(len(token), bool)  # a member may come with its tokens more than once
             fresh[1:] = (token[1:] != token[:-1]) | (member[1:] != member[:-1])
             fresh[0] = last != (token[0], member[0])
             last = (token[-1], member[-1])
             if not fresh.any():
                 continue
-            token, member, size, kind, place = (c[fresh] for c in (token, member, *others))
+            token, member, about = token[fresh], member[fresh], about[fresh]
+            size, kind, place = about >> 32, (about >> 31) & 1, about & ((1 << 31) - 1)
             n = len(token)
             new = np.ones(n, bool)
             new[1:] = token[1:] != token[:-1]
@@ -87,7 +88,9 @@ def shared_lists(tokens: DataFrame, work: Work, name: str = "lists") -> DataFram
             if len(columns[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    placed = tokens.select("token", "member", "size", "kind", "place").repartition("token").sortWithinPartitions("token", "member", "place")
+    # size, kind and place travel as one number
+    about = F.shiftleft(F.col("size").cast("long"), 32) + F.shiftleft(F.col("kind").cast("long"), 31) + F.col("place")
+    placed = tokens.select("token", "member", about.alias("about")).repartition("token").sortWithinPartitions("token", "member", "about")
     return work.keep(placed.mapInArrow(run, LISTS), name)
 
 
