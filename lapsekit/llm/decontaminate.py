@@ -127,10 +127,11 @@ def _found(docs: DataFrame, benchmark: DataFrame, work: Work, span: int, k: int,
 
 def clean(docs: DataFrame, benchmark: DataFrame, work: Work, span: int = SPAN, k: int = K) -> DataFrame:
     """``docs`` without the rows that hold a window. Rows go by a written key of their own, whether or not ids repeat."""
-    keyed = work.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    _, found = _found(keyed, benchmark, work, span, k, "_row")
-    gone = work.keep(found.select(F.col("uid").alias("_row")).distinct(), "gone")
-    return keyed.join(gone, "_row", "left_anti").select(*docs.columns)
+    keyed = work.keep(docs.select(F.struct("*").alias("whole"), F.monotonically_increasing_id().alias("row")), "rows")
+    plain = keyed.select(F.col("whole.doc_id").alias("doc_id"), F.col("whole.text").alias("text"), "row")
+    _, found = _found(plain, benchmark, work, span, k, "row")
+    gone = work.keep(found.select(F.col("uid").alias("row")).distinct(), "gone")
+    return keyed.join(gone, "row", "left_anti").select("whole.*")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, work: Work, span: int = SPAN, k: int = K) -> DataFrame:

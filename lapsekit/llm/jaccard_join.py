@@ -324,14 +324,14 @@ def similar_documents(df: DataFrame, work: Work, size: int = SHINGLE) -> DataFra
 def one_of_each(df: DataFrame, work: Work, size: int = SHINGLE) -> DataFrame:
     """``df`` with one row of each component, that of the smallest doc_id (null last), of those any one. Rows without
     words all stay. Rows go by a written key of their own, whether or not ids repeat."""
-    rows = work.keep(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    rows = work.keep(df.select(F.struct("*").alias("whole"), F.monotonically_increasing_id().alias("row")), "rows")
     # under their keys all rows have distinct, non-null ids
-    found = similar_documents(rows.select(F.col("_row").alias("doc_id"), "text"), work, size)
-    found = work.keep(found.filter("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id"), "found")
-    ids = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row").alias("_order"))
-    stays = found.join(ids, "_row").groupBy("component_id").agg(F.min("_order")["_row"].alias("_row"))
-    gone = work.keep(found.select("_row").join(stays.select("_row"), "_row", "left_anti"), "gone")
-    return rows.join(gone, "_row", "left_anti").select(*df.columns)
+    found = similar_documents(rows.select(F.col("row").alias("doc_id"), F.col("whole.text").alias("text")), work, size)
+    found = work.keep(found.filter("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id"), "found")
+    ids = rows.select("row", F.struct(F.col("whole.doc_id").isNull().alias("last"), F.col("whole.doc_id").alias("id"), "row").alias("place"))
+    stays = found.join(ids, "row").groupBy("component_id").agg(F.min("place")["row"].alias("row")).select("row")
+    gone = work.keep(found.select("row").join(stays, "row", "left_anti"), "gone")
+    return rows.join(gone, "row", "left_anti").select("whole.*")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ shorter line is one). ``BANDS`` bands of ``ROWS`` minima each find candidates: w
 shingles. Of each connected component one line stays: that of the smallest doc_id, and there the first.
 
 Blank lines always stay. Null texts are empty. Rows with equal id and text count as one document and all get its
-result; a null doc_id is the smallest. Empty tables give no rows. Extra columns are kept by ``dedup_lines``.
+result; a null doc_id is the smallest. Empty tables give no rows. ``dedup_lines`` keeps extra columns under any name.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapsekit.llm.lists import linked, one_row_each, shared_lists
-from lapsekit.llm.shared import Work, read
+from lapsekit.llm.shared import Work, quoted, read
 from lapsekit.llm.text_arrays import U64, mix, parts
 
 K, BANDS, ROWS, SIMILARITY = 7, 10, 4, 0.8
@@ -171,31 +171,31 @@ def repeats(docs: DataFrame, work: Work) -> DataFrame:
     return gone
 
 
-def dedup_lines(df: DataFrame, work: Work) -> DataFrame:
-    """All columns of ``df`` with the text that stays, and ``_n_lines``, ``_n_removed``. ``df`` has doc_id and text."""
-    docs = df.withColumn("text", F.coalesce("text", F.lit("")))
-    docs = docs.withColumns({"_doc": F.coalesce("doc_id", F.lit(_LEAST_ID)), "_th": F.xxhash64("text")})
-    gone = repeats(docs.select(F.col("_doc").alias("doc"), F.col("_th").alias("th"), "text"), work)
-    gone = gone.select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("lines").alias("_lines"))
+def judged_lines(df: DataFrame, work: Work) -> DataFrame:
+    """``whole``, a struct of all columns of ``df`` (doc_id and text among them), with the text that stays as ``kept``, and
+    n_lines, n_removed."""
+    docs = df.select(
+        F.struct("*").alias("whole"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(_LEAST_ID)).alias("doc")
+    ).withColumn("th", F.xxhash64("text"))
+    gone = repeats(docs.select("doc", "th", "text"), work)
     lines = F.split("text", "\n", -1)
-    out = docs.join(gone, ["_doc", "_th"], "left")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_lines")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "lines")
     kept = F.transform(left, lambda i: F.element_at(lines, i + 1))
-    out = out.withColumns(
-        {
-            "_n_lines": F.size(lines).cast("long"),
-            "_n_removed": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"),
-            "text": F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
-        }
+    return docs.join(gone, ["doc", "th"], "left").select(
+        "whole",
+        F.size(lines).cast("long").alias("n_lines"),
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept"),
     )
-    return out.select(*df.columns, "_n_lines", "_n_removed")
+
+
+def dedup_lines(df: DataFrame, work: Work) -> DataFrame:
+    """``df`` with the text that stays, and n_chars after it where ``df`` has that. No other column changes, whatever it is
+    called."""
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return judged_lines(df, work).select(*[new[c].alias(c) if c in new else F.col(f"whole.{quoted(c)}").alias(c) for c in df.columns])
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), Work(spark, "op8"))
-    return out.select(
-        "doc_id",
-        F.col("_n_lines").alias("n_lines"),
-        F.col("_n_removed").alias("n_removed"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
-    )
+    out = judged_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), Work(spark, "op8"))
+    return out.select("whole.doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

@@ -66,6 +66,10 @@ class Work:
             path.getFileSystem(conf).delete(path, True)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def documents(df: DataFrame) -> DataFrame:
     """The two columns operators read; a null text is empty."""
     return df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

@@ -44,8 +44,8 @@ def encoded(df: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         encoder, part, start = Encoder.of(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<i4").tobytes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 3000):
+                batch = whole.slice(at, 3000)
                 ids = [x + end for x in encoder.encode(batch.column(1).to_pylist())]
                 sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 ends = np.cumsum(sizes)

@@ -20,9 +20,12 @@ from tokenizers import Tokenizer  # noqa: E402
 #: Words whose ids a worker keeps at most; others are encoded again. It changes speed alone.
 KEPT = 600_000
 #: The most frequent words of the first SAMPLED characters stand in a table small enough for a processor's cache.
-FREQUENT, SAMPLED = 30_000, 4_000_000
+FREQUENT, SAMPLED = 100_000, 4_000_000
 #: White space to Python that tokenizers do not take for it.
 _ODD = "\x1c\x1d\x1e\x1f"
+#: White space to Python but space and line feed, and either of these twice in a row.
+_OTHER = [chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n"]
+_REPEATED = ("  ", " \n", "\n ", "\n\n")
 #: Stands alone between words that are encoded together, where white space leaves no trace in the ids.
 _BREAK = "\x02"
 
@@ -34,7 +37,9 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # texts that hold one of these, in any case, go to the tokenizer whole
+        self.added = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.marks = sorted({t[:2] for t in self.added})
         self.kept: dict[str, bytes] = {}
         self.frequent: dict[str, bytes] = {}
         self.counts: Counter[str] = Counter()
@@ -64,11 +69,17 @@ class Encoder:
                 size, part = 0, []
         return out + self._part(part)
 
+    def _holds_added(self, text: str) -> bool:
+        folded = text if text.isascii() and not any(m in text for m in self.marks) else text.lower()
+        return folded is not text and any(t in folded for t in self.added) or any(t in text for t in self.added)
+
     def _words(self, text: str) -> list[str] | None:
         """Keys of the words: as they stand after a space, or with what stands before them."""
+        if self._holds_added(text):
+            return None
         if self.drops_space:
             return None if any(c in text for c in _ODD) else text.split()
-        if not text or text.split() != text.replace("\n", " ").split(" "):
+        if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _REPEATED) or any(c in text for c in _OTHER):
             return None  # other or repeated white space
         words = text.replace("\n", " \n").split(" ")
         words[0] = "\r" + words[0]  # nothing before it; no text with this character comes here

@@ -18,6 +18,7 @@ from lapsekit.llm.shared import Work, crc_mod, read
 from lapsekit.llm.tokens import Encoder
 
 ODD = ["", None, "a", " a", "a  b\n\nc \n d", "\ta\xa0b  \t c", "x\x02 y \x02", "don't 'says ''s 12 3.5e", "\x1cfoo  bar\x85", "<|endoftext|> a"]
+ODD += ["foo <|endoftext|> bar", "a<|startoftext|>b", "x <|ENDOFTEXT|> y", "a\u2003b", " lead", "trail ", "\nlead", "a \nb", "a\n b"]
 ODD += ["word " * 3000, "éè ́x ΑΣ", "日本 語\n\n", "a\nb c\nd", "\r\n x"]
 
 
@@ -25,7 +26,6 @@ ODD += ["word " * 3000, "éè ́x ΑΣ", "日本 語\n\n", "a\nb c\nd", "\r\n x"
 def test_encoder_equals_the_tokenizer(name):
     path = public_tokenizers.path(name)
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     texts = [t or "" for t in ODD] * 2
     want = [np.array(x.ids, "<u4").tobytes() for x in plain.encode_batch(texts, add_special_tokens=False)]
     encoder = Encoder(path)
@@ -35,7 +35,6 @@ def test_encoder_equals_the_tokenizer(name):
 def test_token_files_round_trip(docs, work):
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     rows = [(i * 7 % 31, t) for i, t in enumerate(ODD)] + [(77, "again"), (77, "again"), (None, "no id")]
     stored = token_store.write_tokens(docs(*rows), path, 2, work)
     ordered = sorted(((-1 if i is None else i, t or "") for i, t in rows))
@@ -255,6 +254,36 @@ def test_pipeline_stages(spark, work, small):
     assert sum(r.length for r in docs.collect()) > 0 and check_packing(docs.collect(), None)
 
 
+CLASHING = ["score", "rejected", "lang_pred", "k0", "_row", "row", "whole", "_lines", "lines", "doc", "_doc", "th", "kept", "n_lines", "uid", "member", "a.b"]
+
+
+def test_stages_keep_columns_of_any_name(spark, work, small):
+    docs = read(spark, small, "documents").withColumns({c: F.lit(f"of {c}") for c in CLASHING})
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = work.keep(stage(spark, docs, small), f"clash-{name.replace(' ', '-')}")
+        assert docs.columns == names
+        for c in CLASHING:
+            assert [r[0] for r in docs.select(F.col(f"`{c}`")).distinct().collect()] == [f"of {c}"]
+
+
+def test_equal_rows_are_sampled_one_by_one(spark):
+    rows = [(1, "the same text", "en", "s", 1)] * 5000 + [(2, "ein anderer Text", "de", "s", 1)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r.lang: r["count"] for r in language.sample(docs, F.lit(True)).groupBy("lang").count().collect()}
+    assert found["de"] == 5 and 1300 < found["en"] < 1700
+
+
+def test_other_scripts_are_rejected(spark, small):
+    model = language.fit(read(spark, small, "documents"), F.lit(True))
+    texts = ["Это совсем другой язык, которого нет в выборке.", "这是一段中文文本,没有出现在样本中。"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    found = language.predict(spark.createDataFrame(rows, "doc_id long, text string"), model, "doc_id").collect()
+    assert [r.rejected for r in found] == [True, True]
+    own = language.predict(read(spark, small, "documents").filter("length(text) > 200"), model, "doc_id")
+    assert own.filter("rejected").count() <= 0.02 * own.count()
+
+
 def test_pipeline_run_and_empty_tables(spark, work, small, tmp_path):
     assert corpus_pipeline.run(spark, small).count() > 100
     for table in ("documents", "benchmark"):
