@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and gives all that its decisions leave. All but the last return the columns of
 ``documents``; extra columns pass through, columns of their own never clash with them.
 
-* Null texts have no language, so the first stage drops them, as it drops texts without a letter and texts whose
-  calibrated score is below every right one of the validation sample.
+* Null texts have no language, so the first stage drops them, as it drops texts without a letter, texts whose
+  calibrated score is where validation texts were right too seldom, and texts of byte pairs that the sample lacks.
 * Lines found elsewhere go; a document that loses all stays with an empty text. n_chars follows the text.
 * Of documents joined by links of similarity 0.8, the one with the smallest doc_id (null last) stays, one row even
   where ids repeat. Documents without words all stay.
@@ -27,14 +27,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Learns from the labelled documents and drops those it rejects."""
     ship(spark)
     model = language.fit(docs, F.lit(True))
-    return language.predict(docs, model, *docs.columns).filter("NOT rejected").select(*docs.columns)
+    return language.accepted(docs, model)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one of all equal or nearly equal lines."""
-    out = lines.dedup_lines(docs, Work(spark, "pipeline-lines"))
-    sized = {"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}
-    return out.withColumns(sized).select(*docs.columns)
+    return lines.dedup_lines(docs, Work(spark, "pipeline-lines"))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
