@@ -142,7 +142,8 @@ def sample(df: DataFrame, learn: Column) -> DataFrame:
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     each = min(PER_LANGUAGE, ROWS_AT_MOST // max(1, sizes.count()))
     place = F.xxhash64(F.lit(3), "doc_id", F.crc32(F.col("text").cast("binary")), F.monotonically_increasing_id())
-    picked = rows.withColumn("place", F.pmod(place, F.lit(1 << 30)) / (1 << 30)).join(sizes, "lang")
+    # a small row for each language; the model itself holds BUCKETS numbers for each
+    picked = rows.withColumn("place", F.pmod(place, F.lit(1 << 30)) / (1 << 30)).join(F.broadcast(sizes), "lang")
     return picked.filter(F.col("place") * F.col("n") < each)
 
 
