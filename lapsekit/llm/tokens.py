@@ -46,6 +46,9 @@ class Encoder:
         self.sampled = 0
         ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         self.drops_space = ids("a a") == 2 * ids("a")
+        # ids of marks that end a word of letters and stand apart from it
+        marks = {c: np.array(ids(c), "<u4").tobytes() for c in ",."}
+        self.ends = marks if ids("ab,") + ids("ab.") == ids("ab") + ids(",") + ids("ab") + ids(".") else {}
         if self.drops_space:
             self.breaks = np.array(ids(_BREAK), np.int64)
         else:
@@ -87,26 +90,41 @@ class Encoder:
 
     def _part(self, texts: list[str]) -> list[bytes]:
         words = [self._words(text) for text in texts]
-        frequent = self.frequent.get
-        found = [None if w is None else list(map(frequent, w)) for w in words]
-        rest: set[str] = set()
+        found = [None if w is None else list(map(self.frequent.get, w)) for w in words]
+        # Per text, the words that are not frequent and their ids, which is one look into the large table for each.
+        rare: list[tuple[list[str], list[bytes | None]]] = []
+        unseen: set[str] = set()
         for w, ids in zip(words, found, strict=True):
-            if ids is not None and None in ids:
-                rest.update([x for x, i in zip(w, ids, strict=True) if i is None])
-        new = dict(self._new([x for x in rest if x not in self.kept]))
-        kept = self.kept
-        here = {x: kept[x] if x in kept else new[x] for x in rest}
-        for w, ids in zip(words, found, strict=True):
-            if ids is not None and None in ids:
-                ids[:] = [here[x] if i is None else i for x, i in zip(w, ids, strict=True)]
+            here: list[str] = [x for x, i in zip(w, ids, strict=True) if i is None] if ids is not None and None in ids else []
+            known = list(map(self.kept.get, here))
+            if None in known:
+                unseen.update([x for x, i in zip(here, known, strict=True) if i is None])
+            rare.append((here, known))
+        new = self._unseen(unseen)
+        for ids, (here, known) in zip(found, rare, strict=True):
+            if here:
+                if None in known:
+                    known = [new[x] if i is None else i for x, i in zip(here, known, strict=True)]
+                each = iter(known)
+                ids[:] = [next(each) if i is None else i for i in ids]
         if self.sampled < SAMPLED:
-            self._sample(words, here)
-        for word in list(new)[: max(0, KEPT - len(self.kept))]:
-            self.kept[word] = new[word]
+            self._sample(words)
         whole = self._each([text for text, w in zip(texts, words, strict=True) if w is None])
         return [next(whole) if ids is None else b"".join(ids) for ids in found]
 
-    def _sample(self, words: list[list[str] | None], ids: dict[str, bytes]) -> None:
+    def _unseen(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words; those of Latin letters and a mark come from the letters' ids, which alone are kept."""
+        stems = {w: w[:-1] for w in words if w[-1:] in self.ends and w[:-1].isalpha() and (w.isascii() or max(w) < "\u0250")}
+        bare = words.difference(stems)
+        known = {x: ids for x in stems.values() if (ids := self.frequent.get(x, self.kept.get(x))) is not None}
+        new = dict(self._new(list(bare.union([x for x in stems.values() if x not in known]))))
+        for word in list(new)[: max(0, KEPT - len(self.kept))]:
+            self.kept[word] = new[word]
+        for w, stem in stems.items():
+            new[w] = (known[stem] if stem in known else new[stem]) + self.ends[w[-1]]
+        return new
+
+    def _sample(self, words: list[list[str] | None]) -> None:
         for w in words:
             if w is not None:
                 self.counts.update(w)
@@ -114,7 +132,7 @@ class Encoder:
         self.sampled += 1
         if self.sampled >= SAMPLED:
             common = [w for w, _ in self.counts.most_common(FREQUENT)]
-            self.frequent = {w: ids[w] if w in ids else self.kept[w] for w in common if w in ids or w in self.kept}
+            self.frequent = {w: self.kept[w] for w in common if w in self.kept} | self._unseen({w for w in common if w not in self.kept})
             self.counts.clear()
 
     def _each(self, texts: list[str]) -> Iterator[bytes]:
