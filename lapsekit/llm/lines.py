@@ -28,6 +28,14 @@ K, BANDS, ROWS, SIMILARITY = 7, 10, 4, 0.8
 _LEAST_ID = -(1 << 63)
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 32, (2, BANDS * ROWS), dtype=np.uint32)
 _STEP = np.uint32(0x01000193)
+#: Characters of lines compared at once, but for a longer pair.
+CHARACTERS = 1 << 20
+#: Above all code points; stands behind lines that are shorter than a shingle.
+_NO_CHARACTER = 0x110000
+_ODD = U64(0x9E3779B97F4A7C15)
+#: Bits for the number of a line or pair, of which there are fewer at once, before a shingle's name.
+ROOM = U64(12)
+_NAME = (U64(1) << (U64(64) - ROOM)) - U64(1)
 
 
 def shingles(line: str) -> set[str]:
@@ -47,8 +55,70 @@ def similar(a: str, b: str) -> bool:
     return shared >= SIMILARITY * (len(both) - shared)
 
 
+def _sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle sets of all lines, one after the other, as sorted names of ``64 - ROOM`` bits; where each line's begin (one
+    more)."""
+    lengths = np.array([len(x) for x in lines])
+    sizes = np.maximum(lengths, K)
+    ends = np.cumsum(sizes)
+    padded = "".join(x if len(x) >= K else x.ljust(K) for x in lines)
+    chars = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    for i in np.flatnonzero(lengths < K).tolist():
+        chars[ends[i] - K + lengths[i] : ends[i]] = _NO_CHARACTER
+    h = chars[: len(chars) - K + 1].copy()
+    for j in range(1, K):
+        h *= _ODD
+        h += chars[j : len(h) + j]
+    h = mix(h * _ODD)
+    inside = np.ones(len(chars), bool)
+    for j in range(1, K):
+        inside[ends - j] = False
+    h = h[inside[: len(h)]] >> ROOM
+    h |= np.repeat(np.arange(len(lines), dtype=np.uint64) << (U64(64) - ROOM), sizes - K + 1)
+    h.sort()
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    h = h[new]
+    return h & _NAME, np.searchsorted(h >> (U64(64) - ROOM), np.arange(len(lines) + 1).astype(np.uint64))
+
+
+def _rows(starts: np.ndarray, n: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the sets ``of`` some lines, and for each place which of these lines it is of."""
+    which = np.repeat(np.arange(len(of)), n[of])
+    return np.arange(len(which)) + (starts[of] - (np.cumsum(n[of]) - n[of]))[which], which
+
+
+def _judged(lines: list[str], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    used, at = np.unique(np.concatenate((x, y)), return_inverse=True)
+    names, starts = _sets([lines[i] for i in used.tolist()])
+    n = np.diff(starts)
+    x, y = at[: len(x)], at[len(x) :]
+    out = np.minimum(n[x], n[y]) >= SIMILARITY * np.maximum(n[x], n[y]) - 1e-9
+    x, y = x[out], y[out]
+    keys = []
+    for side in (x, y):
+        place, pair = _rows(starts, n, side)
+        keys.append(names[place] | (pair.astype(np.uint64) << (U64(64) - ROOM)))
+    both = np.concatenate(keys)
+    both.sort()
+    twice = both[1:][both[1:] == both[:-1]] >> (U64(64) - ROOM)
+    shared = np.bincount(twice.astype(np.int64), minlength=len(x))
+    out[out] = shared >= SIMILARITY * (n[x] + n[y] - shared) - 1e-9
+    return out
+
+
 def all_similar(lines: list[str], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.array([similar(lines[a], lines[b]) for a, b in zip(x.tolist(), y.tolist(), strict=True)], bool)
+    """``similar`` for the pairs of lines at these places, in pieces of some ``CHARACTERS``; shingles have 52-bit names."""
+    x, y = np.asarray(x, np.int64), np.asarray(y, np.int64)
+    out = np.zeros(len(x), bool)
+    sizes = np.array([len(lines[i]) + len(lines[j]) for i, j in zip(x.tolist(), y.tolist(), strict=True)], np.int64)
+    ends, first = np.cumsum(sizes), 0
+    while first < len(x):
+        last = int(np.searchsorted(ends, ends[first] - sizes[first] + CHARACTERS, side="right"))
+        last = max(first + 1, min(last, first + (1 << int(ROOM) - 1)))
+        out[first:last] = _judged(lines, x[first:last], y[first:last])
+        first = last
+    return out
 
 
 def bands(lines: list[str]) -> np.ndarray:
@@ -133,7 +203,9 @@ def verifier(docs: DataFrame, groups: DataFrame, lists: DataFrame, work: Work):
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = pa.array([similar(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
+            both = pa.concat_arrays([batch.column(2), batch.column(3)]).dictionary_encode()
+            at, n = both.indices.to_numpy(), batch.num_rows
+            ok = pa.array(all_similar(both.dictionary.to_pylist(), at[:n], at[n:]), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["x", "y"])
 
     wanted = lists.select("member").distinct().join(groups, "member")
@@ -174,18 +246,19 @@ def repeats(docs: DataFrame, work: Work) -> DataFrame:
 def judged_lines(df: DataFrame, work: Work) -> DataFrame:
     """``whole``, a struct of all columns of ``df`` (doc_id and text among them), with the text that stays as ``kept``, and
     n_lines, n_removed."""
-    docs = df.select(
-        F.struct("*").alias("whole"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(_LEAST_ID)).alias("doc")
-    ).withColumn("th", F.xxhash64("text"))
-    gone = repeats(docs.select("doc", "th", "text"), work)
-    lines = F.split("text", "\n", -1)
+    text = F.coalesce("whole.text", F.lit(""))
+    docs = df.select(F.struct("*").alias("whole"), F.coalesce("doc_id", F.lit(_LEAST_ID)).alias("doc")).withColumn("th", F.xxhash64(text))
+    gone = repeats(docs.select("doc", "th", text.alias("text")), work)
+    lines = F.split(text, "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "lines")
     kept = F.transform(left, lambda i: F.element_at(lines, i + 1))
+    # a row a document at most, so texts need no sort to meet them
+    gone = gone.hint("shuffle_hash")
     return docs.join(gone, ["doc", "th"], "left").select(
         "whole",
         F.size(lines).cast("long").alias("n_lines"),
         F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"),
-        F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept"),
+        F.when(F.col("lines").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("kept"),
     )
 
 

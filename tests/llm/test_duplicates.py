@@ -203,6 +203,27 @@ def test_lines_of_nothing(docs, work):
     assert lines.dedup_lines(docs((1, "x")).filter("false"), work).count() == 0
 
 
+@pytest.mark.parametrize("limit", [1, 300, 1 << 20])
+def test_lines_are_compared_exactly(limit, monkeypatch):
+    """Short lines, NULs, code points beyond 16 bits and changed copies, in pieces of any size, against sets of strings."""
+    monkeypatch.setattr(lines, "CHARACTERS", limit)
+    rng = random.Random(limit)
+    pool = []
+    for _ in range(100):
+        line = [rng.choice("ab \0é漢\U0001F600") for _ in range(rng.choice([1, 3, 6, 7, 8, 20, 80, 200]))]
+        pool.append("".join(line))
+        for _ in range(3):
+            for _ in range(rng.randint(0, 2)):
+                line[rng.randrange(len(line))] = rng.choice("ab\0")
+            pool.append("".join(line))
+    x = [rng.randrange(len(pool)) for _ in range(6000)]
+    y = [i // 4 * 4 + rng.randrange(4) if rng.random() < 0.5 else rng.randrange(len(pool)) for i in x]
+    sets = [lines.shingles(line) for line in pool]
+    want = [10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) for i, j in zip(x, y, strict=True)]
+    assert lines.all_similar(pool, x, y).tolist() == want and 100 < sum(want) < 5000
+    assert lines.all_similar([], [], []).tolist() == []
+
+
 def test_bands_find_similar_lines():
     rng = random.Random(1)
     found = 0
