@@ -249,14 +249,13 @@ def judged_lines(df: DataFrame, work: Work) -> DataFrame:
     text = F.coalesce("whole.text", F.lit(""))
     docs = df.select(F.struct("*").alias("whole"), F.coalesce("doc_id", F.lit(_LEAST_ID)).alias("doc")).withColumn("th", F.xxhash64(text))
     gone = repeats(docs.select("doc", "th", text.alias("text")), work)
-    lines = F.split(text, "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "lines")
-    kept = F.transform(left, lambda i: F.element_at(lines, i + 1))
-    # a row a document at most, so texts need no sort to meet them
-    gone = gone.hint("shuffle_hash")
-    return docs.join(gone, ["doc", "th"], "left").select(
+    # a row a document at most in ``gone``, so texts need no sort to meet it; they are split once, not for each line that stays
+    found = docs.join(gone.hint("shuffle_hash"), ["doc", "th"], "left").select("whole", "lines", F.split(text, "\n", -1).alias("split"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("split") - 1), "lines")
+    kept = F.transform(left, lambda i: F.element_at("split", i + 1))
+    return found.select(
         "whole",
-        F.size(lines).cast("long").alias("n_lines"),
+        F.size("split").cast("long").alias("n_lines"),
         F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"),
         F.when(F.col("lines").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("kept"),
     )

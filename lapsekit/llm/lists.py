@@ -24,6 +24,8 @@ HEAVY = 16
 #: Rounds with one pivot a list at most; the later ones are for heavy lists. Fewer when the pairs left are no more than
 #: the rows of all lists, or when a round links less than GAIN of its pairs. The last round is complete either way.
 STARS, GAIN = 6, 0.1
+#: Pairs judged at once in a task of the last round.
+JUDGED = 20_000
 
 
 def fits(x: Column, y: Column, least_ratio: float, place_x: Column, place_y: Column, overlap: float, kind: Column) -> Column:
@@ -107,6 +109,7 @@ def _grid_pairs(lists: DataFrame, least_ratio: float, overlap: float, similar: C
             token, i, j, part, member, size, kind, place, comp = (c.to_numpy() for c in table.select(range(9)).combine_chunks().columns)
             near = np.arange(len(token) - 1)  # rows whose group also holds the row ``step`` further on
             step, held, count = 1, [], 0
+            waiting, many = [], 0  # pairs to judge, many at once: steps share their members
             while True:
                 far = near + step
                 same = (token[near] == token[far]) & (i[near] == i[far]) & (j[near] == j[far])
@@ -119,20 +122,36 @@ def _grid_pairs(lists: DataFrame, least_ratio: float, overlap: float, similar: C
                 left = np.minimum(size[near] - place[near], size[far] - place[far])
                 ok &= (kind[near] != 0) | (left >= overlap * (size[near] + size[far]) - 1e-9)
                 x, y = near[ok], far[ok]
-                if similar and len(x):
-                    alike = similar(text, x, y)
-                    x, y = x[alike], y[alike]
+                near = near[near + step + 1 < len(token)]
+                step += 1
+                if similar:
+                    waiting.append((x, y))
+                    many += len(x)
+                    if many < JUDGED and len(near):
+                        continue
+                    x, y = judged(text, waiting)
+                    waiting, many = [], 0
                 swap = member[x] > member[y]
                 held.append((member[np.where(swap, y, x)], member[np.where(swap, x, y)]))
                 count += len(x)
                 if count > 100_000:
                     yield rows_of(held)
                     held, count = [], 0
-                near = near[near + step + 1 < len(token)]
-                step += 1
+            if many:
+                x, y = judged(text, waiting)
+                swap = member[x] > member[y]
+                held.append((member[np.where(swap, y, x)], member[np.where(swap, x, y)]))
+                count += len(x)
             if count:
                 yield rows_of(held)
 
+    def judged(text: list, waiting: list) -> tuple[np.ndarray, np.ndarray]:
+        x, y = (np.concatenate(c) for c in zip(*waiting, strict=True))
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
+        alike = similar(text, x, y) if len(x) else np.zeros(0, bool)
+        return x[alike], y[alike]
+
     def rows_of(held: list) -> pa.RecordBatch:
         columns = np.unique(np.concatenate([np.stack(c, axis=1) for c in held]), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(columns[:, 0]), pa.array(columns[:, 1])], ["x", "y"])
