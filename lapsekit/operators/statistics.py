@@ -11,11 +11,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapsekit.functions.naming import quote
@@ -42,14 +43,29 @@ def correlation(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
 
 def correlation_pairs(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
     """The upper triangle as rows (i, j, col_i, col_j, r); r is NULL for constant columns."""
-    matrix = correlation(df, cols)
-    rows = [
-        (i, j, cols[i], cols[j], None if math.isnan(matrix[i, j]) else float(matrix[i, j]))
-        for i in range(len(cols))
-        for j in range(i + 1, len(cols))
-    ]
-    schema = "i int, j int, col_i string, col_j string, r double"
-    return df.sparkSession.createDataFrame(rows, schema).withColumn("r", F.round("r", digits))
+    pairs = _triangle(df.sparkSession, correlation(df, cols), cols, 1)
+    known = F.when(~F.isnan("value"), F.round("value", digits))
+    return pairs.select("i", "j", "col_i", "col_j", known.alias("r"))
+
+
+def _triangle(spark: SparkSession, matrix: np.ndarray, names: Sequence[str], above: int) -> DataFrame:
+    """(i, j, col_i, col_j, value) of the entries with j - i of ``above`` at least.
+
+    The driver hands over one array a row of the matrix; executors make the k^2 / 2 rows of it.
+    """
+    k = len(names)
+    inside = np.triu(np.ones((k, k), bool), above)
+    offsets = np.concatenate([[0], np.cumsum(inside.sum(axis=1))]).astype(np.int32)
+    packed = pa.table({
+        "i": pa.array(np.arange(k), pa.int32()),
+        "col_i": pa.array(list(names), pa.string()),
+        "entries": pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix[inside], pa.float64())),
+    })
+    rows = spark.createDataFrame(packed)
+    others = rows.select(F.col("i").alias("j"), F.col("col_i").alias("col_j"))
+    entries = rows.select("i", "col_i", F.posexplode("entries").alias("pos", "value"))
+    entries = entries.withColumn("j", (F.col("i") + F.col("pos") + above).cast("int"))
+    return entries.join(F.broadcast(others), "j").select("i", "j", "col_i", "col_j", "value")
 
 
 def prune_correlated(
@@ -113,10 +129,8 @@ def gram_pairs(df: DataFrame, cols: Sequence[str], target: str, digits: int = 2)
     m = moments(df, cols, target)
     names = [*cols, target]
     full = np.vstack([np.column_stack([m.xtx, m.xty]), np.append(m.xty, m.yty)])
-    rows = [(names[i], names[j], float(full[i, j])) for i in range(len(names)) for j in range(i, len(names))]
-    return df.sparkSession.createDataFrame(rows, "col_i string, col_j string, s double").withColumn(
-        "s", F.round("s", digits)
-    )
+    pairs = _triangle(df.sparkSession, full, names, 0)
+    return pairs.select("col_i", "col_j", F.round("value", digits).alias("s"))
 
 
 def ols(m: Moments) -> Fit:

@@ -133,3 +133,16 @@ def test_names_with_dots_and_blanks(spark):
     assert S.correlation(df, ["a.b", "c d"]).shape == (2, 2)
     assert S.moments(df, ["a.b"], "y").xtx[0, 0] == 21.0
     assert S.class_density(df, "y", ["a.b", "c d"], bins=2).count() > 0
+
+
+@pytest.mark.parametrize(("k", "above"), [(0, 1), (1, 0), (1, 1), (2, 1), (700, 0), (700, 1)])
+def test_matrix_goes_over_by_rows(spark, k, above):
+    """Every entry of the upper triangle under its names, from one local row for each row of the matrix."""
+    matrix = np.arange(k * k, dtype=float).reshape(k, k)
+    names = [f"c.{i}" for i in range(k)]
+    out = S._triangle(spark, matrix, names, above)
+    assert out.columns == ["i", "j", "col_i", "col_j", "value"]
+    bad = (F.col("j") < F.col("i") + above) | (F.col("value") != F.col("i") * k + F.col("j"))
+    bad |= (F.col("col_i") != F.concat(F.lit("c."), "i")) | (F.col("col_j") != F.concat(F.lit("c."), "j"))
+    assert out.filter(bad).count() == 0
+    assert out.select("i", "j").distinct().count() == out.count() == len(np.triu_indices(k, above)[0])
