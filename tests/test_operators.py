@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 from lapsekit.operators import aggregates as agg
 from lapsekit.operators import encode
 from lapsekit.operators.columns import fill_numeric, numeric_columns, rename, text_columns, union_all
-from lapsekit.operators.joins import attach, fits_broadcast, hot_keys, left_star, one_row_per_key, salted_join
+from lapsekit.operators.joins import attach, fits_broadcast, gathered, hot_keys, left_star, one_row_per_key, salted_join
 from lapsekit.operators.latest import dedup_key, latest_flag, latest_per_key, unpack_flag
+from lapsekit.plans import blocks
+from lapsekit.plans.specs import STANDIN
+from lapsekit.sources import standin
 
 
 def rows(df):
@@ -88,6 +91,40 @@ def test_attach_broadcasts_only_a_proven_small_side(spark, skewed):
     assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
 
 
+def test_the_search_for_hot_keys_and_the_join_read_written_rows(spark, skewed):
+    dim = spark.range(0, 40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("n"))
+    costly = skewed.where(F.sha1(F.col("id").cast("string")) != "")
+    joined = attach(costly, dim, "k", ["id"], broadcast_rows=39, write_fact=True)
+    assert "sha1" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(joined.select("k", "id", "n")) == rows(skewed.join(dim, ["k"], "left").select("k", "id", "n"))
+
+
+def test_gathered_rows_need_no_map_side_buffers(spark):
+    """One exchange of plain rows; a hot key is spread, and its few buffers cross a second one."""
+    even = spark.range(0, 4000, 1, 4).select((F.col("id") % 2000).alias("k"), "id")
+    summed = gathered(even, "k", ["id"]).groupBy("k").agg(F.sum("id").alias("s"))
+    plan = summed._jdf.queryExecution().executedPlan().toString()
+    assert exchanges(summed) == 1 and plan.index("partial_sum") < plan.index("Exchange")
+    assert rows(summed) == rows(even.groupBy("k").agg(F.sum("id").alias("s")))
+    hot = even.withColumn("k", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 100 != 1, F.col("k")))
+    dealt = gathered(hot, "k", ["id"])
+    summed = dealt.groupBy("k").agg(F.sum("id").alias("s"))
+    assert exchanges(summed) == 2 and rows(summed) == rows(hot.groupBy("k").agg(F.sum("id").alias("s")))
+    assert "RepartitionByExpression [k" in (plan := dealt._jdf.queryExecution().optimizedPlan().toString()) and "_salt" in plan
+
+
+def test_subscriptions_cross_one_exchange_as_rows(spark):
+    block = blocks.subscription_block(standin.subscriptions(spark, "/root/testdata/sf0.01"), STANDIN)
+    plan = block._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(CustomerID" in line]
+    assert len(dealt) == 1 and "REPARTITION_BY_COL" in dealt[0]
+
+
+def test_props_are_parsed_in_a_step_of_their_own(spark, small):
+    plan = standin.complaints(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object") == 1
+
+
 def test_alike_rows_of_a_hot_key_are_spread(spark):
     fact = spark.range(10_000).select("id", F.lit(7).alias("k"), F.lit("same").alias("v"))
     dim = spark.createDataFrame([(7, "n")], "k int, n string")
