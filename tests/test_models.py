@@ -10,7 +10,9 @@ from lapsekit.models.evaluate import auc_of_scores, confusion, evaluate
 from lapsekit.models.prepare import FeaturePlan, scale_to_unit_std, string_index
 from lapsekit.models.scoring import churn_scores, score, with_scores
 from lapsekit.models.split import in_train, random_train_test, train_test, with_folds
+from lapsekit.models import tuning
 from lapsekit.models.tuning import best_num_trees, grid_report, tune_forest
+from lapsekit.plans import study as study_module
 from lapsekit.plans.study import ChurnStudy, partitions_for
 from lapsekit.session import checkpoint_dir
 
@@ -187,6 +189,30 @@ def test_tuning_and_scores(study, customers, spark):
     assert score(tuned.model, customers, "CustomerID").columns == ["CustomerID", "prediction", "label", "probability"]
 
 
+def test_tuning_ranks_scores_that_are_made_once(study, monkeypatch):
+    """Ranking reads them in several stages, none of which may run the forests again."""
+    plans = []
+    ranked = tuning.rank_auc
+
+    def watched(df, *args):
+        plans.append(df._jdf.queryExecution().withCachedData().toString())
+        return ranked(df, *args)
+
+    monkeypatch.setattr(tuning, "rank_auc", watched)
+    folded = with_folds(study.train, "CustomerID", 12, 3)
+    tune_forest(folded, study.plan, num_trees=(3, 5), parallelism=2)
+    assert len(plans) == 3 and all("InMemoryRelation [trees#" in p and p.count("InMemoryRelation [trees#") == 2 for p in plans)
+
+
+def test_the_tuned_model_predicts_each_side_once(customers, monkeypatch):
+    kept = []
+    monkeypatch.setattr(study_module, "report", lambda name, fitted, *a: kept.extend([fitted.train, fitted.test]))
+    with ChurnStudy(customers) as s:
+        s.tuned_comparison()
+        assert [df.storageLevel.useMemory for df in kept] == [True, True]
+    assert [df.storageLevel.useMemory for df in kept] == [False, False]
+
+
 def test_report_of_a_fit_on_plain_vectors(study):
     train, test = study.vectors
     fitted = fit_predict(logistic_regression(), train, test)
