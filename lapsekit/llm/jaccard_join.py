@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -310,7 +311,7 @@ def similar_documents(df: DataFrame, work: Work, size: int = SHINGLE) -> DataFra
     outlines = one_row_each(one.select(F.col("member").alias("node"), F.col("outline").alias("text")), work, "outlines")
     work.drop("one")
     verify = verifier(docs, groups, work, size)
-    labels = linked(lists, work, verify, SHARED / UNITED, SHARED / (SHARED + UNITED), outlines, promising, exact=False)
+    labels = linked(lists, work, verify, SHARED / UNITED, SHARED / (SHARED + UNITED), outlines, lambda texts: partial(promising, texts), exact=False)
     classes = groups.join(labels.withColumnRenamed("node", "member"), "member", "left")
     classes = classes.select("member", "check", "least", F.coalesce("label", "member").alias("label"))
     least = classes.groupBy("label").agg(F.min("least").alias("component_id"))

@@ -36,6 +36,12 @@ _ODD = U64(0x9E3779B97F4A7C15)
 #: Bits for the number of a line or pair, of which there are fewer at once, before a shingle's name.
 ROOM = U64(12)
 _NAME = (U64(1) << (U64(64) - ROOM)) - U64(1)
+#: Cells of a line's outline. Lines of far more shingles fill it; their pairs are all compared.
+CELLS = 1 << 12
+#: Pairs for each list row that outlines judge in less time than a round of pivots takes.
+CHEAP = 16
+#: Characters hashed at once, which stay in a core's cache, but for a longer line; and lines.
+HASHED, LINES = 1 << 17, 1_000
 
 
 def shingles(line: str) -> set[str]:
@@ -107,22 +113,68 @@ def _judged(lines: list[str], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def all_similar(lines: list[str], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """``similar`` for the pairs of lines at these places, in pieces of some ``CHARACTERS``; shingles have 52-bit names."""
-    x, y = np.asarray(x, np.int64), np.asarray(y, np.int64)
-    out = np.zeros(len(x), bool)
-    sizes = np.array([len(lines[i]) + len(lines[j]) for i, j in zip(x.tolist(), y.tolist(), strict=True)], np.int64)
+def _pieces(sizes: np.ndarray, most: int, rows: int) -> Iterator[tuple[int, int]]:
+    """First and last (one more) of runs of some ``most`` in sum, at least one each and ``rows`` at most."""
     ends, first = np.cumsum(sizes), 0
-    while first < len(x):
-        last = int(np.searchsorted(ends, ends[first] - sizes[first] + CHARACTERS, side="right"))
-        last = max(first + 1, min(last, first + (1 << int(ROOM) - 1)))
-        out[first:last] = _judged(lines, x[first:last], y[first:last])
+    while first < len(sizes):
+        last = int(np.searchsorted(ends, ends[first] - sizes[first] + most, side="right"))
+        last = max(first + 1, min(last, first + rows))
+        yield first, last
         first = last
-    return out
 
 
-def bands(lines: list[str]) -> np.ndarray:
-    """A row of ``BANDS`` names for each line."""
+class Judge:
+    """``similar`` for pairs of these lines by their places, exactly; shingles have 52-bit names.
+
+    Outlines, made once for each line in a pair, rule out most pairs: a cell marked in one line alone is a shingle that
+    the other lacks. What they leave is compared whole.
+    """
+
+    def __init__(self, lines: list[str]):
+        self.lines = lines
+        self.lengths = np.array([len(x) for x in lines], np.int64)
+        self.windows = np.maximum(self.lengths - K + 1, 1)
+        self.outlines = np.zeros((len(lines), CELLS // 64), np.uint64)
+        self.known = np.zeros(len(lines), bool)
+
+    def outline(self, places: np.ndarray) -> None:
+        places = np.unique(places)
+        places = places[~self.known[places]]
+        for first, last in _pieces(self.lengths[places], HASHED, LINES):
+            some = places[first:last]
+            h, n = _hashes([self.lines[i] for i in some.tolist()])
+            marks = np.zeros((len(some), CELLS), np.uint8)
+            marks[np.repeat(np.arange(len(some)), n), h & np.uint32(CELLS - 1)] = 1
+            self.outlines[some] = np.packbits(marks, axis=1).view(np.uint64)
+        self.known[places] = True
+
+    def possible(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        p, q = self.outlines[x], self.outlines[y]
+        both = p & q
+        a, b = (np.bitwise_count(z ^ both).sum(axis=1, dtype=np.int64) for z in (p, q))
+        shared = np.minimum(self.windows[x] - a, self.windows[y] - b)  # at most
+        return shared >= SIMILARITY * (shared + a + b) - 1e-9
+
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        x, y = np.asarray(x, np.int64), np.asarray(y, np.int64)
+        out = np.zeros(len(x), bool)
+        self.outline(np.concatenate((x, y)))
+        for first in range(0, len(x), LINES):
+            out[first : first + LINES] = self.possible(x[first : first + LINES], y[first : first + LINES])
+        left = np.flatnonzero(out)
+        x, y = x[left], y[left]
+        for first, last in _pieces(self.lengths[x] + self.lengths[y], CHARACTERS, 1 << int(ROOM) - 1):
+            out[left[first:last]] = _judged(self.lines, x[first:last], y[first:last])
+        return out
+
+
+def all_similar(lines: list[str], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``similar`` for the pairs of lines at these places, in pieces of some ``CHARACTERS``."""
+    return Judge(lines)(x, y)
+
+
+def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of the shingles of all lines, with repeats, and how many each line has."""
     padded = [x if len(x) >= K else x.ljust(K, "\0") for x in lines]
     sizes = np.array([len(x) for x in padded])
     chars = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32)
@@ -139,15 +191,23 @@ def bands(lines: list[str]) -> np.ndarray:
     inside = np.ones(len(chars), bool)
     for j in range(1, K):
         inside[ends - j] = False
-    h = h[inside[:n]]
-    offsets = np.cumsum(sizes - K + 1) - (sizes - K + 1)
+    return h[inside[:n]], sizes - K + 1
+
+
+def bands(lines: list[str]) -> np.ndarray:
+    """A row of ``BANDS`` names for each line."""
     out = np.zeros((len(lines), BANDS), np.uint64)
-    for band in range(BANDS):
-        name = np.full(len(lines), band + 1, np.uint64)
-        for k in range(band * ROWS, (band + 1) * ROWS):
-            least = np.minimum.reduceat((h ^ _SEEDS[0, k]) * (_SEEDS[1, k] | np.uint32(1)), offsets)
-            name = mix(name + least)
-        out[:, band] = name
+    for first, last in _pieces(np.array([len(x) for x in lines]), HASHED, LINES):
+        h, n = _hashes(lines[first:last])
+        offsets = np.cumsum(n) - n
+        mixed = np.empty_like(h)
+        for band in range(BANDS):
+            name = np.full(len(n), band + 1, np.uint64)
+            for k in range(band * ROWS, (band + 1) * ROWS):
+                np.bitwise_xor(h, _SEEDS[0, k], out=mixed)
+                np.multiply(mixed, _SEEDS[1, k] | np.uint32(1), out=mixed)
+                name = mix(name + np.minimum.reduceat(mixed, offsets))
+            out[first:last, band] = name
     return out
 
 
@@ -162,29 +222,29 @@ def occurrences(docs: DataFrame) -> DataFrame:
         names = ["member", "doc", "th", "line", "bands"]
         for whole in batches:
             for batch in parts(whole, 2, 1 << 19):
-                doc, th, at, members, first = [], [], [], [], []
-                seen: dict[bytes, int] = {}
+                doc, th = (c.to_numpy() for c in batch.columns[:2])
+                held, at, members, first = [], [], [], []
+                seen: set[bytes] = set()
                 new: list[str] = []
-                for d, h, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for text in batch.column(2).to_pylist():
+                    before = len(at)
                     for i, line in enumerate(text.split("\n")):
                         line = line.strip()
                         if line:
                             name = line_name(line)
-                            doc.append(d)
-                            th.append(h)
                             at.append(i)
                             members.append(name)
-                            first.append(None)
-                            if name not in seen:
-                                seen[name] = first[-1] = len(new)
+                            first.append(name not in seen)
+                            if first[-1]:
+                                seen.add(name)
                                 new.append(line)
+                    held.append(len(at) - before)
                 if new:
                     found = bands(new).view(np.int64)
-                    flags = np.array([x is not None for x in first])
-                    offsets = np.concatenate([[0], np.cumsum(np.where(flags, BANDS, 0))]).astype(np.int32)
+                    offsets = np.concatenate([[0], np.cumsum(np.where(first, BANDS, 0))]).astype(np.int32)
                     listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.reshape(-1)))
-                    columns = [pa.array(np.frombuffer(b"".join(members), "<i8")), pa.array(doc, pa.int64()), pa.array(th, pa.int64())]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(at, pa.int32()), listed], names)
+                    columns = [np.frombuffer(b"".join(members), "<i8"), np.repeat(doc, held), np.repeat(th, held), np.array(at, np.int32)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), listed], names)
 
     return docs.select("doc", "th", "text").mapInArrow(run, "member long, doc long, th long, line int, bands array<long>")
 
@@ -225,13 +285,13 @@ def repeats(docs: DataFrame, work: Work) -> DataFrame:
     """Per document with any: doc, th and ``lines``, the numbers of the lines to remove. ``docs``: doc, th, text."""
     found = work.keep(occurrences(docs), "lines")
     tokens = found.filter(F.size("bands") > 0)
-    tokens = tokens.select(F.explode("bands").alias("token"), "member", F.lit(1).alias("size"), F.lit(1).alias("kind"), F.lit(0).alias("place"))
-    lists = shared_lists(tokens, work)
+    lists = shared_lists(tokens.select(F.explode("bands").alias("token"), "member"), work)
     groups = found.groupBy("member").agg(F.count("*").alias("n"), F.min(F.struct("doc", "line", "th")).alias("first"))
     groups = work.keep(groups, "groups")
     verify, texts = verifier(docs, groups, lists, work)
-    labels = linked(lists, work, verify, texts=texts, similar=all_similar)
-    classes = groups.join(labels.withColumnRenamed("node", "member"), "member", "left")
+    labels = linked(lists, work, verify, texts=texts, similar=Judge, cheap=CHEAP)
+    # a line that comes once and is like no other is a class of its own
+    classes = groups.join(labels.withColumnRenamed("node", "member"), "member", "left").filter("n > 1 OR label IS NOT NULL")
     classes = classes.select("member", "n", "first", F.coalesce("label", "member").alias("label"))
     kept = classes.groupBy("label").agg(F.min("first").alias("keep"), F.sum("n").alias("total")).filter("total > 1")
     classes = work.keep(classes.join(kept, "label").select("member", "keep"), "classes")

@@ -224,6 +224,30 @@ def test_lines_are_compared_exactly(limit, monkeypatch):
     assert lines.all_similar([], [], []).tolist() == []
 
 
+def test_outlines_spare_most_comparisons(monkeypatch):
+    """Lines that share much, but too little to be linked, are told apart without their shingles."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(60)]
+    pool = [" ".join(word() if rng.random() < share else w for w in base) for share in [0.15] * 60 + [0.02] * 20]
+    pool += ["ab", "abc", "\U0001F600" * 3, "a" * 9000, "a" * 9000 + "b", "x" * 40]
+    x, y = (c.ravel() for c in np.meshgrid(np.arange(len(pool)), np.arange(len(pool))))
+    whole, judged = [], lines._judged
+    monkeypatch.setattr(lines, "_judged", lambda each, a, b: whole.append(len(a)) or judged(each, a, b))
+    sets = [lines.shingles(line) for line in pool]
+    want = [10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+    assert lines.all_similar(pool, x, y).tolist() == want
+    assert sum(want) <= sum(whole) < 0.4 * len(x)
+
+
+def test_bands_of_many_lines_are_those_of_each(monkeypatch):
+    rng = random.Random(6)
+    pool = ["".join(rng.choice("ab é\U0001F600") for _ in range(rng.choice([1, 6, 7, 50, 300]))) for _ in range(60)]
+    want = np.concatenate([lines.bands([line]) for line in pool])
+    monkeypatch.setattr(lines, "HASHED", 200)
+    assert (lines.bands(pool) == want).all()
+
+
 def test_bands_find_similar_lines():
     rng = random.Random(1)
     found = 0
@@ -249,6 +273,32 @@ def test_components(spark, work):
     assert got == {n: union.find(n) for n in union.of}
 
 
+def test_components_go_on_from_labels(spark, work):
+    """Links in three parts, each part alone contracted, give what all links at once give; names are shuffled numbers."""
+    rng = random.Random(4)
+    names = rng.sample(range(-500, 500), 400)
+    links = [(names[i], names[i + 1]) for i in range(150)] + [(rng.choice(names), rng.choice(names)) for _ in range(120)] + [(9000, 9000)]
+    links += links[:20]
+    rng.shuffle(links)
+    union, labels = brute.Union(), None
+    for a, b in links:
+        if a != b:
+            union.join(a, b)
+    for k in range(4):
+        some = links[100 * k : 100 * k + 100] if k < 3 else []
+        labels = components(spark.createDataFrame(some, "x long, y long"), work, f"part{k}", labels)
+    got = [(r.node, r.label) for r in labels.collect()]
+    assert len(got) == len(dict(got)) and dict(got) == {n: union.find(n) for n in union.of}
+
+
+def test_lists_without_sizes(spark, work):
+    tokens = [(t, m) for t in range(40) for m in ([t, t, 99, 7] if t % 2 else [t, t])]
+    plain = lists.shared_lists(spark.createDataFrame(tokens, "token long, member long"), work, "plain")
+    sized = spark.createDataFrame([(*x, 1, 1, 0) for x in tokens], "token long, member long, size int, kind int, place int")
+    sized = lists.shared_lists(sized, work, "sized")
+    assert sorted(plain.collect()) == sorted(sized.collect()) and plain.schema == sized.schema and plain.count() == 59
+
+
 def test_long_lists_are_cut_but_lose_no_link(spark, work, monkeypatch):
     monkeypatch.setattr(lists, "PART", 4)
     kinds = "token long, member long, size int, kind int, place int"
