@@ -294,6 +294,7 @@ def repeats(docs: DataFrame, work: Work) -> DataFrame:
     classes = groups.join(labels.withColumnRenamed("node", "member"), "member", "left").filter("n > 1 OR label IS NOT NULL")
     classes = classes.select("member", "n", "first", F.coalesce("label", "member").alias("label"))
     kept = classes.groupBy("label").agg(F.min("first").alias("keep"), F.sum("n").alias("total")).filter("total > 1")
+    kept = work.keep(kept.select("label", "keep"), "kept", free=False)  # for plain shuffles: a class of very many lines is split
     classes = work.keep(classes.join(kept, "label").select("member", "keep"), "classes")
     # plain shuffles on both sides: a line of very many documents is split
     gone = found.select("member", "doc", "th", "line").join(classes, "member")
